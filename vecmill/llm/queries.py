@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, shards, simhash, token_counts
+from . import bpe, decontaminate, langid, shards, simhash, substrings, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(read(spark, sf_dir, "documents"))
+
+
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(read(spark, sf_dir, "documents")).drop("proportions")
+
+
 def op4_simhash_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -37,8 +45,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_vantage_tree, op5_byte_bpe, op8_hilbert_shards, op9_benchmark_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op2_fixed_block_anchors, op3_language_mixture, op4_simhash_vantage_tree, op5_byte_bpe, op8_hilbert_shards, op9_benchmark_decontamination, op10_token_counts)}
+
 
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT rid, doc_id, i, array_to_string(ws[i : i + 12], ' ') AS g FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+low AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT rid, list(DISTINCT p) AS ps FROM (SELECT rid, unnest(range(i, i + 13)) AS p FROM w JOIN low USING (g) WHERE low < doc_id) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid)
+"""
 
 OP9_SQL = r"""
 WITH dw AS (
@@ -65,4 +83,4 @@ FROM dw LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": OP9_SQL}
+    return {"op2_fixed_block_anchors": OP2_SQL, "op9_benchmark_decontamination": OP9_SQL}
