@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, shards, simhash, substrings, token_counts
+from . import bpe, decontaminate, langid, shards, simhash, substrings, suffixes, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(read(spark, sf_dir, "documents"))
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assigned(read(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fixed_block_anchors, op3_language_mixture, op4_simhash_vantage_tree, op5_byte_bpe, op8_hilbert_shards, op9_benchmark_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op2_fixed_block_anchors, op3_language_mixture, op4_simhash_vantage_tree, op5_byte_bpe, op7_suffix_sort, op8_hilbert_shards, op9_benchmark_decontamination, op10_token_counts)}
 
 
 OP2_SQL = r"""
@@ -58,6 +62,20 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS
 FROM d LEFT JOIN gone USING (rid)
 """
 
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+p AS (SELECT rid, unnest(range(0, length(hx) // 2 - 199)) AS s FROM d),
+w AS (SELECT rid, s, md5(substr(hx, CAST(2 * s + 1 AS INTEGER), 400)) AS g FROM p JOIN d USING (rid)),
+dup AS (SELECT rid, s FROM w JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) USING (g)),
+edge AS (SELECT rid, s, s > coalesce(max(s) OVER (PARTITION BY rid ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 200, -1) AS opens FROM dup),
+run AS (SELECT rid, min(s) AS a, max(s) + 200 AS z FROM (SELECT rid, s, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY rid ORDER BY s) AS k FROM edge) GROUP BY rid, k),
+keep AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM run),
+cut AS (SELECT keep.rid, string_agg(substr(hx, CAST(2 * before + 1 AS INTEGER), CAST(2 * (a - before) AS INTEGER)), '' ORDER BY a) AS head, max(z) AS last, sum(z - a) AS removed, count(*) AS spans FROM keep JOIN d USING (rid) GROUP BY keep.rid)
+SELECT doc_id, CAST(length(hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN cut.rid IS NULL THEN hx ELSE head || substr(hx, CAST(2 * last + 1 AS INTEGER)) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (rid)
+"""
+
 OP9_SQL = r"""
 WITH dw AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -83,4 +101,4 @@ FROM dw LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_fixed_block_anchors": OP2_SQL, "op9_benchmark_decontamination": OP9_SQL}
+    return {"op2_fixed_block_anchors": OP2_SQL, "op7_suffix_sort": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
