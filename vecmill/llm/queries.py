@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, shards, simhash, substrings, suffixes, token_counts
+from . import bpe, decontaminate, embeddings, langid, shards, simhash, substrings, suffixes, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_itq_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op7_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(read(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fixed_block_anchors, op3_language_mixture, op4_simhash_vantage_tree, op5_byte_bpe, op7_suffix_sort, op8_hilbert_shards, op9_benchmark_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op2_fixed_block_anchors, op3_language_mixture, op4_simhash_vantage_tree, op5_byte_bpe, op6_itq_multi_index, op7_suffix_sort, op8_hilbert_shards, op9_benchmark_decontamination, op10_token_counts)}
 
 
 OP2_SQL = r"""
