@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, langid, shards, simhash, substrings, suffixes, token_counts
+from . import bpe, decontaminate, embeddings, langid, pii, shards, simhash, substrings, suffixes, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op2_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(read(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fixed_block_anchors, op3_language_mixture, op4_simhash_vantage_tree, op5_byte_bpe, op6_itq_multi_index, op7_suffix_sort, op8_hilbert_shards, op9_benchmark_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_lstm_crf_pii, op2_fixed_block_anchors, op3_language_mixture, op4_simhash_vantage_tree, op5_byte_bpe, op6_itq_multi_index, op7_suffix_sort, op8_hilbert_shards, op9_benchmark_decontamination, op10_token_counts)}
 
 
 OP2_SQL = r"""
