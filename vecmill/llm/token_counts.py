@@ -43,7 +43,7 @@ def _pieces(texts: list[str], special: list[str]) -> tuple[list[str], np.ndarray
 class Batch:
     """Pre-tokens of a batch's texts: distinct ones in a fixed order, and each text's frequencies."""
 
-    def __init__(self, texts: list[str], special: list[str]):
+    def __init__(self, texts: list[str], special: list[str], bits: int):
         pieces, owner, self.special = _pieces(texts, special)
         names: dict[str, int] = {}
         self.chunks = []
@@ -54,10 +54,10 @@ class Batch:
             pair, times = np.unique(text * (len(own) + 1) + number, return_counts=True)
             self.chunks.append((pair // (len(own) + 1), ids[pair % (len(own) + 1)], times))
         raw = [w.encode() for w in names]
-        crc = np.array([zlib.crc32(x) for x in raw], np.uint32)
-        order = sorted(range(len(raw)), key=raw.__getitem__)
-        order = np.array(order, np.int64)[np.argsort(crc[order], kind="stable")] if raw else np.zeros(0, np.int64)
-        self.raw, self.crc, self.order = [raw[i] for i in order.tolist()], crc[order], order
+        part = np.array([zlib.crc32(x) >> (32 - bits) for x in raw], np.int64)
+        order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+        order = order[np.argsort(part[order], kind="stable")]  # by part, then by name: neighbours share prefixes
+        self.raw, self.part, self.order = [raw[i] for i in order.tolist()], part[order], order
 
     def total(self, counts: np.ndarray) -> np.ndarray:
         """Tokens of each text, given the pieces of each distinct pre-token in order."""
@@ -86,13 +86,22 @@ def special_strings(path: str) -> list[str]:
     return [t.content for t in _library(path).get_added_tokens_decoder().values()]
 
 
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def release(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+
+
 def pack(names: list[bytes]) -> bytes:
-    return np.array([len(x) for x in names], np.uint32).tobytes() + b"".join(names)
+    return squeeze(np.array([len(x) for x in names], np.uint32).tobytes() + b"".join(names))
 
 
 def unpack(n: int, packed: bytes) -> list[bytes]:
-    ends = (np.cumsum(np.frombuffer(packed, np.uint32, n), dtype=np.int64) + 4 * n).tolist()
-    return [packed[a:b] for a, b in zip([4 * n, *ends[:-1]], ends, strict=True)]
+    raw = release(packed)
+    ends = (np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.int64) + 4 * n).tolist()
+    return [raw[a:b] for a, b in zip([4 * n, *ends[:-1]], ends, strict=True)]
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
@@ -109,8 +118,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     out = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
     def asked(rows: pa.Table) -> pa.Table:
-        b, key = Batch([t or "" for t in rows["text"].to_pylist()], special), rows["batch"][0].as_py()
-        part = b.crc.astype(np.int64) >> (32 - bits)
+        b, key = Batch([t or "" for t in rows["text"].to_pylist()], special, bits), rows["batch"][0].as_py()
+        part = b.part
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
         return table([(int(part[i]), key, j - i, pack(b.raw[i:j])) for i, j in zip(edges, edges[1:], strict=False)], ["part", "batch", "n", "names"], ASK)
 
@@ -122,13 +131,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
             new = [x for x in names if x not in known]
             for i in range(0, len(new), 5_000):
                 known.update((x, len(e)) for x, e in zip(new[i : i + 5_000], library.encode_batch_fast([x.decode() for x in new[i : i + 5_000]], add_special_tokens=False), strict=True))
-        counts = [np.array([known[x] for x in names], np.uint32).tobytes() for names in lists]
+        counts = [squeeze(np.array([known[x] for x in names], np.uint32).tobytes()) for names in lists]
         return pa.table([rows["part"], rows["batch"], pa.array(counts, pa.binary())], ["part", "batch", "counts"])
 
     def summed(rows: pa.Table, answers: pa.Table) -> pa.Table:
         texts = [t or "" for t in rows["text"].to_pylist()]
-        counts = np.frombuffer(b"".join(answers.sort_by("part")["counts"].to_pylist()), np.uint32)
-        n = Batch(texts, special).total(counts)
+        counts = np.frombuffer(b"".join([release(x) for x in answers.sort_by("part")["counts"].to_pylist()]), np.uint32)
+        n = Batch(texts, special, bits).total(counts)
         return pa.table([rows["doc_id"], pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     answers = docs.groupBy("batch").applyInArrow(asked, ASK).groupBy("part").applyInArrow(answered, ANSWER)
