@@ -1,15 +1,549 @@
-"""All queries of the vector-search part, with the SQL that gives the same rows."""
+"""All queries of the vector-search part, with the SQL that gives the same rows where SQL can express them.
+
+Every query runs over the whole table. Searches ask for every row whose id is divisible by 50. Report operators, whose
+natural input is a table of timings, read ``events`` as one: event_type as method, user_id % 5 as dataset.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import catalogue_sql as S
+from .functions import text as T
+from .functions import vectors as V
+from .functions.scaling import standardised
+from .operators import kernels, kmeans, knn, maintenance, quality
+from .operators.index import Index, IndexConfig, build, centroid_table, search, sweep
+from .operators.index import read as read_index
+from .operators.index import write as write_index
+from .plans import reports
+from .sources.scratch import scratch_path
+from .sources.vectors import boundary_mixtures, from_table, generated
+from .streaming import workload
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
 
-from pyspark.sql import DataFrame, SparkSession
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).where(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "vec")
+
+
+def indexed(spark: SparkSession, sf_dir: str, metric: str = "l2") -> Index:
+    return build(vectors(spark, sf_dir), IndexConfig(metric=metric))
+
+
+def half_indexed(spark: SparkSession, sf_dir: str) -> tuple[Index, DataFrame, int]:
+    """The index of the first half, the rest as a stream, and its length."""
+    first, rest, n = workload.offsets(vectors(spark, sf_dir))
+    return build(first, IndexConfig()), rest, n
+
+
+def r6(x: str | Column) -> Column:
+    return F.round(F.col(x) if isinstance(x, str) else x, 6)
+
+
+def coordinates(df: DataFrame, *keys: str, column: str = "vec", digits: int | None = 9) -> DataFrame:
+    """A vector column as rows (pos from 0, x)."""
+    rows = df.select(*keys, F.posexplode(column).alias("pos", "x"))
+    return rows.select(*keys, F.col("pos").cast("long").alias("pos"), (F.col("x") if digits is None else F.round("x", digits)).alias("x"))
+
+
+def located(index: Index) -> DataFrame:
+    return index.postings.select("id", "cluster")
+
+
+def largest(index: Index) -> int:
+    return index.sizes().orderBy(F.desc("n"), "cluster").first()["cluster"]
+
+
+# ---------------------------------------------------------------- exact search
+@query(S.exact("l2"))
+def exact_knn_l2(spark, sf_dir):
+    return knn.exact(asked(spark, sf_dir), vectors(spark, sf_dir), 10).select("qid", "rank", "id", r6("distance").alias("distance"))
+
+
+@query(S.exact("ip"))
+def exact_knn_ip(spark, sf_dir):
+    return knn.exact(asked(spark, sf_dir), vectors(spark, sf_dir), 10, "ip").select("qid", "rank", "id", r6("distance").alias("distance"))
+
+
+@query(S.exact("l2", live=True))
+def knn_live(spark, sf_dir):
+    first, rest, n = workload.offsets(vectors(spark, sf_dir))
+    live = first.union(rest.where(workload.live_at(F.col("place"), n)).drop("place"))
+    return knn.exact(asked(spark, sf_dir), live, 10).select("qid", "rank", "id", r6("distance").alias("distance"))
+
+
+# ---------------------------------------------------------------- functions on vectors
+@query(S.UNIT)
+def unit_normalize(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("id", V.unit(V.scale(F.col("vec"), (F.col("id") % 7).cast("double"))).alias("vec"))
+    return coordinates(v, "id")
+
+
+@query(S.STANDARD)
+def standardize(spark, sf_dir):
+    return coordinates(standardised(vectors(spark, sf_dir)), "id", digits=6)
+
+
+@query(S.PAIRS)
+def vector_functions(spark, sf_dir):
+    """Each vector with the next one by id: inner product, squared distance, norm, and coordinates of sum, difference, middle and 32-bit value."""
+    v = vectors(spark, sf_dir)
+    pair = v.join(v.select((F.col("id") - 1).alias("id"), F.col("vec").alias("y")), "id")
+    x, y = F.col("vec"), F.col("y")
+    total = lambda c: r6(V.total(c))
+    return pair.select("id", r6(V.dot(x, y)).alias("dot"), r6(V.squared_l2(x, y)).alias("l2"), r6(V.squared_norm(x)).alias("norm"), total(V.add(x, y)).alias("added"), total(V.subtract(x, y)).alias("subtracted"), total(V.midpoint(x, y)).alias("middle"), total(V.narrow(V.scale(x, F.lit(2.0))).cast("array<double>")).alias("narrowed"))
+
+
+# ---------------------------------------------------------------- clustering and the index
+@query(S.centroids("SELECT cluster, unnest(centroid) AS x, generate_subscripts(centroid, 1) - 1 AS pos FROM c3"))
+def lloyd_centroids(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return coordinates(centroid_table(spark, kmeans.lloyd(v, kmeans.first_seeds(v, 16), 3)), "cluster", column="centroid", digits=None)
+
+
+@query(S.spherical())
+def spherical_centroids(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return coordinates(centroid_table(spark, kmeans.spherical(v, kmeans.first_seeds(v, 16), 3)), "cluster", column="centroid")
+
+
+@query()
+def mllib_centroids(spark, sf_dir):
+    """k-means|| by MLlib, whose seeding SQL can't repeat."""
+    return coordinates(centroid_table(spark, kmeans.mllib(vectors(spark, sf_dir), 16)), "cluster", column="centroid")
+
+
+@query(S.assign("l2"))
+def assign_l2(spark, sf_dir):
+    index = indexed(spark, sf_dir)
+    return knn.nearest(vectors(spark, sf_dir), index.centroids).select("id", "cluster", r6("distance").alias("distance"))
+
+
+@query(S.assign("ip"))
+def assign_ip(spark, sf_dir):
+    index = indexed(spark, sf_dir)
+    return knn.nearest(vectors(spark, sf_dir), index.centroids, "ip").select("id", "cluster", r6("distance").alias("distance"))
+
+
+@query(S.index("SELECT cluster, count(*) AS n FROM post GROUP BY cluster"))
+def cluster_sizes(spark, sf_dir):
+    return indexed(spark, sf_dir).sizes()
+
+
+@query(S.index("SELECT id, cluster, pos FROM post"))
+def posting_lists(spark, sf_dir):
+    """The index written to disk, partitioned by cluster, and read again."""
+    path = scratch_path(spark)
+    write_index(indexed(spark, sf_dir), path)
+    return read_index(spark, path).postings.select("id", "cluster", "pos")
+
+
+@query(S.ENTRY)
+def cluster_entry(spark, sf_dir):
+    entry = indexed(spark, sf_dir).clusters()
+    return entry.select("cluster", "n", r6("s").alias("s"), r6(V.total(F.coalesce("a", F.array().cast("array<double>")))).alias("a_total"))
+
+
+@query(S.index("SELECT round(sum(list_inner_product(vec, vec)) - (SELECT sum(s / n) FROM stat), 6) AS sse FROM post", stats=True))
+def sse(spark, sf_dir):
+    return kmeans.sse(indexed(spark, sf_dir).postings).select(r6("sse").alias("sse"))
+
+
+# ---------------------------------------------------------------- probed search
+@query(S.probed("SELECT qid, rank, cluster, round(d, 6) + 0.0 AS distance FROM probe WHERE rank <= 4", "l2"))
+def probe_clusters(spark, sf_dir):
+    found = knn.probes(asked(spark, sf_dir), indexed(spark, sf_dir).centroids, 4)
+    return found.select("qid", "rank", "cluster", r6("distance").alias("distance"))
+
+
+@query(S.ivf("l2"))
+def ivf_search_l2(spark, sf_dir):
+    return search(asked(spark, sf_dir), indexed(spark, sf_dir), 10, 4).select("qid", "rank", "id", r6("distance").alias("distance"))
+
+
+@query(S.ivf("ip"))
+def ivf_search_ip(spark, sf_dir):
+    return search(asked(spark, sf_dir), indexed(spark, sf_dir, "ip"), 10, 4).select("qid", "rank", "id", r6("distance").alias("distance"))
+
+
+@query(S.RECALL)
+def recall_at_k(spark, sf_dir):
+    q, v = asked(spark, sf_dir), vectors(spark, sf_dir)
+    return quality.recall(search(q, indexed(spark, sf_dir), 10, 4), knn.exact(q, v, 10), 10).select("qid", r6("recall").alias("recall"))
+
+
+@query(S.FRONTIER)
+def recall_frontier(spark, sf_dir):
+    q, v = asked(spark, sf_dir), vectors(spark, sf_dir)
+    found = quality.recall(sweep(q, indexed(spark, sf_dir), 10, [1, 2, 4, 8, 16]), knn.exact(q, v, 10), 10, by=["nprobe"])
+    return found.groupBy(F.col("nprobe").cast("long").alias("nprobe")).agg(r6(F.avg("recall")).alias("recall"))
+
+
+@query(S.VIOLATIONS)
+def npa_violations(spark, sf_dir):
+    """Of an index whose centroids have moved to their members' means since the members were assigned."""
+    index = indexed(spark, sf_dir)
+    moved = replace(index, centroids={**index.centroids, **kmeans.means(kmeans.statistics(index.postings))})
+    return quality.violations(moved).select("checked", "violations", r6("violation_rate").alias("violation_rate"))
+
+
+@query(S.NEIGHBOURS)
+def topl_neighbors(spark, sf_dir):
+    return maintenance.neighbours(indexed(spark, sf_dir), 5).select("cluster", "rank", "neighbour", r6("distance").alias("distance"))
+
+
+# ---------------------------------------------------------------- upkeep
+@query(S.MERGE)
+def merge_target(spark, sf_dir):
+    index = indexed(spark, sf_dir)
+    return maintenance.merge_targets(replace(index, merge_below=3 * index.merge_below))
+
+
+@query()
+def merge_relabel(spark, sf_dir):
+    index = indexed(spark, sf_dir)
+    return located(maintenance.merge(replace(index, merge_below=3 * index.merge_below)))
+
+
+@query(S.index("SELECT id, cluster, CAST(pos >= n // 2 AS INTEGER) AS side FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM post) WHERE n >= 4"))
+def split_halves(spark, sf_dir):
+    return maintenance.halves(indexed(spark, sf_dir).postings).select("id", "cluster", "side")
+
+
+@query(S.CDKM)
+def cdkm_split(spark, sf_dir):
+    """The two sides of every partition after five passes of coordinate descent."""
+    halved = maintenance.halves(indexed(spark, sf_dir).postings)
+    return maintenance.sides(halved, kernels.two_way).select("id", "cluster", "side")
+
+
+@query()
+def lloyd_split(spark, sf_dir):
+    halved = maintenance.halves(indexed(spark, sf_dir).postings)
+    return maintenance.sides(halved, lambda x, side: kernels.two_means(x, side, 10)).select("id", "cluster", "side")
+
+
+@query(S.LIRE)
+def lire_repair(spark, sf_dir):
+    """The largest partition in halves, then its neighbourhood's members to their nearest centroids."""
+    index = indexed(spark, sf_dir)
+    return located(maintenance.lire_split(index, [largest(index)], rounds=0, around=5))
+
+
+@query(S.LIRE_SWEEP)
+def lire_l_sweep(spark, sf_dir):
+    index = indexed(spark, sf_dir)
+    target, rows = largest(index), []
+    for around in (0, 1, 2, 5, 10):
+        rows.append((around, maintenance.lire_split(index, [target], rounds=0, around=around).counters.get("reassigned", 0)))
+    return spark.createDataFrame(rows, "around long, reassigned long")
+
+
+@query(S.GAINS)
+def cdkm_gains(spark, sf_dir):
+    """For each vector what it is worth to its partition, what it would add to the next nearest, and the change if it moved there."""
+    index = indexed(spark, sf_dir)
+    stats = index.clusters().select("cluster", "n", "a", "s")
+    two = knn.nearest(vectors(spark, sf_dir), index.centroids, second=True).withColumn("rho", V.squared_norm(F.col("vec")))
+    other = stats.select(F.col("cluster").alias("cluster2"), F.col("n").alias("n2"), F.col("a").alias("a2"), F.col("s").alias("s2"))
+    both = two.join(F.broadcast(stats), "cluster").join(F.broadcast(other), "cluster2")  # a row for each partition
+    both = both.withColumn("xa", V.dot(F.col("vec"), F.col("a"))).withColumn("xa2", V.dot(F.col("vec"), F.col("a2")))
+    c = F.col
+    delta = V.move_delta(c("n"), c("s"), c("xa"), c("n2"), c("s2"), c("xa2"), c("rho"), F.lit(False))
+    return both.select("id", r6(V.stay_gain(c("n"), c("s"), c("xa"), c("rho"))).alias("stay"), r6(V.join_gain(c("n2"), c("s2"), c("xa2"), c("rho"))).alias("joined"), r6(delta).alias("delta"))
+
+
+@query(S.SAMPLE)
+def boundary_sample(spark, sf_dir):
+    found = maintenance.boundary_sample(indexed(spark, sf_dir), (0, 1), 2, 4)
+    return found.select("cluster", "rank", "id", r6("gap").alias("gap"))
+
+
+@query()
+def bs_cdkm(spark, sf_dir):
+    index = indexed(spark, sf_dir)
+    return located(maintenance.boundary_split(index, largest(index)))
+
+
+@query()
+def sr_cdkm(spark, sf_dir):
+    index = indexed(spark, sf_dir)
+    return located(maintenance.sampled_repair(index, largest(index)))
+
+
+@query()
+def local_cdkm(spark, sf_dir):
+    index = indexed(spark, sf_dir)
+    big = largest(index)
+    after, new = maintenance.split(index, [big])
+    return located(maintenance.local_repair(after, (big, new[big])))
+
+
+@query()
+def mem_only_split(spark, sf_dir):
+    index = indexed(spark, sf_dir)
+    big = largest(index)
+    after, new = maintenance.split(index, [big], lambda x, side: side)
+    return located(maintenance.local_repair(after, (big, new[big]), live_means=True))
+
+
+@query(S.DEDRIFT)
+def dedrift_select(spark, sf_dir):
+    return maintenance.rebalance_choice(indexed(spark, sf_dir))
+
+
+@query()
+def dedrift(spark, sf_dir):
+    return located(maintenance.rebalance(indexed(spark, sf_dir)))
+
+
+@query(S.index("SELECT id, cluster FROM post", source="live"))
+def rebuild(spark, sf_dir):
+    first, rest, n = workload.offsets(vectors(spark, sf_dir))
+    return located(build(first.union(rest.where(workload.live_at(F.col("place"), n)).drop("place")), IndexConfig()))
+
+
+@query(S.UPDATED)
+def update_centroids(spark, sf_dir):
+    index, rest, _ = half_indexed(spark, sf_dir)
+    return coordinates(centroid_table(spark, maintenance.inserted(index, rest, move_centroids=True).centroids), "cluster", column="centroid", digits=None)
+
+
+@query(S.FROZEN)
+def frozen_insert(spark, sf_dir):
+    index, rest, _ = half_indexed(spark, sf_dir)
+    return located(maintenance.inserted(index, rest))
+
+
+@query(S.FROZEN)
+def frozen_stream(spark, sf_dir):
+    """The same by Structured Streaming: vectors arrive as files, each is assigned once."""
+    index, rest, _ = half_indexed(spark, sf_dir)
+    path = scratch_path(spark)
+    rest.select("id", "vec").repartition(4, "id").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("id long, vec array<double>").option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    found = workload.assigned_stream(stream, index).select("id", "cluster")
+    found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return located(index).union(spark.read.schema("id long, cluster long").parquet(f"{path}/out"))
+
+
+def _after(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index, rest, n = half_indexed(spark, sf_dir)
+        return located(maintenance.policy(name)(index, rest, rest.where(~workload.live_at(F.col("place"), n)).select("id")))
+
+    run.__name__ = f"policy_{name}"
+    return run
+
+
+for _name in ("lire", "dedrift", "scdkm", "memonly"):
+    query()(_after(_name))
+query(S.policy(moved=False))(_after("frozen"))
+query(S.index("SELECT id, cluster FROM post", source="live"))(_after("rebuild"))
+
+
+# ---------------------------------------------------------------- workloads
+@query(S.LOG)
+def fifo_log(spark, sf_dir):
+    _, rest, _ = workload.offsets(vectors(spark, sf_dir))
+    return workload.fifo_log(rest, 10, 50)
+
+
+@query(S.LIVE)
+def fifo_live_set(spark, sf_dir):
+    first, rest, n = workload.offsets(vectors(spark, sf_dir))
+    return first.select("id").union(rest.where(workload.live_at(F.col("place"), n)).select("id"))
+
+
+@query(S.MIXED)
+def mixed_workload_recall(spark, sf_dir):
+    index, rest, n = half_indexed(spark, sf_dir)
+    found = workload.mixed_recall(vectors(spark, sf_dir), asked(spark, sf_dir), index, rest, n)
+    return found.select("round", "qid", r6("recall").alias("recall"))
+
+
+@query()
+def mixed_op_log(spark, sf_dir):
+    """45 % inserts, 45 % queries and 10 % deletes in an order that a hash gives."""
+    n = vectors(spark, sf_dir).count()
+    return workload.mixed_log(max(1, n // 2), max(1, n), (0.45, 0.45, 0.1), 4 * n, 200, spark)
+
+
+@query()
+def generated_vectors(spark, sf_dir):
+    return generated(spark, 1000, 16).select("id", "cluster", r6(V.squared_norm(F.col("vec"))).alias("norm"))
+
+
+@query()
+def generated_boundary_queries(spark, sf_dir):
+    index = indexed(spark, sf_dir)
+    return quality.boundary_queries(quality.boundary_scores(boundary_mixtures(spark, index.centroids, 500), index.centroids), 0.85, 50)
+
+
+# ---------------------------------------------------------------- boundary
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = indexed(spark, sf_dir)
+    return quality.boundary_scores(vectors(spark, sf_dir).withColumnRenamed("id", "qid"), index.centroids)
+
+
+@query(S.scores("SELECT qid, round(score, 6) AS score FROM score"))
+def boundary_score(spark, sf_dir):
+    return _scores(spark, sf_dir).select("qid", r6("score").alias("score"))
+
+
+@query(S.BOUNDARY_SPLIT)
+def boundary_split(spark, sf_dir):
+    results = _scores(spark, sf_dir).withColumn("recall", (F.col("qid") % 11) / 10.0).withColumn("latency", (F.col("qid") * 37 % 101).cast("double"))
+    return quality.boundary_split(results).select("side", "n", *(r6(c).alias(c) for c in ("recall", "p50", "p99")))
+
+
+@query(S.scores("SELECT qid, round(score, 6) AS score FROM score ORDER BY score.score DESC, qid LIMIT 20"))
+def boundary_queries(spark, sf_dir):
+    return quality.boundary_queries(_scores(spark, sf_dir), 2.0, 20).select("qid", r6("score").alias("score"))
+
+
+# ---------------------------------------------------------------- reports
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("event_id").alias("seq"), F.col("event_type").alias("method"), (F.col("user_id") % 5).alias("dataset"), (F.col("user_id") % 3).alias("seed"), "value")
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: r6(c) for c in columns})
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """method, cost, recall and qps of each method: mean, 90th percentile and count of its values."""
+    return results(spark, sf_dir).groupBy("method").agg(F.avg("value").alias("cost"), F.percentile("value", F.lit(0.9)).alias("recall"), F.count(F.lit(1)).cast("double").alias("qps"))
+
+
+@query(S.LATENCIES)
+def latency_percentiles(spark, sf_dir):
+    out = reports.latency_summary(results(spark, sf_dir), ["method"])
+    return rounded(out, "mean", "std", "p50", "p95", "p99", "p999")
+
+
+@query(S.traces("SELECT method, dataset, part, round(mean, 6) AS mean, round(p99, 6) AS p99 FROM trace"))
+def progress_windows(spark, sf_dir):
+    return rounded(reports.windows(results(spark, sf_dir), ["method", "dataset"], "seq"), "mean", "p99")
+
+
+@query(S.TRACE_ENVELOPE)
+def trace_envelope(spark, sf_dir):
+    return rounded(reports.trace_envelope(reports.windows(results(spark, sf_dir), ["method", "dataset"], "seq")), "mean", "low", "high")
+
+
+@query(S.CDF)
+def empirical_cdf(spark, sf_dir):
+    out = reports.distribution(results(spark, sf_dir), ["method"], "value", "seq")
+    return out.select("seq", "method", "value", F.round("share", 9).alias("share"))
+
+
+@query(S.ENVELOPE)
+def envelope(spark, sf_dir):
+    each = results(spark, sf_dir).groupBy("method", "seed", "dataset").agg(F.avg("value").alias("value"))
+    return rounded(reports.envelope(each, ["method", "seed"], "value"), "mean", "low", "high")
+
+
+@query(S.SEEDS)
+def seed_summary(spark, sf_dir):
+    each = results(spark, sf_dir).groupBy("method", "seed").agg(F.avg("value").alias("recall"), F.count(F.lit(1)).cast("double").alias("qps"))
+    return rounded(reports.over_seeds(each, ["recall", "qps"]), "recall_mean", "recall_std", "qps_mean", "qps_std")
+
+
+@query(S.BUDGETS)
+def budget_sweep(spark, sf_dir):
+    middle = _candidates(spark, sf_dir).agg(F.avg("cost").alias("budget"))
+    budgets = spark.createDataFrame([(-1.0,), (1e9,)], "budget double").union(middle)
+    return rounded(reports.best_within(_candidates(spark, sf_dir), budgets), "budget", "recall")
+
+
+@query(S.SPEEDUP)
+def speedup_summary(spark, sf_dir):
+    each = results(spark, sf_dir).groupBy("method", "dataset").agg(F.avg("value").alias("value"))
+    return rounded(reports.speedups(each, "click", "view", "value"), "mean", "low", "high")
+
+
+@query(S.LOOKUP)
+def nprobe_lookup(spark, sf_dir):
+    """From each method's parallel arrays (dataset, mean): the value nearest to 2.4, the one at exactly 3, and none at 9."""
+    each = results(spark, sf_dir).groupBy("method", "dataset").agg(F.avg("value").alias("value"))
+    arrays = each.groupBy("method").agg(F.array_sort(F.collect_list(F.struct("dataset", "value"))).alias("z"))
+    k, v = F.col("z")["dataset"], F.col("z")["value"]
+    return arrays.select("method", r6(T.nearest_value(k, v, 2.4)).alias("nearest"), r6(T.exact_value(k, v, 3)).alias("at_3"), r6(T.exact_value(k, v, 9)).alias("at_9"))
+
+
+@query(S.FLAT)
+def flattened_rows(spark, sf_dir):
+    each = results(spark, sf_dir).groupBy("method").agg(F.array_sort(F.collect_list("seq")).alias("seqs"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda z: z["value"]).alias("values"))
+    return reports.flattened(each, ["method"], ["seqs", "values"]).withColumnsRenamed({"seqs": "seq", "values": "value"})
+
+
+@query(S.KEYS)
+def method_keys(spark, sf_dir):
+    label = F.concat(F.lit("My-"), F.initcap("method"), F.lit("_L"), F.col("dataset").cast("string"))
+    n = results(spark, sf_dir).groupBy("method", "dataset").agg(F.count(F.lit(1)).alias("n"))
+    named = n.withColumn("label", label)
+    return named.select("label", T.method_key(F.col("label")).alias("key"), T.neighbourhood_size(F.col("label")).cast("long").alias("size"), T.relabel(F.col("label"), "My-", "Our ").alias("shown"), T.fixed(F.col("n") / 8.0).alias("text"))
+
+
+@query(S.LAST)
+def last_result_wins(spark, sf_dir):
+    """Two result tables, the second of which replaces the methods that it has."""
+    first = results(spark, sf_dir).groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    second = results(spark, sf_dir).where("dataset = 1 and method in ('click', 'view')").groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    return reports.last_wins([first, second], ["method"])
+
+
+def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import pyarrow as pa
+
+    from .functions.arrow import matrix
+
+    steps = [0, 1, 2, 3, 5]
+
+    def run(rows):
+        rows = rows.sort_by("pos")
+        both = kernels.curves(matrix(rows["vec"]), rows["side"].to_numpy().astype(int), steps)
+        flat = [(rows["cluster"][0].as_py(), m, t, x) for m, xs in both.items() for t, x in zip(steps, xs, strict=True)]
+        return pa.table([pa.array(c) for c in zip(*flat, strict=True)], ["cluster", "method", "t", "sse"])
+
+    halved = maintenance.halves(indexed(spark, sf_dir).postings)
+    return halved.groupBy("cluster").applyInArrow(run, "cluster long, method string, t long, sse double")
+
+
+@query()
+def cdkm_vs_lloyd(spark, sf_dir):
+    """Relative error after each number of passes, by both methods, over all partitions."""
+    out = reports.paired(reports.relative(_curves(spark, sf_dir), ["cluster", "method"]), "cluster", "t")
+    return rounded(out, "cdkm_mean", "lloyd_mean", "better", "gap")
