@@ -25,7 +25,7 @@ NONE = np.int64(1) << np.int64(62)
 #: Widest row of the array form; longer pre-tokens use the list form.
 WIDE = 128
 #: Distinct pre-tokens whose encodings a worker keeps.
-KEPT = 400_000
+KEPT = 150_000
 #: Characters that are split at a time.
 CHUNK = 1_000_000
 
@@ -250,11 +250,13 @@ def with_tokens(docs: DataFrame, ranks_path: str) -> DataFrame:
         encoder = _encoders.setdefault(ranks_path, Encoder(ranks_path))
         for batch in batches:
             texts = batch.column(k).to_pylist()
-            rows = list(encoder.texts([t or "" for t in texts]))
-            back = [raw.decode() if t is not None else None for t, (_, _, raw) in zip(texts, rows, strict=True)]
-            ids = [np.array(x.split(), np.int32) for _, x, _ in rows]
-            columns = [pa.array(back, batch.column(k).type) if i == k else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([r[0] for r in rows], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [*names, "n_tokens", "token_ids"])
+            for a, b in runs_of_docs(np.array([len(t or "") for t in texts], np.int64), 4 * CHUNK):
+                part = texts[a:b]
+                n, ids, raw = zip(*encoder.texts([t or "" for t in part]), strict=True)
+                back = pa.array([x.decode() if t is not None else None for t, x in zip(part, raw, strict=True)], batch.column(k).type)
+                ids = pa.array([np.array(x.split(), np.int32) for x in ids], pa.list_(pa.int32()))
+                columns = [back if i == k else c[a:b] for i, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), ids], [*names, "n_tokens", "token_ids"])
 
     schema = kept.withColumn("n_tokens", F.lit(0).cast("long")).withColumn("token_ids", F.expr("cast(array() as array<int>)")).schema
     return kept.mapInArrow(run, schema)
