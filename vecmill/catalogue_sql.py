@@ -221,20 +221,20 @@ def reports(body: str, *more: str) -> str:
     return joined([RESULTS, *more], body)
 
 
-LATENCIES = reports("SELECT method, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS {n}" for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"), (0.999, "p999"))) + " FROM r WHERE isfinite(value) GROUP BY method")
+LATENCIES = reports("SELECT method, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std, " + ", ".join(f"round(quantile_cont(value, {q}), 9) AS {n}" for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"), (0.999, "p999"))) + " FROM r WHERE isfinite(value) GROUP BY method")
 
 
 def traces(body: str) -> str:
     return reports(body, "parts AS (SELECT method, dataset, value, ntile(12) OVER (PARTITION BY method, dataset ORDER BY seq) AS part FROM r)", "trace AS (SELECT method, dataset, part, avg(value) AS mean, quantile_cont(value, 0.99) AS p99 FROM parts GROUP BY ALL)")
 
 
-TRACE_ENVELOPE = traces("SELECT method, part, round(avg(mean), 6) AS mean, round(min(mean), 6) AS low, round(max(mean), 6) AS high FROM trace JOIN (SELECT method, min(z) AS z FROM (SELECT method, dataset, max(part) AS z FROM trace GROUP BY ALL) GROUP BY method) USING (method) WHERE part <= z GROUP BY method, part")
+TRACE_ENVELOPE = traces("SELECT method, part, round(avg(mean), 9) AS mean, round(min(mean), 9) AS low, round(max(mean), 9) AS high FROM trace JOIN (SELECT method, min(z) AS z FROM (SELECT method, dataset, max(part) AS z FROM trace GROUP BY ALL) GROUP BY method) USING (method) WHERE part <= z GROUP BY method, part")
 CDF = reports("SELECT seq, method, value, round(row_number() OVER (PARTITION BY method ORDER BY value NULLS FIRST, seq) / CAST(count(*) OVER (PARTITION BY method) AS DOUBLE), 9) AS share FROM r")
-ENVELOPE = reports("SELECT method, seed, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high FROM (SELECT method, seed, dataset, avg(value) AS value FROM r GROUP BY ALL) GROUP BY method, seed")
-SEEDS = reports("SELECT method, count(*) AS seeds, round(avg(recall), 6) AS recall_mean, round(stddev_pop(recall), 6) AS recall_std, round(avg(qps), 6) AS qps_mean, round(stddev_pop(qps), 6) AS qps_std FROM (SELECT method, seed, avg(value) AS recall, CAST(count(*) AS DOUBLE) AS qps FROM r GROUP BY ALL) GROUP BY method")
-BUDGETS = reports("SELECT round(b.budget, 6) AS budget, method, round(recall, 6) AS recall, qps FROM b LEFT JOIN (SELECT budget, method, recall, qps, row_number() OVER (PARTITION BY budget ORDER BY recall DESC, qps DESC, method) AS k FROM b JOIN c ON cost <= budget) s ON s.budget = b.budget AND k = 1", "c AS (SELECT method, avg(value) AS cost, quantile_cont(value, 0.9) AS recall, CAST(count(*) AS DOUBLE) AS qps FROM r GROUP BY method)", "b AS (SELECT -1.0 AS budget UNION ALL SELECT 1e9 UNION ALL SELECT avg(cost) FROM c)")
-SPEEDUP = reports("SELECT count(*) AS datasets, round(avg(y.value / x.value), 6) AS mean, round(min(y.value / x.value), 6) AS low, round(max(y.value / x.value), 6) AS high FROM e x JOIN e y USING (dataset) WHERE x.method = 'click' AND y.method = 'view' AND x.value <> 0", "e AS (SELECT method, dataset, avg(value) AS value FROM r GROUP BY ALL)")
-LOOKUP = reports("SELECT method, round(arg_min(value, struct_pack(g := abs(dataset - 2.4), d := dataset)), 6) AS nearest, round(max(value) FILTER (WHERE dataset = 3), 6) AS at_3, round(max(value) FILTER (WHERE dataset = 9), 6) AS at_9 FROM e GROUP BY method", "e AS (SELECT method, dataset, avg(value) AS value FROM r GROUP BY ALL)")
+ENVELOPE = reports("SELECT method, seed, round(avg(value), 9) AS mean, round(min(value), 9) AS low, round(max(value), 9) AS high FROM (SELECT method, seed, dataset, avg(value) AS value FROM r GROUP BY ALL) GROUP BY method, seed")
+SEEDS = reports("SELECT method, count(*) AS seeds, round(avg(recall), 9) AS recall_mean, round(stddev_pop(recall), 9) AS recall_std, round(avg(qps), 9) AS qps_mean, round(stddev_pop(qps), 9) AS qps_std FROM (SELECT method, seed, avg(value) AS recall, CAST(count(*) AS DOUBLE) AS qps FROM r GROUP BY ALL) GROUP BY method")
+BUDGETS = reports("SELECT round(b.budget, 9) AS budget, method, round(recall, 9) AS recall, qps FROM b LEFT JOIN (SELECT budget, method, recall, qps, row_number() OVER (PARTITION BY budget ORDER BY recall DESC, qps DESC, method) AS k FROM b JOIN c ON cost <= budget) s ON s.budget = b.budget AND k = 1", "c AS (SELECT method, avg(value) AS cost, quantile_cont(value, 0.9) AS recall, CAST(count(*) AS DOUBLE) AS qps FROM r GROUP BY method)", "b AS (SELECT -1.0 AS budget UNION ALL SELECT 1e9 UNION ALL SELECT avg(cost) FROM c)")
+SPEEDUP = reports("SELECT count(*) AS datasets, round(avg(y.value / x.value), 9) AS mean, round(min(y.value / x.value), 9) AS low, round(max(y.value / x.value), 9) AS high FROM e x JOIN e y USING (dataset) WHERE x.method = 'click' AND y.method = 'view' AND x.value <> 0", "e AS (SELECT method, dataset, avg(value) AS value FROM r GROUP BY ALL)")
+LOOKUP = reports("SELECT method, round(arg_min(value, struct_pack(g := abs(dataset - 2.4), d := dataset)), 9) AS nearest, round(max(value) FILTER (WHERE dataset = 3), 9) AS at_3, round(max(value) FILTER (WHERE dataset = 9), 9) AS at_9 FROM e GROUP BY method", "e AS (SELECT method, dataset, avg(value) AS value FROM r GROUP BY ALL)")
 FLAT = reports("SELECT method, row_number() OVER (PARTITION BY method ORDER BY seq) - 1 AS place, seq, value FROM r")
 KEYS = reports("SELECT label, lower(regexp_replace(label, '[ _-]', '', 'g')) AS key, CAST(regexp_extract(label, 'L(\\d+)$', 1) AS BIGINT) AS size, replace(label, 'My-', 'Our ') AS shown, printf('%.3f', n / 8.0) AS text FROM (SELECT 'My-' || upper(method[1]) || lower(method[2:]) || '_L' || dataset AS label, count(*) AS n FROM r GROUP BY method, dataset)")
 LAST = reports("SELECT method, count(*) FILTER (WHERE dataset = 1 OR method NOT IN ('click', 'view')) AS n FROM r GROUP BY method")
