@@ -252,9 +252,10 @@ def plain_contamination(rows, items):
     return out
 
 
-@pytest.mark.parametrize("block", [2_000_000, 3_000])
-def test_decontamination(spark, docs, rows, block, monkeypatch):
+@pytest.mark.parametrize(("block", "blocks"), [(2_000_000, 8), (3_000, 8), (5_000, 2)])
+def test_decontamination(spark, docs, rows, block, blocks, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", blocks)
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     some = [r["text"] for r in bench.limit(3).collect()]
     more = spark.createDataFrame([("short", "TWO, Words!"), ("nothing", "..."), ("null", None), ("again", some[0])], "item_id string, text string")

@@ -2,15 +2,16 @@
 
 Every window of 13 consecutive normalised words of a benchmark item (an item of fewer words is one window) is a pattern.
 One automaton over the patterns reads each normalised text once; a match's place gives the words it covers, and the
-words' own offsets lead back to the original text. The benchmark travels to the executors only as blocks of a checked
-size; a larger benchmark takes several automata, each with its own pass over the texts.
+words' own offsets lead back to the original text. The benchmark travels to the executors as blocks of a checked size,
+each with its automaton, PASS_BLOCKS of them at most at a time: a larger benchmark takes several passes over the texts,
+each of which writes what it found before the next one's blocks are sent.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -18,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, volume
+from .common import id_and_text, remove_stored, stored, volume
 
 #: Words of a window.
 WINDOW = 13
 #: UTF-8 bytes of benchmark text in one automaton.
 BLOCK_BYTES = 2_000_000
+#: Blocks that are sent, and whose automata a worker keeps, at a time.
+PASS_BLOCKS = 8
+#: What a pass finds: words, words hit, first and last + 1 of each run of these in turn, and items.
+MARKS = {"n_words": "long", "n_hit": "long", "runs": "array<int>", "items": "array<string>"}
 #: Characters that belong to no word become spaces; A-Z become a-z; all bytes above 127 belong to words.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -37,7 +42,7 @@ def windows(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-@cache
+@lru_cache(PASS_BLOCKS)
 def automaton(items: tuple[tuple[str, str], ...]) -> ahocorasick.Automaton | None:
     """From a window, with a space on either side, to its number of words and the items that hold it."""
     held: dict[bytes, set[str]] = {}
@@ -77,13 +82,75 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def blocks(benchmark: DataFrame) -> list[tuple[tuple[str, str], ...]]:
-    """The benchmark's (item_id, text) pairs, in blocks of about BLOCK_BYTES, fetched one block at a time."""
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[tuple[str, str], ...]]]:
+    """The benchmark's (item_id, text) pairs: lists of PASS_BLOCKS blocks of about BLOCK_BYTES, fetched one block at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     _, size = volume(items)
     n = max(1, -(-size // BLOCK_BYTES))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [tuple(sorted((r["item_id"] or "", r["text"]) for r in items.where(part == i).collect())) for i in range(n)]
+    for i in range(0, n, PASS_BLOCKS):
+        yield [tuple(sorted((r["item_id"] or "", r["text"]) for r in items.where(part == k).collect())) for k in range(i, min(n, i + PASS_BLOCKS))]
+
+
+def runs_of(hit: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).astype(np.int32)
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, keep: list[str], prefix: str) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and, with ``prefix``, those of MARKS."""
+    spark, columns = docs.sparkSession, docs.columns
+    k, names = columns.index("text"), [prefix + m for m in MARKS]
+    now, done, sent = docs, None, []
+    groups = blocks(benchmark)
+    group, coming = next(groups), next(groups, None)
+    while True:
+        sent = [spark.sparkContext.broadcast(b) for b in group]  # PASS_BLOCKS * BLOCK_BYTES at most, about
+        out = columns if coming else keep
+        schema = docs.select(*(f"`{c}`" for c in out)).withColumns({n: F.lit(None).cast(t) for n, t in zip(names, MARKS.values(), strict=True)}).schema
+        found = now.mapInArrow(_pass(sent, k, len(columns), [columns.index(c) for c in out]), schema)
+        if not coming:
+            return found
+        last, done = done, stored(found)
+        for s in sent:
+            s.unpersist()
+        if last is not None:
+            remove_stored(last)
+        now, group, coming = done, coming, next(groups, None)
+
+
+def _pass(sent: list, k: int, own: int, keep: list[int]):
+    """Reads the texts in column k with the automata of the blocks; columns from ``own`` on are an earlier pass's marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = [automaton(s.value) for s in sent]
+        for batch in batches:
+            texts = batch.column(k).to_pylist()
+            before = [c.to_pylist() for c in batch.columns[own + 2 : own + 4]] or [[()] * len(texts)] * 2
+            n_words, n_hit, runs, items = [], [], [], []
+            for text, old, known in zip(texts, *before, strict=True):
+                words = normalised(text)
+                hit, found = np.zeros(len(words), bool), set(known)
+                for a, z in zip(old[::2], old[1::2], strict=True):
+                    hit[a:z] = True
+                for m in machines:
+                    more, named = hits(words, m)
+                    hit |= more
+                    found |= named
+                n_words.append(len(words))
+                n_hit.append(int(hit.sum()))
+                runs.append(runs_of(hit))
+                items.append(sorted(found))
+            marks = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            fields = [*(batch.schema.field(i) for i in keep), *(pa.field(f"m{i}", m.type) for i, m in enumerate(marks))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *marks], schema=pa.schema(fields))
+
+    return run
+
+
+def is_contaminated(prefix: str = ""):
+    """Some word is hit, and at least one in twenty."""
+    n_hit = F.col(prefix + "n_hit")
+    return (n_hit > 0) & (20 * n_hit >= F.col(prefix + "n_words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -93,66 +160,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and digits. Items without words match nothing, items with equal windows are all found, and an empty benchmark finds
     nothing. Repeated rows and repeated or null doc_ids give a row each.
     """
-    return _run(docs, benchmark, with_text=False)
+    found = marked(id_and_text(docs), benchmark, ["doc_id"], "")
+    return found.drop("runs").withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", is_contaminated())
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id and spans (start, end) of maximal runs of hit words, in code points of the original text."""
-    found = _run(docs, benchmark, with_text=True)
-    return found.select("doc_id", "spans")
-
-
-def _run(docs: DataFrame, benchmark: DataFrame, with_text: bool) -> DataFrame:
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(b) for b in blocks(benchmark)]
-    schema = "doc_id long, n_words long, n_hit long, items array<string>" + ", spans array<struct<start:int,end:int>>" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [automaton(s.value) for s in sent]
         for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                words = normalised(text)
-                hit, found = hits(words, machines[0])
-                for m in machines[1:]:
-                    more, names = hits(words, m)
-                    hit, found = hit | more, found | names
-                n_words.append(len(words))
-                n_hit.append(int(hit.sum()))
-                items.append(sorted(found))
-                if with_text:
-                    at = word_spans(text or "") if found else []
-                    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                    spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)])
-            columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
-            names = ["doc_id", "n_words", "n_hit", "items"]
-            if with_text:
-                columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
-                names.append("spans")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    found = id_and_text(docs).mapInArrow(run, schema)
-    n_hit = F.col("n_hit")
-    return found.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (n_hit > 0) & (20 * n_hit >= F.col("n_words")))
+            spans = []
+            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                at = word_spans(text) if runs else []
+                spans.append([{"start": at[a][0], "end": at[z - 1][1]} for a, z in zip(runs[::2], runs[1::2], strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "spans"])
+
+    found = marked(id_and_text(docs), benchmark, ["doc_id", "text"], "").select("doc_id", "text", "runs")
+    return found.mapInArrow(run, "doc_id long, spans array<struct<start:int,end:int>>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text isn't contaminated; texts are judged as in ``contamination``."""
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [automaton(s.value) for s in sent]
-        for batch in batches:
-            keep = []
-            for text in batch.column("text").to_pylist():
-                words = normalised(text)
-                hit = np.zeros(len(words), bool)
-                for m in machines:
-                    hit |= hits(words, m)[0]
-                keep.append(not (hit.any() and 20 * int(hit.sum()) >= len(words)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    prefix = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))  # more than any column has
+    return marked(docs, benchmark, docs.columns, prefix).where(~is_contaminated(prefix)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def items_digest(items: list[str]) -> str:
