@@ -252,7 +252,7 @@ def plain_contamination(rows, items):
     return out
 
 
-@pytest.mark.parametrize(("block", "blocks"), [(2_000_000, 8), (3_000, 8), (5_000, 2)])
+@pytest.mark.parametrize(("block", "blocks"), [(2_000_000, 8), (3_000, 8), (2_500, 2)])
 def test_decontamination(spark, docs, rows, block, blocks, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     monkeypatch.setattr(decontaminate, "PASS_BLOCKS", blocks)
