@@ -225,13 +225,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One row of each component of ``docs``, all columns: the one with the smallest doc_id.
 
+    ``found`` has doc_id and component_id of every row, if not those of ``near_duplicates``.
+
     Rows that repeat a doc_id and its text count once. Where a component has no doc_id but null, a null row stays for
     each different text.
     """
-    stay = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    stay = (near_duplicates(docs) if found is None else found).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
     kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
     repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_stays"))
     if repeated.isEmpty():
