@@ -29,27 +29,23 @@ SAMPLE, ROUNDS = 16_384, 40
 CODE = 64
 #: Vectors of one block of a bucket; rows that one task handles at a time, about.
 BLOCK, TASK_ROWS = 4096, 30_000
-#: Part of the pairs at the threshold that the tables may miss, by the binomial law.
-MISS = 0.02
+#: Part of the pairs at the threshold that the tables may miss, and pairs made from the sample to measure it on.
+MISS, PAIRS = 0.02, 8192
 
 
-def plan(rows: int, cosine: float, bits: int = CODE) -> tuple[list[np.ndarray], int]:
+def plan(rows: int, differ: list[np.ndarray], bits: int = CODE) -> tuple[list[np.ndarray], int]:
     """The bits of each table, and the radius of a lookup.
 
-    Pieces are about log2(rows / 200) bits long, 8 to 16; the radius is the least one of 0 and 1 that finds a pair at
-    the threshold often enough, shorter pieces being taken where neither does. A bit of a pair with angle a differs with
-    probability a / pi.
+    Pieces are about log2(rows / 200) bits long, 8 to 16; the radius is the least one of 0 and 1 that finds pairs at the
+    threshold often enough, shorter pieces being taken where neither does. ``differ`` has, for each dimension, a row of
+    differing bits for each of some pairs at the threshold (``Coder.differ``); the worst dimension decides.
     """
-    p = math.acos(cosine) / math.pi
     for size in range(min(16, max(8, round(math.log2(max(1, rows) / 200)) if rows > 200 else 8)), 0, -1):
         tables = max(1, min(bits, round(bits / size)))
         pieces = np.array_split(np.arange(bits), tables)
         for radius in (0, 1):
-            miss = 1.0
-            for x in pieces:
-                k = len(x)
-                miss *= 1 - (1 - p) ** k - radius * k * p * (1 - p) ** (k - 1)
-            if miss <= MISS:
+            # a pair is missed if all its pieces differ in more bits than the radius
+            if all(np.all([d[:, x].sum(1) > radius for x in pieces], axis=0).mean() <= MISS for d in differ):
                 return pieces, radius
     return pieces, 1
 
@@ -108,6 +104,21 @@ class Coder:
         bits[:, : w.shape[1]] = (units(vectors) - mean) @ w >= 0
         return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
 
+    def differ(self, vectors: np.ndarray, cosine: float, seed: int = 13) -> np.ndarray:
+        """A row of CODE flags for each pair: bits that differ between a vector and one turned, at random, to the cosine.
+
+        Half of the turns go any way; the others go where another vector of the sample lies.
+        """
+        rng = np.random.default_rng(seed)
+        unit = units(vectors)
+        unit = unit[rng.integers(len(unit), size=PAIRS)]
+        way = rng.normal(size=unit.shape)
+        way[PAIRS // 2 :] = unit[rng.permutation(PAIRS)[PAIRS // 2 :]] + 1e-6 * way[PAIRS // 2 :]
+        way -= (way * unit).sum(1, keepdims=True) * unit
+        way /= np.sqrt((way * way).sum(1, keepdims=True)) + 1e-300
+        codes = self.codes(unit) ^ self.codes(cosine * unit + math.sqrt(max(0.0, 1 - cosine * cosine)) * way)
+        return np.unpackbits(codes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+
 
 def pieces_of(codes: np.ndarray, pieces: list[np.ndarray]) -> list[np.ndarray]:
     return [((codes >> np.uint64(p[0])) & np.uint64((1 << len(p)) - 1)).astype(np.int64) for p in pieces]
@@ -153,10 +164,11 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     distinct = base.where("vec is not null").groupBy("node", "dim", "vec").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
     distinct = stored(distinct)
     rows = distinct.count()
-    pieces, radius = plan(rows, cosine)
     share = min(1.0, SAMPLE / max(1, rows))
     picked = distinct.where(F.pmod("node", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select("dim", "vec").limit(2 * SAMPLE).toPandas()
-    coder = Coder({int(d): np.frombuffer(b"".join(g["vec"]), np.float64).reshape(-1, int(d)) for d, g in picked.groupby("dim")})
+    sample = {int(d): np.frombuffer(b"".join(g["vec"]), np.float64).reshape(-1, int(d)) for d, g in picked.groupby("dim")}
+    coder = Coder(sample)
+    pieces, radius = plan(rows, [coder.differ(v, cosine) for d, v in sample.items() if d > 1])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for batch in batches:
