@@ -9,13 +9,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vecmill.llm import bpe, decontaminate, pii, substrings, suffixes, token_counts
+from vecmill.llm import bpe, decontaminate, substrings, suffixes, token_counts
 
 from .conftest import same
 
@@ -24,77 +25,6 @@ sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdig
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-# ---------------------------------------------------------------- personal data
-def plain_base(text):
-    def luhn(s):
-        d = [int(c) for c in s if c in "0123456789"]
-        return 14 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0
-
-    patterns = {
-        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
-        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
-        "card": (r"[0-9]([\x20-]?[0-9])+", luhn),
-        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= sum(c in "0123456789" for c in s) <= 15),
-    }
-    out = []
-    for kind, (pattern, ok) in patterns.items():
-        out += [(kind, m.start(), m.end()) for m in re.finditer(pattern, text) if ok(m[0])]
-    return sorted(out, key=lambda s: (s[1], list(patterns).index(s[0])))
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="0123456789+-.() @ab_é\n", max_size=80))
-def test_base_spans_are_the_patterns(text):
-    assert pii.base_spans(text) == plain_base(text)
-
-
-def test_pii_query_rows(docs, rows, spark):
-    found = pii.find(docs).collect()
-    wanted = []
-    for i, t in rows:
-        b = plain_base(t or "")
-        wanted.append((i, *(sum(s[0] == k for s in b) for k in pii.KINDS), sha(pii.written(b))))
-    same([r[:6] for r in found], wanted)
-    texts = defaultdict(list)
-    for i, t in rows:
-        texts[i].append(t or "")
-    for r in found:
-        spans = [s.split(":") for s in r["spans"].split(",") if s]
-        assert len(spans) == r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] + r["n_added"]
-        assert any(set(pii.written(plain_base(t)).split(",")) - {""} <= {":".join(s) for s in spans} for t in texts[r["doc_id"]])
-    assert pii.find(docs.limit(0)).collect() == []
-
-
-def test_lstm_crf_on_held_out_windows():
-    model = pii.fit([], steps=600)
-    held = pii.invented(np.random.default_rng(99), 300)
-    base, added = pii.found([t for t, _ in held], model)
-    right = sum(len(set(a) & set(s)) for a, (_, s) in zip(added, held, strict=True))
-    missed = sum(len(set(s) - set(b)) for b, (_, s) in zip(base, held, strict=True))
-    assert right >= 0.95 * sum(map(len, added)) and right >= 0.2 * missed
-
-
-def test_crf_gradient_is_the_slope():
-    rng = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in pii.initial(rng).items()}
-    codes, labels = rng.integers(0, pii.SYMBOLS, (3, 12)), rng.integers(0, pii.LABELS, (3, 12))
-    loss, grad = pii.gradient(p, codes, labels)
-    for name in ("t", "o", "hf", "hb", "s", "e"):
-        at = tuple(0 for _ in p[name].shape)
-        q = p | {name: p[name].copy()}
-        q[name][at] += 1e-2
-        up = pii.gradient(q, codes, labels)[0]
-        q[name][at] -= 2e-2
-        assert abs((up - pii.gradient(q, codes, labels)[0]) / 2e-2 - grad[name][at]) < 2e-3
-
-
-def test_masked_texts_hold_no_base_span(docs):
-    masked = pii.masked(docs, pii.fit([], steps=20))
-    texts = [r["text"] for r in masked.select("text").collect()]
-    assert not any(plain_base(t) for t in texts if t and "<" in t)
-    assert masked.columns == docs.columns
-
-
 # ---------------------------------------------------------------- repeated words and bytes
 def plain_words(rows, window=13):
     where = defaultdict(set)
@@ -156,13 +86,39 @@ def plain_bytes(rows, length=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [200, 3])
+@pytest.mark.parametrize("hot", [16_384, 3])
 def test_suffix_dedup(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "n_batches", lambda *_: 5)
     same(suffixes.digests(docs).collect(), plain_bytes(rows))
 
 
+def test_a_frequent_passage_is_sorted_too(spark, monkeypatch):
+    """5,000 copies of a passage, whole or cut, between words of their own: all through the suffix sort."""
+    monkeypatch.setattr(suffixes, "n_batches", lambda *_: 12)
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage = word(90)
+    rows = [(i, f"{word(int(rng.integers(0, 12)))} {passage[int(rng.integers(0, 3)) * 100 :]} {word(int(rng.integers(0, 12)))}") for i in range(5000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    same(suffixes.digests(table).collect(), plain_bytes(rows))
+    b = suffixes.Batch(pa.table({"text": [t for _, t in rows[:400]]}))
+    keys, marks, number = b.anchors()
+    assert (marks >= suffixes._TWICE).any() and (suffixes._anchor_counts(keys, marks, marks, np.arange(len(keys))) < 2).all()
+    assert len(np.unique(b.verified_names(np.arange(len(b.begin))))) == len(np.unique(b.names(np.arange(len(b.begin)))))
+
+
+def test_names_that_collide_are_told_apart(monkeypatch):
+    texts = ["a" * 150 + "b" * 150, "a" * 150 + "c" * 150] * 2
+    b = suffixes.Batch(pa.table({"text": texts}))
+    monkeypatch.setattr(suffixes.Batch, "names", lambda self, which: np.zeros(len(which), np.uint64))
+    which = np.flatnonzero(b.end - b.begin == (b.end - b.begin)[0])
+    name = b.verified_names(which)
+    text = [bytes(b.data[b.begin[w] : b.end[w] + suffixes.LENGTH - 1]) for w in which]
+    zero = [t for t, n in zip(text, name, strict=True) if not n]
+    assert len(set(zero)) == 1 and len(set(name[name > 0])) == (name > 0).sum()
+
+
 def test_suffix_order_is_the_sorted_order():
     rng = np.random.default_rng(3)
     text = rng.integers(97, 99, 900).astype(np.uint8)

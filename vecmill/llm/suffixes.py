@@ -9,8 +9,9 @@ it, read backwards, as well: a merge sort whose comparisons find the common exte
 over prefix polynomial hashes. Neighbours' extensions are verified byte by byte. Two stretches hold the same string at
 distance t before the anchor if their order-neighbours share at least LENGTH - t bytes after it and t bytes before it.
 
-An anchor that occurs over HOT times would fill one task: its strings are asked for one by one instead (their hashes, each
-once from a batch of documents, spread over all tasks), so that no frequent passage is dropped or capped.
+Equal stretches of a batch are one, once their bytes agree, so a frequent passage is one stretch from each batch. An anchor
+that stands in over HOT different stretches would still fill one task: its strings are asked for one by one instead (their
+hashes, each once from a batch of documents, spread over all tasks), so that nothing is dropped or capped.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ LENGTH = 200
 GRAM = 32
 #: Starts that can share one anchor occurrence.
 SPAN = LENGTH - GRAM + 1
-#: Occurrences of an anchor beyond which its strings are asked for singly.
-HOT = 200
+#: Stretches of an anchor, all batches together, beyond which its strings are asked for singly (about 0.5 kB each in one task).
+HOT = 16_384
+#: Steps of a byte's logarithmic count of stretches in an eighth of a doubling; the top bit says that the anchor occurs twice.
+_STEPS, _TWICE = 8, 128
 #: Bytes whose anchors are found at a time; places inside a piece take PLACE bits.
 PIECE, PLACE = 1 << 19, 20
 _ANCHOR, _STRING = 1, 3
@@ -93,9 +96,16 @@ class Batch:
         self.begin, self.end = join(begins, np.int64), join(ends, np.int64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors, their occurrences (255 at most), and the number of each stretch's anchor."""
+        """Distinct anchors, a mark of each (its different stretches, and whether it occurs twice), and the number of each stretch's anchor."""
         keys, number, times = np.unique(self.anchor, return_inverse=True, return_counts=True)
-        return keys, np.minimum(times, 255).astype(np.uint8), number
+        several = np.flatnonzero((times > 1)[number])
+        different = np.ones(len(keys), np.int64)
+        if len(several):
+            pairs = np.unique(np.stack([number[several].astype(np.uint64), self.names(several)]), axis=1)[0].astype(np.int64)
+            at, n = np.unique(pairs, return_counts=True)
+            different[at] = n
+        marks = np.minimum(np.ceil(_STEPS * np.log2(different)), _TWICE - 1) + _TWICE * (times > 1)
+        return keys, marks.astype(np.uint8), number
 
     def starts(self, which: np.ndarray) -> np.ndarray:
         """All starts of some stretches."""
@@ -112,18 +122,36 @@ class Batch:
 
     def names(self, which: np.ndarray) -> np.ndarray:
         """A hash of each stretch's text, anchor place and extent."""
-        out = np.zeros(len(which), np.uint64)
         first, last = self.begin[which], self.end[which] - 1
         shape = ((self.place[which] - first) * 1024 + (last - first)).astype(np.uint64)
         # strings that overlap from end to end fix the text between; one in SPAN starts is enough
         out = self.string_hashes(first) * np.uint64(0x9E3779B97F4A7C15) + self.string_hashes(last)
         return mix(out ^ mix(shape))
 
+    def verified_names(self, which: np.ndarray) -> np.ndarray:
+        """``names``, but different where the bytes are: each stretch is compared with the first one of its name."""
+        name = self.names(which)
+        _, where, number = np.unique(name, return_index=True, return_inverse=True)
+        again = np.flatnonzero(where[number] != np.arange(len(name)))
+        col = np.arange(SPAN - 1 + LENGTH)
+        for i in range(0, len(again), 4096):
+            mine = which[again[i : i + 4096]]
+            theirs = which[where[number[again[i : i + 4096]]]]
+            size = (self.end - self.begin)[mine] + LENGTH - 1
+            inside = col < size[:, None]
+            x, y = (self.data[np.where(inside, self.begin[k][:, None] + col, 0)] for k in (mine, theirs))
+            wrong = ((x != y) & inside).any(1) | ((self.end - self.begin)[theirs] + LENGTH - 1 != size)
+            bad = again[i : i + 4096][wrong]
+            name[bad] = mix(name[bad] + bad.astype(np.uint64) + np.uint64(1))
+        return name
+
 
 def _anchor_counts(keys: np.ndarray, owner: np.ndarray, marks: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """0: one occurrence in all; 1: several; 2: over HOT."""
-    times = np.add.reduceat(marks.astype(np.int64), first)
-    return spread((times > 1).astype(np.uint8) + (times > HOT), first, len(keys)).astype(np.uint8)
+    """0: one occurrence in all; 1: several; 2: in over HOT stretches."""
+    batches = np.diff(np.append(first, len(keys)))
+    repeated = (batches > 1) | (np.maximum.reduceat(marks, first) >= _TWICE)
+    stretches = np.add.reduceat(2.0 ** ((marks % _TWICE) / _STEPS), first)
+    return spread(repeated.astype(np.uint8) * (1 + (stretches > HOT)), first, len(keys)).astype(np.uint8)
 
 
 def _repeated(keys: np.ndarray, owner: np.ndarray, marks: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -275,7 +303,7 @@ def _run(docs: DataFrame, with_text: bool) -> DataFrame:
         _, _, number = b.anchors()
         code = collect_answers(answers, _ANCHOR)[number]
         which = np.flatnonzero(code == 1)
-        return which, b.names(which), np.flatnonzero(code == 2)
+        return which, b.verified_names(which), np.flatnonzero(code == 2)
 
     def stretches(rows: pa.Table, answers: pa.Table) -> pa.Table:
         names = STRETCH.replace(",", "").split()[::2]
