@@ -1,4 +1,4 @@
-"""Tables that end a plan's lineage, in the shared folder of spark.checkpoint.dir."""
+"""Tables that end a plan's lineage, in the shared folder of spark.checkpoint.dir; they are deleted when the driver ends."""
 
 from __future__ import annotations
 
@@ -14,13 +14,40 @@ def _own() -> str:
     return "file://" + tempfile.mkdtemp(prefix="vecmill-")
 
 
-def scratch_path(spark: SparkSession) -> str:
-    """A new path in the shared folder; in a local temporary one only where the setting is unset (tests)."""
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder. Where the setting is absent, a local session gets a temporary one; a cluster has none to share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/') if base else _own()}/vecmill/{uuid.uuid4().hex}"
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own()
+    return base.rstrip("/")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder for a table or several, which goes when the driver ends."""
+    path = f"{scratch_dir(spark)}/vecmill/{uuid.uuid4().hex}"
+    at, files = _hadoop(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
-    path = scratch_path(df.sparkSession)
+    """``df`` written as Parquet into the shared scratch folder and read again: lineage ends here."""
+    path = f"{scratch_path(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_stored(df: DataFrame) -> None:
+    """Delete the files behind a ``stored`` table that no later plan reads."""
+    for f in df.inputFiles()[:1]:
+        at, files = _hadoop(df.sparkSession, f)
+        files.delete(at.getParent().getParent(), True)
