@@ -24,10 +24,11 @@ def shifted(mean, n=1500, dim=64, seed=5):
 
 
 def bucket_recall(rows, x, y, mean):
-    coder = embeddings.Coder({64: np.concatenate([x, y])})
-    pieces, radius = embeddings.plan(rows, [coder.differ(np.concatenate([x, y]), 0.95)])
-    pairs = zip(embeddings.pieces_of(coder.codes(x), pieces), embeddings.pieces_of(coder.codes(y), pieces), strict=True)
-    return np.mean(np.any([np.bitwise_count(p ^ q) <= radius for p, q in pairs], axis=0))
+    both = np.concatenate([x, y])
+    coder = embeddings.Coder({64: both})
+    tables, radius = embeddings.plan(rows, coder, both, 0.95)
+    apart = np.bitwise_count(embeddings.pieces_of(x, coder, tables) ^ embeddings.pieces_of(y, coder, tables))
+    return np.mean((apart <= radius).any(1))
 
 
 @pytest.mark.parametrize("mean", [0.0, 0.7, 0.85, 0.9])

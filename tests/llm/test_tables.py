@@ -6,6 +6,7 @@ import binascii
 import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ import xxhash
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from vecmill.llm import embeddings, graph, langid, shards, simhash
+from vecmill.llm import common, embeddings, graph, langid, shards, simhash
 
 from .conftest import same
 
@@ -141,7 +142,16 @@ def test_components(spark):
 def plain_vectors(rows, cosine=0.95):
     ok = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     x = [np.array(rows[i][1], float) / np.linalg.norm(np.array(rows[i][1], float)) for i in ok]
-    links = [(a, b) for k, a in enumerate(ok) for m, b in enumerate(ok[:k]) if len(x[k]) == len(x[m]) and float(x[k] @ x[m]) >= cosine - 1e-12]
+    exact = lambda v: [Fraction(c) for c in v]
+
+    def linked(i, j, near):
+        if abs(near - cosine) > 1e-9:
+            return near > cosine
+        a, b = exact(rows[i][1]), exact(rows[j][1])
+        dot = sum(p * q for p, q in zip(a, b, strict=True))
+        return dot > 0 and dot**2 >= Fraction(cosine) ** 2 * sum(p * p for p in a) * sum(q * q for q in b)
+
+    links = [(a, b) for k, a in enumerate(ok) for m, b in enumerate(ok[:k]) if len(x[k]) == len(x[m]) and linked(a, b, float(x[k] @ x[m]))]
     n = Counter(i for p in links for i in p)
     part = classes(len(rows), links)
     low = defaultdict(list)
@@ -172,6 +182,45 @@ def test_embeddings(spark, block, monkeypatch):
     assert embeddings.near_duplicates(table.limit(0)).collect() == []
 
 
+def test_the_threshold_is_exact(spark, monkeypatch):
+    """Cosines of exactly 19/20, and a hair less, in many scales and signs of the same integers; all pairs are compared."""
+    monkeypatch.setattr(embeddings, "plan", lambda *_: ([(0, 0, 1)], 1))
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(40):
+        y = [19.0, 6.0, 1.0, 1.0, 1.0] if k % 2 else [19.0, 6.0, 1.0, 1.0, 1.0 + 2e-14]  # of length 20, or a little over
+        order = rng.permutation(4)
+        for v in ([1.0, 0, 0, 0, 0], [y[0], *(y[1 + o] * rng.choice([-1, 1]) for o in order)]):
+            e = np.zeros(64)
+            e[5 * (k % 12) : 5 * (k % 12) + 5] = v
+            rows.append((2 * k if len(rows) % 2 == 0 else 2 * k + 1, (e * 10.0 ** int(rng.integers(-3, 4))).tolist()))
+    assert embeddings.reaches(np.array([1.0, 0, 0, 0, 0]), np.array([19.0, 6, 1, 1, 1]), 0.95)
+    assert not embeddings.reaches(np.array([1.0, 0, 0, 0, 0]), np.array([19.0, 6, 1, 1, 1 + 1e-13]), 0.95)
+    found = [tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    same(found, plain_vectors(rows))
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    left = spark.createDataFrame([(k % 3 if k < 200 else k, k) for k in range(260)] + [(None, 1)], "key long, x long")
+    right = spark.range(300).selectExpr("id AS key", "id * 2 AS y")
+    found = common.skew_join(left, right, "key")
+    assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
+    same(found.collect(), left.join(right, "key").collect())
+
+
+def test_pieces_and_leaves_grow_with_the_rows():
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(3000, 64))
+    coder = embeddings.Coder({64: v})
+    for rows in (10_000, 10**8, 10**10):
+        tables, radius = embeddings.plan(rows, coder, v, 0.95)
+        assert min(size for _, _, size in tables) >= min(21, round(math.log2(rows / embeddings.FILL)))
+        assert radius in (0, 1)
+    deep = simhash.Tree(rng.integers(0, 2**63, 200_000, dtype=np.uint64), 10**9)
+    assert deep.leaves > 4096
+
+
 def test_embeddings_of_the_shipped_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     found = embeddings.near_duplicates(table).collect()

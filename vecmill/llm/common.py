@@ -3,47 +3,18 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove_stored, scratch_path, stored  # noqa: F401  (shared with the other operators)
+
 #: Bytes of text that one batch holds on average.
 BATCH_BYTES = 6_000_000
 
-_own_scratch: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    if not _own_scratch:
-        _own_scratch.append(tempfile.mkdtemp(prefix="vecmill-"))
-    return "file://" + _own_scratch[0]
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared scratch folder and read again: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/vecmill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_stored(df: DataFrame) -> None:
-    """Delete the files behind a ``stored`` table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only doc_id (long) and text (string): other columns, whatever their names, don't travel."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -85,6 +56,24 @@ def range_batches(docs: DataFrame, n: int) -> DataFrame:
     return out.withColumn("batch", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("_coarse") * step + above(fine)).cast("long")).drop("_coarse")
 
 
+#: Keys with more rows than this, and than this part of the table, are joined apart.
+HOT_ROWS, HOT_PART = 100_000, 1000
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on one column whose values are distinct in ``right``, where some may hold much of ``left``.
+
+    The rows of ``right`` for such keys, HOT_PART at most, are broadcast, so that no task gets all of a hot key's rows.
+    """
+    n = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS)
+    rows = n.select(key, "n").orderBy(F.desc("n")).limit(HOT_PART).collect()
+    hot = [r[key] for r in rows if r[key] is not None]
+    if not hot:
+        return left.join(right, key)
+    mine = F.col(key).isin(hot)
+    return left.where(~mine).join(right.where(~mine), key).unionByName(left.where(mine).join(F.broadcast(right.where(mine)), key))
+
+
 def strings(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all values, one after the other, and the offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

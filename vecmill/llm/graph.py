@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove_stored, stored
+from .common import HOT_ROWS, remove_stored, skew_join, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node that is reachable) of every node of ``edges`` (a long, b long).
 
-    Edges are undirected; repeated edges and loops are allowed, loops add no node. Each round groups and joins on a node
-    with partial minima only, so a node with very many edges costs no more than a row for each; the edge table never
-    grows, and each round's table replaces the last in the shared scratch folder.
+    Edges are undirected; repeated edges and loops are allowed, loops add no node. Each round takes partial minima of a
+    node's edges and joins them back; nodes with very many edges, such as the root of a large component, are joined apart
+    (``skew_join``). The edge table never grows, and each round's table replaces the last in the shared scratch folder.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = stored(pairs)
@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = (skew_join(both, least, "u") if state[0] > HOT_ROWS else both.join(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         last, now = now, stored(small)

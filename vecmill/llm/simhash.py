@@ -17,11 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored
+from .common import id_and_text, skew_join, stored
 from .graph import components
 
-#: Fingerprints from which the tree grows, and the most levels of it.
-SAMPLE, LEVELS = 4096, 12
+#: Fingerprints from which the tree grows: some for each leaf, within these bounds (32 MB at most).
+PER_LEAF, LEAST_SAMPLE, MOST_SAMPLE = 32, 4096, 1 << 22
 #: Fingerprints that live in one leaf, about; a leaf that holds more is dealt out in blocks of that size.
 LEAF = 8192
 #: Pairs below which a block is compared directly.
@@ -70,7 +70,8 @@ class Tree:
 
     def __init__(self, sample: np.ndarray, rows: int, radius: int = RADIUS):
         self.radius, self.leaves = radius, 0
-        self.root = self._grow(np.unique(sample), rows / max(1, len(sample)), LEVELS, np.random.default_rng(5))
+        levels = 2 + max(1, rows // LEAF).bit_length()  # as deep as so many rows need
+        self.root = self._grow(np.unique(sample), rows / max(1, len(sample)), levels, np.random.default_rng(5))
 
     def _grow(self, points: np.ndarray, weight: float, levels: int, rng: np.random.Generator):
         if len(points) * weight > LEAF and levels and len(points) >= 16:
@@ -163,9 +164,10 @@ def link(fps: np.ndarray, home: np.ndarray, query: np.ndarray, forest: Forest, r
 def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between distinct values of fp whose components are those of all links within the radius."""
     rows = fps.count()
-    want = min(1.0, 2 * SAMPLE / max(1, rows))
-    picked = fps.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 30)) < F.lit(int(want * (1 << 30)) + 1)).limit(4 * SAMPLE).collect()
-    tree = Tree(np.array([r["fp"] for r in picked[:SAMPLE]], np.int64).view(np.uint64), rows, radius)
+    size = min(MOST_SAMPLE, max(LEAST_SAMPLE, PER_LEAF * rows // LEAF))
+    want = min(1.0, size / max(1, rows))
+    picked = fps.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 40)) < F.lit(int(want * (1 << 40)) + 1)).limit(2 * size).toPandas()
+    tree = Tree(picked["fp"].to_numpy(np.int64).view(np.uint64), rows, radius)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +224,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
     # most components are one fingerprint: only the linked ones are joined again
     classes = known.join(lowest, "component").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return skew_join(own, classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
