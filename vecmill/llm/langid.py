@@ -20,8 +20,6 @@ from .common import id_and_text, runs_of_docs
 
 #: Labelled documents of one language, about, that training reads (a documented bound; whole texts).
 SAMPLE = 5_000
-#: Most languages that are learned, the most frequent first.
-LANGUAGES = 200
 #: Places of the hashed trigram table.
 PLACES = 1 << 16
 #: Added to each count.
@@ -30,6 +28,7 @@ ROUNDS = 8
 #: Penalty for one more language, in units of half the logarithm of the number of words.
 PENALTY = 3.0
 UNKNOWN = "und"
+#: Letters that are scored at a time, for eight languages; fewer where there are more.
 CHUNK = 600_000
 #: ASCII characters other than letters become spaces.
 LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -56,9 +55,12 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(labelled: DataFrame) -> Model:
-    """From the rows (text, lang) with both given: up to about SAMPLE documents of each language, chosen by a hash of the text."""
+    """From the rows (text, lang) with both given: up to about SAMPLE documents of each language, chosen by a hash of the text.
+
+    Every label is learned; the table takes PLACES floats for each.
+    """
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    found = rows.groupBy("lang").count().collect()
     languages = tuple(sorted(r["lang"] for r in found))
     if not languages:
         return Model((), np.zeros((PLACES, 0), np.float32))
@@ -78,7 +80,7 @@ def train(labelled: DataFrame) -> Model:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "place", "n"])
 
-    # at most LANGUAGES x PLACES rows
+    # at most PLACES rows for each language
     counts = sample.mapInArrow(count, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((PLACES, len(languages)), SMOOTH)
     table[counts["place"].to_numpy(), [languages.index(x) for x in counts["lang"]]] += counts["n"].to_numpy()
@@ -101,7 +103,7 @@ def predict(texts: list[str | None], model: Model) -> list[tuple[str, float, dic
     """(language, score, proportions of the selected languages) of each text; UNKNOWN with score 0 for null and texts without letters."""
     out: list[tuple[str, float, dict[str, float]]] = [(UNKNOWN, 0.0, {})] * len(texts)
     use = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.languages else []
-    for a, b in runs_of_docs(np.array([len(texts[i]) for i in use], np.int64), CHUNK):
+    for a, b in runs_of_docs(np.array([len(texts[i]) for i in use], np.int64), 8 * CHUNK // max(8, len(model.languages))):
         which = use[a:b]
         code, first, begin = trigrams([texts[i] for i in which])
         begin = begin[:-1]
@@ -131,8 +133,10 @@ def predict(texts: list[str | None], model: Model) -> list[tuple[str, float, dic
             better = total > value[open_]
             at = open_[better]
             value[at], share[at], chosen[at] = total[better], s[better], allowed[better] > 0
+        alone = chosen.sum(1) == 1
+        share[alone] = chosen[alone]  # proportions are of the selected set: one language has all
         own = np.where(chosen, share, 0)
-        lead = np.where(chosen.sum(1) == 1, top, own.argmax(1))
+        lead = np.where(alone, top, own.argmax(1))
         for j, i in enumerate(which):
             parts = {model.languages[c]: float(share[j, c]) for c in np.flatnonzero(chosen[j])}
             out[i] = (model.languages[lead[j]], float(min(1.0, max(0.0, share[j, lead[j]]))), parts)
@@ -169,7 +173,11 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known and makes up at least ``least`` of the text."""
+    """The rows of ``docs``, all columns, whose language is known and makes up at least ``least`` of the text.
+
+    The model is learned from the labelled rows of ``docs`` that aren't held out; without any, no row is accepted. Null
+    texts and those without a letter go; repeated rows are judged alike and all stay or go; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train_on(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
