@@ -30,15 +30,25 @@ def range_bits(entries: int) -> int:
 
 
 def ask(batch: int, kind: int, keys: np.ndarray, marks: np.ndarray, bits: int, wide: bool) -> list[tuple]:
-    """Rows of ASK for sorted distinct keys with a byte of marks each."""
+    """Rows of ASK for sorted distinct keys with a mark each: a byte or, where ``marks`` are 64-bit numbers, eight."""
     if not len(keys):
         return []
     part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     body = keys if wide else (keys >> np.uint64(32 - bits)).astype(np.uint32)
     cut = np.flatnonzero(np.diff(part)) + 1
-    marks = marks.astype(np.uint8)
     edges = [0, *cut.tolist(), len(keys)]
-    return [(kind, int(part[a]), batch, b - a, body[a:b].tobytes(), marks[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
+    return [(kind, int(part[a]), batch, b - a, body[a:b].tobytes(), _marks(marks[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _marks(marks: np.ndarray) -> bytes:
+    """Bytes of marks; numbers lie byte by byte, first bytes first, so that those of small numbers compress to nothing."""
+    if marks.dtype != np.uint64:
+        return marks.astype(np.uint8).tobytes()
+    return marks.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(marks: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(marks, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
 def table(rows: list[tuple], names: list[str], schema: str) -> pa.Table:
@@ -61,7 +71,9 @@ def answered(asked: DataFrame, replies: dict[int, tuple[bool, Reply]]) -> DataFr
         wide, reply = replies[kind]
         sizes = rows["n"].to_numpy()
         keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint64 if wide else np.uint32)
-        marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8)
+        packed = rows["marks"].to_pylist()
+        long = len(packed[0]) == 8 * sizes[0]
+        marks = np.concatenate([_numbers(m) for m in packed]) if long else np.frombuffer(b"".join(packed), np.uint8)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]

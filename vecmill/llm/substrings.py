@@ -3,9 +3,10 @@
 Reference side: each document's words are cut into non-overlapping blocks of BLOCK words. Probing side: every rolling
 window of BLOCK words. A repeat of WINDOW = 2 * BLOCK - 1 words contains a whole block wherever it stands, so a batch of
 documents asks the corpus about its rolling windows and marks those that are its blocks; a key that two batches hold, one
-of them as a block, is a hit. Hits are then extended: the WINDOW-word windows around hits, and no others, are asked for,
-and those that an earlier batch also holds are repeats, whose union is the maximal exact repeats. Batches follow doc_id,
-so an earlier batch is a smaller doc_id; inside a batch documents are compared directly.
+of them as a block, is a hit. Hits are then extended: the WINDOW-word windows around hits, and no others, are asked for
+with the smallest doc_id that holds each in the batch, and those that a smaller doc_id also holds elsewhere are repeats,
+whose union is the maximal exact repeats. Batches follow a hash of the rows, so that neither repeated nor absent doc_ids
+fill one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import words
-from .common import id_and_text, n_batches, range_batches, strings, volume
+from .common import hash_batches, id_and_text, n_batches, strings, volume
 from .exchange import ASK, ASK_NAMES, answered, ask, collect_answers, range_bits, spread, table
 
 BLOCK = 7
@@ -73,16 +74,18 @@ def _locally_shared(b: Batch, block: np.ndarray, at: np.ndarray, number: np.ndar
     return block & (low < high)
 
 
-def _repeats(b: Batch, hit: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of candidate windows, their distinct keys, the number of each start's key, and whether a smaller doc_id of the batch holds it."""
+def _repeats(b: Batch, hit: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of candidate windows, their distinct keys and the smallest doc_id of each, the number of each start's key, and whether a smaller doc_id of the batch holds it."""
     s = b.candidates(hit, at, number)
     h, _ = b.keys(WINDOW, 0x27D4EB2F165667C5)
     keys, which = np.unique(h[s], return_inverse=True)
     ids = b.rows["doc_id"].fill_null(0).to_numpy()
-    rank = np.cumsum(np.append(0, ids[1:] != ids[:-1])) if len(ids) else ids  # rows are in order of doc_id; those without one have no windows
+    known = np.unique(ids)  # as unsigned numbers of the same order below
+    rank = np.searchsorted(known, ids)  # rows without doc_id have no windows
     low = np.full(len(keys), len(ids))
     np.minimum.at(low, which, rank[b.doc[s]])
-    return s, keys, which, low[which] < rank[b.doc[s]]
+    least = known[low].view(np.uint64) ^ np.uint64(1 << 63) if len(keys) else np.zeros(0, np.uint64)
+    return s, keys, least, which, low[which] < rank[b.doc[s]]
 
 
 def _any_two(keys: np.ndarray, owner: np.ndarray, marks: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -92,10 +95,8 @@ def _any_two(keys: np.ndarray, owner: np.ndarray, marks: np.ndarray, first: np.n
 
 
 def _earlier(keys: np.ndarray, owner: np.ndarray, marks: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """1 where an earlier batch holds the key (batches come in order, each once)."""
-    out = np.ones(len(keys), np.uint8)
-    out[first] = 0
-    return out
+    """1 where another batch holds the key under a smaller doc_id than this one."""
+    return (spread(np.minimum.reduceat(marks, first), first, len(keys)) < marks).astype(np.uint8)
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def _run(docs: DataFrame, with_text: bool) -> DataFrame:
     docs = id_and_text(docs)
     rows, size = volume(docs)
     bits = range_bits(size // 5)
-    docs = range_batches(docs, n_batches(rows, size))
+    docs = hash_batches(docs, n_batches(rows, size))
 
     def ask_anchors(rows: pa.Table) -> pa.Table:
         keys, block, _, _ = Batch(rows).anchors()
@@ -131,12 +132,12 @@ def _run(docs: DataFrame, with_text: bool) -> DataFrame:
         if not len(rows):
             return table([], ASK_NAMES, ASK)
         b = Batch(rows)
-        _, keys, _, _ = _repeats(b, *hits(b, answers))
-        return table(ask(rows["batch"][0].as_py(), _REPEAT, keys, np.zeros(len(keys)), bits, wide=True), ASK_NAMES, ASK)
+        _, keys, least, _, _ = _repeats(b, *hits(b, answers))
+        return table(ask(rows["batch"][0].as_py(), _REPEAT, keys, least, bits, wide=True), ASK_NAMES, ASK)
 
     def remove(rows: pa.Table, answers: pa.Table) -> pa.Table:
         b = Batch(rows)
-        s, keys, which, local = _repeats(b, *hits(b, answers))
+        s, _, _, which, local = _repeats(b, *hits(b, answers))
         go = s[local | (collect_answers(answers, _REPEAT)[which] > 0)]
         edge = np.zeros(len(b.doc) + 1, np.int64)
         np.add.at(edge, go, 1)
