@@ -1,8 +1,9 @@
 """Shards along a Hilbert curve through several metadata dimensions, with DataFrame functions only.
 
-Each dimension is quantised to BITS bits; the cell's place on the curve orders the cells, doc_id orders the rows of a
-cell, and the whole order is cut into runs whose row counts differ by one at most (law ``rows``). A shard then spans a
-compact box of cells, so that a filter on any of the dimensions skips most files.
+Each dimension (size, source, language) is quantised to BITS bits in the order of its values, at quantiles of the rows;
+a few different values spread over the whole range, so that the curve's long steps separate them. The cell's place on the curve orders the cells, doc_id orders the rows of a cell, and the whole order
+is cut into runs whose row counts differ by one at most (law ``rows``). A shard then spans a compact box of cells, so that
+a filter on any of the dimensions skips most files.
 
 No task orders more than a slice of a cell: slices follow quantiles of doc_id, rows are numbered inside their slice, and
 the counts of the slices and cells before it make the number global.
@@ -46,10 +47,16 @@ def hilbert(cell: Column, dims: int, bits: int) -> Column:
     return once(x, lambda a: once(gray(a), lambda y: once(tail(y), lambda t: place(F.transform(y, lambda v: v.bitwiseXOR(t))))))
 
 
-def _cell(size: Column, source: Column, lang: Column) -> Column:
-    top = (1 << BITS) - 1
-    kind = lambda c: F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit(""))), F.lit(top + 1))
-    return F.array(F.greatest(F.lit(0), F.least(F.lit(top), F.floor(F.log2(size)) - 4)).cast("long"), kind(source), kind(lang))
+def _rank(value: Column) -> Column:
+    """A number in the order of strings: their first seven bytes."""
+    return F.conv(F.rpad(F.hex(F.substring(F.coalesce(value.cast("string"), F.lit("")).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def _cell(dimensions: list[tuple[Column, list[int]]]) -> Column:
+    """For each dimension how many of its bounds lie below its number, spread over the range of BITS bits."""
+    below = lambda x, bounds: F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b < x))
+    step = lambda x, bounds: F.floor(below(x, bounds) * F.lit((1 << BITS) / (len(bounds) + 1))) if bounds else F.lit(0)
+    return F.array(*(step(x, bounds).cast("long") for x, bounds in dimensions))
 
 
 def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -62,9 +69,13 @@ def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """
     column = lambda c: F.col(f"`{c}`") if c in docs.columns else F.lit(None).cast("string")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    meta = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), column("source").alias("source"), column("lang").alias("lang"))
-    meta = meta.select("doc_id", "size", "text_crc32", _cell(F.col("size"), F.col("source"), F.col("lang")).alias("cell"))
-    rows = docs.count()
+    size = F.octet_length(text).cast("long") + 16
+    numbers = {"by_size": size, "by_source": _rank(column("source")), "by_lang": _rank(column("lang"))}
+    cuts = [i / (1 << BITS) for i in range(1, 1 << BITS)]
+    rows, *found = docs.agg(F.count(F.lit(1)), *(F.percentile_approx(x, cuts, 10_000) for x in numbers.values())).first()
+    meta = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *(x.alias(n) for n, x in numbers.items()))
+    cell = _cell([(F.col(n), sorted(set(q or []))) for n, q in zip(numbers, found, strict=True)])
+    meta = meta.select("doc_id", "size", "text_crc32", cell.alias("cell"))
     meta = stored(range_batches(meta, max(1, min(SLICES, rows // SLICE_ROWS))).withColumnRenamed("batch", "slice"))
 
     counts = meta.groupBy("cell", "slice").agg(F.count(F.lit(1)).alias("n"))
@@ -82,7 +93,16 @@ def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """The documents, all columns, as one folder of Parquet for each shard, in the order of the curve; doc_ids must be distinct."""
-    place = assigned(docs, shards).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    placed = docs.join(place, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """The documents, all columns, as one folder of Parquet for each shard, in the order of the curve.
+
+    Rows of one doc_id, size and checksum are interchangeable: they are paired off with that many places.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = ["_id", "_size", "_crc"]
+    copy = F.row_number().over(Window.partitionBy(*same).orderBy(*same))
+    own = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_size": F.octet_length(text).cast("long") + 16, "_crc": F.crc32(text.cast("binary"))}).withColumn("_copy", copy)
+    place = assigned(docs, shards).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).withColumn("_copy", copy)
+    theirs = place.withColumnsRenamed({c: "r" + c for c in [*same, "_copy"]})
+    both = [F.col(c).eqNullSafe(F.col("r" + c)) for c in [*same, "_copy"]]
+    placed = own.join(theirs, both[0] & both[1] & both[2] & both[3]).select(*(f"`{c}`" for c in docs.columns), "_shard", "_slot")
     placed.repartitionByRange(shards, "_shard", "_slot").sortWithinPartitions("_shard", "_slot").drop("_slot").withColumnRenamed("_shard", "shard").write.partitionBy("shard").parquet(path)
