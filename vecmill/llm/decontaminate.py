@@ -83,13 +83,16 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[tuple[str, str], ...]]]:
-    """The benchmark's (item_id, text) pairs: lists of PASS_BLOCKS blocks of about BLOCK_BYTES, fetched one block at a time."""
+    """The benchmark's (item_id, text) pairs: lists of PASS_BLOCKS blocks of about BLOCK_BYTES, a list from each scan."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     _, size = volume(items)
     n = max(1, -(-size // BLOCK_BYTES))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for i in range(0, n, PASS_BLOCKS):
-        yield [tuple(sorted((r["item_id"] or "", r["text"]) for r in items.where(part == k).collect())) for k in range(i, min(n, i + PASS_BLOCKS))]
+        found: dict[int, list[tuple[str, str]]] = {k: [] for k in range(i, min(n, i + PASS_BLOCKS))}
+        for r in items.withColumn("_part", part).where((part >= i) & (part < i + PASS_BLOCKS)).collect():
+            found[r["_part"]].append((r["item_id"] or "", r["text"]))
+        yield [tuple(sorted(x)) for x in found.values()]
 
 
 def runs_of(hit: np.ndarray) -> np.ndarray:
@@ -158,14 +161,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     contaminated: some word is hit, and at least one in twenty. A null text has no words, as has one without letters
     and digits. Items without words match nothing, items with equal windows are all found, and an empty benchmark finds
-    nothing. Repeated rows and repeated or null doc_ids give a row each.
+    nothing. Repeated rows and repeated or null doc_ids give a row each; an empty documents table gives no rows; other
+    columns of either table don't matter.
     """
     found = marked(id_and_text(docs), benchmark, ["doc_id"], "")
     return found.drop("runs").withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", is_contaminated())
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id and spans (start, end) of maximal runs of hit words, in code points of the original text."""
+    """doc_id and spans (start, end) of maximal runs of hit words, in code points of the original text.
+
+    A null text and one without hits have none. Repeated rows and repeated or null doc_ids give a row each; an empty table
+    gives no rows; other columns don't matter.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

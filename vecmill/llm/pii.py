@@ -549,7 +549,11 @@ def found(texts: list[str], model: dict) -> tuple[list[list[tuple[str, int, int]
 
 
 def masked(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """``docs``, all columns, with each span's text replaced by its kind in angle brackets; of overlapping spans the union is replaced."""
+    """``docs``, all columns, with each span's text replaced by its kind in angle brackets; of overlapping spans the union is replaced.
+
+    Null and empty texts stay as they are; repeated rows and repeated or null doc_ids give a row each; an empty table gives
+    no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model or train(docs))
     k = docs.columns.index("text")
 
