@@ -87,16 +87,26 @@ def test_stream_of_operations_equals_one_batch(spark, tmp_path):
     ops = rest.select(F.col("place").alias("seq"), F.lit(0).alias("batch"), F.lit("insert").alias("op"), "id", "vec")
     ops.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(workload.OPS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    kept = []
-
-    def store(after, number):
-        after.postings.write.parquet(str(tmp_path / f"v{number}"))
-        kept.append(spark.read.parquet(str(tmp_path / f"v{number}")))
-        return Index(kept[-1], after.centroids, after.config, after.split_above, after.merge_below)
-
-    workload.follow(stream, index, store, str(tmp_path / "state")).awaitTermination()
-    got = sorted(map(tuple, kept[-1].select("id", "cluster").collect()))
-    assert len(kept) == 3 and got == sorted(map(tuple, maintenance.inserted(index, rest).postings.select("id", "cluster").collect()))
+    wanted = sorted(map(tuple, maintenance.inserted(index, rest).postings.select("id", "cluster").collect()))
+    for state in ("state", "lost"):  # the second run comes with the same batches again, and they change nothing
+        workload.follow(stream, index, str(tmp_path / "versions"), str(tmp_path / state)).awaitTermination()
+        last = workload.version(spark, str(tmp_path / "versions"), 2, index.config)
+        assert sorted(map(tuple, last.postings.select("id", "cluster").collect())) == wanted
+        assert (last.split_above, last.merge_below, last.centroids) == (index.split_above, index.merge_below, index.centroids)
+    assert workload.version(spark, str(tmp_path / "versions"), 3, index.config) is None
+
+
+def test_periods_of_upkeep(spark):
+    index, rest, n = catalogue.half_indexed(spark, SMALL, IndexConfig(rebuild_every=n_ops(SMALL, spark) + 1))
+    none = rest.where("place < 0").select("id")
+    once = maintenance.policy("rebuild")(index, rest, none)
+    assert once.centroids == index.centroids and once.counters["operations"] == n
+    twice = maintenance.policy("rebuild")(once, rest.withColumn("id", F.col("id") + 1_000_000), none)
+    assert twice.centroids != index.centroids and twice.counters["operations_done"] == 1
+
+
+def n_ops(path, spark):
+    return workload.offsets(catalogue.vectors(spark, path))[2]
 
 
 def test_mixed_log_quotas(spark):

@@ -60,10 +60,10 @@ def indexed(spark: SparkSession, sf_dir: str, metric: str = "l2") -> Index:
     return build(vectors(spark, sf_dir), IndexConfig(metric=metric))
 
 
-def half_indexed(spark: SparkSession, sf_dir: str) -> tuple[Index, DataFrame, int]:
+def half_indexed(spark: SparkSession, sf_dir: str, config: IndexConfig = IndexConfig()) -> tuple[Index, DataFrame, int]:
     """The index of the first half, the rest as a stream, and its length."""
     first, rest, n = workload.offsets(vectors(spark, sf_dir))
-    return build(first, IndexConfig()), rest, n
+    return build(first, config), rest, n
 
 
 def r6(x: str | Column) -> Column:
@@ -247,7 +247,7 @@ def cdkm_split(spark, sf_dir):
     return maintenance.sides(halved, kernels.two_way).select("id", "cluster", "side")
 
 
-@query()
+@query(S.LLOYD_SPLIT)
 def lloyd_split(spark, sf_dir):
     halved = maintenance.halves(indexed(spark, sf_dir).postings)
     return maintenance.sides(halved, lambda x, side: kernels.two_means(x, side, 10)).select("id", "cluster", "side")
@@ -255,9 +255,9 @@ def lloyd_split(spark, sf_dir):
 
 @query(S.LIRE)
 def lire_repair(spark, sf_dir):
-    """The largest partition in halves, then its neighbourhood's members to their nearest centroids."""
+    """The largest partition split by two-means, then its neighbourhood's members to their nearest centroids."""
     index = indexed(spark, sf_dir)
-    return located(maintenance.lire_split(index, [largest(index)], rounds=0, around=5))
+    return located(maintenance.lire_split(index, [largest(index)], around=5))
 
 
 @query(S.LIRE_SWEEP)
@@ -265,7 +265,7 @@ def lire_l_sweep(spark, sf_dir):
     index = indexed(spark, sf_dir)
     target, rows = largest(index), []
     for around in (0, 1, 2, 5, 10):
-        rows.append((around, maintenance.lire_split(index, [target], rounds=0, around=around).counters.get("reassigned", 0)))
+        rows.append((around, maintenance.lire_split(index, [target], around=around).counters.get("reassigned", 0)))
     return spark.createDataFrame(rows, "around long, reassigned long")
 
 
@@ -309,8 +309,16 @@ def local_cdkm(spark, sf_dir):
     return located(maintenance.local_repair(after, (big, new[big])))
 
 
-@query()
+@query(S.MEM_ONLY)
 def mem_only_split(spark, sf_dir):
+    """The largest partition in its two halves, then its neighbourhood's members to the nearest of all centroids."""
+    index = indexed(spark, sf_dir)
+    return located(maintenance.mem_only_split(index, [largest(index)]))
+
+
+@query()
+def live_means_repair(spark, sf_dir):
+    """A split's neighbourhood in one pass to the nearest mean, means following every move."""
     index = indexed(spark, sf_dir)
     big = largest(index)
     after, new = maintenance.split(index, [big], lambda x, side: side)
@@ -359,7 +367,7 @@ def frozen_stream(spark, sf_dir):
 
 def _after(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index, rest, n = half_indexed(spark, sf_dir)
+        index, rest, n = half_indexed(spark, sf_dir, IndexConfig(rebuild_every=100))
         return located(maintenance.policy(name)(index, rest, rest.where(~workload.live_at(F.col("place"), n)).select("id")))
 
     run.__name__ = f"policy_{name}"
@@ -388,7 +396,8 @@ def fifo_live_set(spark, sf_dir):
 @query(S.MIXED)
 def mixed_workload_recall(spark, sf_dir):
     index, rest, n = half_indexed(spark, sf_dir)
-    found = workload.mixed_recall(vectors(spark, sf_dir), asked(spark, sf_dir), index, rest, n)
+    queries = asked(spark, sf_dir).withColumn("turn", F.floor(F.col("qid") / 50))
+    found = workload.mixed_recall(vectors(spark, sf_dir), queries, index, rest, n)
     return found.select("round", "qid", r6("recall").alias("recall"))
 
 

@@ -138,18 +138,36 @@ CDKM = joined(
     recursive=True,
 )
 
+
+
+def two_means(rounds: int) -> list[str]:
+    """h{rounds}: id, vec, cluster and the side after so many rounds from the halves, of partitions of four members or more."""
+    out = ["h0 AS MATERIALIZED (SELECT id, vec, cluster, CAST(pos >= n // 2 AS INTEGER) AS side FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM post) WHERE n >= 4)"]
+    for i in range(rounds):
+        out += [
+            f"m{i} AS MATERIALIZED (SELECT cluster, side, list(x ORDER BY i) AS m FROM (SELECT cluster, side, i, avg(x) AS x FROM (SELECT cluster, side, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM h{i}) GROUP BY ALL) GROUP BY ALL)",
+            f"h{i + 1} AS MATERIALIZED (SELECT x.id, x.vec, x.cluster, CAST(list_distance(x.vec, b.m) < list_distance(x.vec, a.m) AS INTEGER) AS side FROM h{i} x JOIN m{i} a ON a.cluster = x.cluster AND a.side = 0 JOIN m{i} b ON b.cluster = x.cluster AND b.side = 1)",
+        ]
+    return out
+
+
+def lire(body: str, rounds: int = 10) -> str:
+    return joined([*base(), *two_means(rounds), f"halved AS (SELECT id, side FROM h{rounds})", *_LIRE], body)
+
+
 _LIRE = [
-    *base(),
     "big AS (SELECT cluster AS j, n FROM (SELECT cluster, count(*) AS n FROM post GROUP BY cluster) ORDER BY n DESC, cluster LIMIT 1)",
-    "cut AS MATERIALIZED (SELECT id, vec, CASE WHEN cluster = j AND pos >= n // 2 THEN (SELECT max(cluster) + 1 FROM c3) ELSE cluster END AS cluster FROM post, big)",
+    "cut AS MATERIALIZED (SELECT id, vec, CASE WHEN cluster = j AND side = 1 THEN (SELECT max(cluster) + 1 FROM c3) ELSE cluster END AS cluster FROM post LEFT JOIN halved USING (id), big)",
     "c3n AS (SELECT * FROM c3 UNION ALL SELECT (SELECT max(cluster) + 1 FROM c3), centroid FROM c3, big WHERE cluster = j)",
     means("moved", "(SELECT cut.* FROM cut, big WHERE cluster = j OR cluster = (SELECT max(cluster) + 1 FROM c3))", "c3n"),
     "ring AS (SELECT b.cluster, row_number() OVER (ORDER BY list_distance(a.centroid, b.centroid), b.cluster) AS rank FROM moved a, moved b, big WHERE a.cluster = j AND b.cluster <> j AND b.cluster <> (SELECT max(cluster) + 1 FROM c3))",
     near("best", "cut", "moved"),
     "ranked AS (SELECT cut.id, cut.cluster, best.cluster AS nearest, coalesce(ring.rank, 0) AS rank FROM cut JOIN best USING (id) LEFT JOIN ring ON ring.cluster = cut.cluster)",
 ]
-LIRE = joined(_LIRE, "SELECT id, CASE WHEN rank <= 5 THEN nearest ELSE cluster END AS cluster FROM ranked")
-LIRE_SWEEP = joined(_LIRE, "SELECT CAST(l AS BIGINT) AS around, count(*) FILTER (WHERE l > 0 AND rank <= l AND nearest <> cluster) AS reassigned FROM ranked, (SELECT unnest([0, 1, 2, 5, 10]) AS l) GROUP BY l")
+LLOYD_SPLIT = joined([*base(), *two_means(10)], "SELECT id, cluster, side FROM h10")
+_REPAIRED = "SELECT id, CASE WHEN rank <= 5 THEN nearest ELSE cluster END AS cluster FROM ranked"
+LIRE, MEM_ONLY = lire(_REPAIRED), lire(_REPAIRED, 0)
+LIRE_SWEEP = lire("SELECT CAST(l AS BIGINT) AS around, count(*) FILTER (WHERE l > 0 AND rank <= l AND nearest <> cluster) AS reassigned FROM ranked, (SELECT unnest([0, 1, 2, 5, 10]) AS l) GROUP BY l")
 GAINS = joined(
     [*base(), STAT, "full_stat AS (SELECT c3.cluster, coalesce(n, 0) AS n, a, coalesce(s, 0.0) AS s FROM c3 LEFT JOIN stat USING (cluster))", "two AS (SELECT v.id, v.vec, c3.cluster, row_number() OVER (PARTITION BY v.id ORDER BY list_distance(v.vec, centroid), c3.cluster) AS rank FROM v, c3)"],
     """SELECT id, round(CASE WHEN n <= 1 THEN 0 ELSE s / n - (s - 2 * xa + rho) / (n - 1) END, 6) AS stay, round((s2 + 2 * xa2 + rho) / (n2 + 1) - s2 / n2, 6) AS joined,
@@ -184,9 +202,9 @@ LIVE = joined([V, HALF, SOURCES["live"]], "SELECT id FROM src")
 MIXED = joined(
     [
         *_INSERTED,
-        "asked AS (SELECT id AS qid, vec, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS nq FROM v WHERE id % 50 = 0)",
+        "asked AS (SELECT id AS qid, vec, (id // 50) % 5 + 1 AS turn FROM v WHERE id % 50 = 0)",
         "turns AS (SELECT r AS round, (SELECT r FROM half) * r // 5 AS n FROM (SELECT unnest(range(1, 6)) AS r))",
-        "ask AS MATERIALIZED (SELECT round, n, qid, vec FROM asked, turns WHERE (((i - (round - 1) * 5) % nq) + nq) % nq < 5)",
+        "ask AS MATERIALIZED (SELECT round, n, qid, vec FROM asked, turns WHERE turn = round)",
         "alive AS MATERIALIZED (SELECT round, e.id, e.vec, e.cluster FROM everyone e, turns t, half WHERE e.id < h OR (e.id - h < t.n AND e.id - h >= t.n // 10))",
         "probe AS (SELECT round, qid, vec, cluster FROM (SELECT round, qid, a.vec, c3.cluster, row_number() OVER (PARTITION BY round, qid ORDER BY list_distance(a.vec, centroid), c3.cluster) AS k FROM ask a, c3) WHERE k <= 8)",
         "found AS (SELECT round, qid, id FROM (SELECT p.round, p.qid, e.id, row_number() OVER (PARTITION BY p.round, p.qid ORDER BY list_distance(p.vec, e.vec), e.id) AS k FROM probe p JOIN alive e ON e.round = p.round AND e.cluster = p.cluster) WHERE k <= 10)",

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of a list column of one length as a matrix of doubles."""
+    """Rows of a list column of one length as a matrix of doubles; lists that are null or of unlike lengths are refused."""
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    if len(column):
+        lengths = pc.min_max(pc.fill_null(pc.list_value_length(column), -1)).as_py()
+        if lengths["min"] < 0 or lengths["min"] != lengths["max"]:
+            raise ValueError(f"vectors of unlike lengths or null: {lengths}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,10 @@ from . import kmeans, knn
 
 @dataclass(frozen=True)
 class IndexConfig:
-    """Parameters of an index and its upkeep; split and merge bounds are fixed when it is built."""
+    """Parameters of an index and its upkeep; split and merge bounds are fixed when it is built.
+
+    A policy rebuilds each ``rebuild_every`` operations and rebalances each ``rebalance_every`` inserts, after the batch that reaches them.
+    """
 
     nlist: int = 16
     rounds: int = 3
@@ -25,7 +29,6 @@ class IndexConfig:
     rebalance_k: int = 10
     rebalance_every: int = 100
     neighbours: int = 5
-    seed: int = 42
 
     def __post_init__(self):
         if self.metric not in ("l2", "ip"):
@@ -74,17 +77,19 @@ def build(vectors: DataFrame, config: IndexConfig = IndexConfig(), centroids: di
     return Index(postings, centroids, config, config.split_factor * n / k, config.merge_factor * n / k)
 
 
-def write(index: Index, path: str) -> None:
-    """Postings partitioned by cluster, so that a probe reads only the folders it needs."""
-    index.postings.repartition("cluster").write.partitionBy("cluster").parquet(f"{path}/postings")
-    centroid_table(index.postings.sparkSession, index.centroids).write.parquet(f"{path}/centroids")
+def write(index: Index, path: str, mode: str = "errorifexists") -> None:
+    """Postings partitioned by cluster, so that a probe reads only the folders it needs; the centroids, with bounds and counters, are written last."""
+    index.postings.repartition("cluster").write.mode(mode).partitionBy("cluster").parquet(f"{path}/postings")
+    table = centroid_table(index.postings.sparkSession, index.centroids)
+    own = {"split_above": F.lit(float(index.split_above)), "merge_below": F.lit(float(index.merge_below)), "counters": F.lit(json.dumps(index.counters))}
+    table.withColumns(own).write.mode(mode).parquet(f"{path}/centroids")
 
 
 def read(spark: SparkSession, path: str, config: IndexConfig = IndexConfig()) -> Index:
-    centroids = {r["cluster"]: list(r["centroid"]) for r in spark.read.parquet(f"{path}/centroids").collect()}
-    postings = spark.read.parquet(f"{path}/postings").select("id", F.col("cluster").cast("long").alias("cluster"), "pos", "vec")
-    n = postings.count()
-    return Index(postings, centroids, config, config.split_factor * n / len(centroids), config.merge_factor * n / len(centroids))
+    """A written index, with the bounds and counters it had."""
+    rows = spark.read.parquet(f"{path}/centroids").collect()
+    postings = spark.read.schema("id long, pos long, vec array<double>, cluster long").parquet(f"{path}/postings").select("id", "cluster", "pos", "vec")
+    return Index(postings, {r["cluster"]: list(r["centroid"]) for r in rows}, config, rows[0]["split_above"], rows[0]["merge_below"], json.loads(rows[0]["counters"]))
 
 
 def scored(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:

@@ -13,27 +13,40 @@ from ..functions import vectors as V
 from ..functions.arrow import matrix
 from .knn import nearest
 
-#: Coordinates are summed as integers of this unit, so that sums are the same in any order.
+#: Coordinates are summed as integers of this unit, so that sums are the same in any order; what is smaller counts as 0.
 UNIT = 1e9
+#: Sums are kept in two parts, of this base, and the magnitude of a coordinate is bounded so that neither overflows in a task.
+BASE, LARGEST = 2.0**30, 2.0**49
 
 
 def statistics(assigned: DataFrame) -> DataFrame:
-    """cluster, n, a (vector sum) and s (its squared norm) of rows (cluster, vec); partial sums leave each task as a row a cluster."""
+    """cluster, n, a (vector sum) and s (its squared norm) of rows (cluster, vec); partial sums leave each task as a row a cluster.
+
+    Rows whose vector is null don't count; coordinates of 2**49 or more, or that aren't finite, are refused.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             cluster = batch.column(0).to_numpy()
-            x = np.floor(matrix(batch.column(1)) * UNIT + 0.5).astype(np.int64)
+            x = matrix(batch.column(1))
+            if not (np.abs(x) < LARGEST).all():
+                raise ValueError("a coordinate isn't finite or is too large to sum")
+            x = np.floor(x * UNIT + 0.5)
+            high = np.floor(x / BASE)
             names, at = np.unique(cluster, return_inverse=True)
-            sums = np.zeros((len(names), x.shape[1]), np.int64)
-            np.add.at(sums, at, x)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at)), pa.array(list(sums), pa.list_(pa.int64()))], ["cluster", "n", "sums"])
+            sums = np.zeros((2, len(names), x.shape[1]), np.int64)
+            for part, of in zip(sums, (high, x - high * BASE), strict=True):
+                np.add.at(part, at, of.astype(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at)), pa.array(list(sums[0]), longs), pa.array(list(sums[1]), longs)], ["cluster", "n", "high", "low"])
 
-    parts = assigned.select("cluster", "vec").mapInArrow(partial, "cluster long, n long, sums array<long>")
+    parts = assigned.where("vec is not null").select("cluster", "vec").mapInArrow(partial, "cluster long, n long, high array<long>, low array<long>")
     counts = parts.groupBy("cluster").agg(F.sum("n").alias("n"))
-    sums = parts.select("cluster", F.posexplode("sums").alias("pos", "x")).groupBy("cluster", "pos").agg((F.sum("x") / UNIT).alias("x"))
+    whole = lambda c: F.sum(F.col(f"x.{c}").cast("decimal(20,0)"))
+    total = whole("high") * F.lit(int(BASE)).cast("decimal(10,0)") + whole("low")
+    sums = parts.select("cluster", F.posexplode(F.arrays_zip("high", "low")).alias("pos", "x")).groupBy("cluster", "pos").agg((total.cast("double") / UNIT).alias("x"))
     a = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])
     return counts.join(sums.groupBy("cluster").agg(a.alias("a")), "cluster").withColumn("s", V.squared_norm(F.col("a")))
 
@@ -45,7 +58,7 @@ def means(stats: DataFrame) -> dict[int, list[float]]:
 
 def first_seeds(vectors: DataFrame, k: int) -> dict[int, list[float]]:
     """The vectors of the k smallest ids, as clusters 0 to k - 1."""
-    return {i: list(r["vec"]) for i, r in enumerate(vectors.select("id", "vec").orderBy("id").limit(k).collect())}
+    return {i: list(r["vec"]) for i, r in enumerate(vectors.select("id", "vec").where("vec is not null").orderBy("id").limit(k).collect())}
 
 
 def lloyd(vectors: DataFrame, seeds: dict[int, list[float]], rounds: int) -> dict[int, list[float]]:

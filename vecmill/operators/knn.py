@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.arrow import distances, matrix
 
-#: Queries and vectors that meet in one matrix product.
+#: Queries and vectors that meet in one matrix product; a query set of one block is sent to every task of the base.
 QUERY_BLOCK, BASE_BLOCK = 2_000, 20_000
 NEIGHBOURS = "qid long, id long, distance double"
 
@@ -30,9 +30,14 @@ def _best(qids: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> pa.Table:
 def exact(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
     """qid, rank (from 1), id and distance of the k nearest of base (id, vec) to each of queries (qid, vec).
 
-    Squared L2, or the negative inner product for ``ip``; ties go to the smaller id. Blocks of queries meet blocks of
-    vectors, each pair in one task that keeps k candidates a query, and the candidates of a query are ranked together.
+    Squared L2, or the negative inner product for ``ip``; ties go to the smaller id; null vectors are no neighbours and ask
+    for none. Up to QUERY_BLOCK queries go to where the base is, which isn't shuffled: each task keeps k candidates a query.
+    More meet it in blocks, each pair in one task. The candidates of a query are ranked together.
     """
+    queries, base = queries.where("vec is not null"), base.where("vec is not null")
+    few = queries.select("qid", "vec").limit(QUERY_BLOCK + 1).collect()
+    if len(few) <= QUERY_BLOCK:
+        return ranked(_scanned(few, base, k + exclude_self, metric, exclude_self), k)
     nq, nb = max(1, math.ceil(queries.count() / QUERY_BLOCK)), max(1, math.ceil(base.count() / BASE_BLOCK))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -52,6 +57,28 @@ def exact(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", exclu
     return ranked(found, k)
 
 
+def _scanned(few: list, base: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    """qid, id, distance: the k nearest to each of a few queries among the rows of every task."""
+    qids, q = np.array([r["qid"] for r in few], np.int64), np.array([r["vec"] for r in few], np.float64)
+    last = np.iinfo(np.int64).max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, d = np.full((len(qids), 0), last), np.zeros((len(qids), 0))
+        for batch in batches:
+            if not len(batch) or not len(qids):
+                continue
+            new, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+            for a in range(0, len(new), 2_000):  # bounds the matrix of distances
+                ids = np.hstack([ids, np.broadcast_to(new[a : a + 2_000], (len(qids), len(new[a : a + 2_000])))])
+                d = np.hstack([d, distances(q, x[a : a + 2_000], metric)])
+                order = np.lexsort((ids, d))[:, :k]
+                ids, d = np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, ids.shape[1])), pa.array(ids.ravel()), pa.array(d.ravel())], ["qid", "id", "distance"])
+
+    found = base.select("id", "vec").mapInArrow(run, NEIGHBOURS)
+    return found.where("qid <> id") if exclude_self else found
+
+
 def ranked(candidates: DataFrame, k: int) -> DataFrame:
     """The k nearest candidates (qid, id, distance) of each query, with their rank."""
     w = Window.partitionBy("qid").orderBy("distance", "id")
@@ -61,7 +88,8 @@ def ranked(candidates: DataFrame, k: int) -> DataFrame:
 def nearest(vectors: DataFrame, centroids: dict[int, list[float]], metric: str = "l2", second: bool = False) -> DataFrame:
     """vectors (id, vec, ...) with cluster and distance of the nearest centroid (and cluster2, distance2 of the next).
 
-    The centroids are the index's own, bounded by its number of partitions; ties go to the smaller cluster.
+    The centroids are the index's own, bounded by its number of partitions; ties go to the smaller cluster. A row whose
+    vector is null has no nearest centroid and is left out.
     """
     names = np.array(sorted(centroids))
     table = np.array([centroids[c] for c in names.tolist()], np.float64)
@@ -79,7 +107,7 @@ def nearest(vectors: DataFrame, centroids: dict[int, list[float]], metric: str =
                 d[np.arange(len(d)), at] = np.inf
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *extra])
 
-    kept = vectors.drop(*extra)
+    kept = vectors.where("vec is not null").drop(*extra)
     schema = kept
     for name in extra:
         schema = schema.withColumn(name, F.lit(0).cast("long" if name.startswith("cluster") else "double"))
@@ -102,4 +130,4 @@ def probes(queries: DataFrame, centroids: dict[int, list[float]], nprobe: int, m
             take = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([*take.columns, pa.array(np.tile(np.arange(1, n + 1), len(batch))), pa.array(names[near.ravel()].astype(np.int64)), pa.array(d[rows, near.ravel()])], ["qid", "qvec", "rank", "cluster", "distance"])
 
-    return queries.select("qid", F.col("vec").alias("qvec")).mapInArrow(run, "qid long, qvec array<double>, rank long, cluster long, distance double")
+    return queries.where("vec is not null").select("qid", F.col("vec").alias("qvec")).mapInArrow(run, "qid long, qvec array<double>, rank long, cluster long, distance double")

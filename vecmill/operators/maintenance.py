@@ -22,6 +22,11 @@ from .index import Index, build, centroid_table, in_order
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
+def _renumbered(index: Index, clusters: list[int], members: DataFrame) -> DataFrame:
+    """Postings in which ``members`` stand for those of some partitions; the others keep their numbers and aren't shuffled."""
+    return index.postings.where(~F.col("cluster").isin(clusters)).select("id", "cluster", "pos", "vec").union(in_order(members))
+
+
 def neighbours(index: Index, n: int) -> DataFrame:
     """cluster, rank, neighbour, distance: the n nearest other centroids of each, empty partitions included."""
     table = centroid_table(index.postings.sparkSession, index.centroids)
@@ -67,7 +72,7 @@ def split(index: Index, which: list[int], kernel: Kernel | None = None, passes:
     names = F.create_map(*[F.lit(x).cast("long") for kv in new.items() for x in kv])
     moved = dealt.select("id", F.when(F.col("side") == 1, names[F.col("cluster")]).otherwise(F.col("cluster")).alias("cluster"), "vec")
     small = index.postings.where(mine).join(dealt.select("id"), "id", "left_anti").select("id", "cluster", "vec")
-    postings = in_order(index.postings.where(~mine).select("id", "cluster", "vec").union(moved).union(small))
+    postings = _renumbered(index, list(new), moved.union(small))
     centroids = {**index.centroids, **{n: index.centroids[c] for c, n in new.items()}}
     return replace(index, postings=postings, centroids=_refreshed(postings, centroids, [*new, *new.values()])).counted(splits=len(new)), new
 
@@ -77,6 +82,11 @@ def _near(centroids: dict[int, list[float]], to: list[float], leave: set[int], n
     return sorted(far, key=lambda c: (far[c], c))[:n]
 
 
+def mem_only_split(index: Index, which: list[int]) -> Index:
+    """Split into the two halves as they stand, then give the members of both and of their neighbourhood to the nearest of all centroids."""
+    return lire_split(index, which, rounds=0)
+
+
 def lire_split(index: Index, which: list[int], rounds: int = 10, around: int | None = None) -> Index:
     """Split by two-means, then give every member of the halves and their ``around`` nearest partitions to its nearest centroid of all."""
     after, new = split(index, which, lambda x, side: kernels.two_means(x, side, rounds))
@@ -121,7 +131,7 @@ def local_repair(index: Index, clusters: tuple[int, int], n: int = 5, passes: in
 
     gathered = index.postings.where(mine).withColumn("place", place.cast("int")).withColumn("all", F.lit(0))
     moved = gathered.groupBy("all").applyInArrow(run, "id long, cluster long, vec array<double>")
-    postings = in_order(index.postings.where(~mine).select("id", "cluster", "vec").union(moved))
+    postings = _renumbered(index, near, moved)
     return replace(index, postings=postings, centroids=_refreshed(postings, index.centroids, near))
 
 
@@ -175,7 +185,9 @@ def merge(index: Index) -> Index:
     if not to:
         return index
     names = F.create_map(*[F.lit(x).cast("long") for kv in to.items() for x in kv])
-    postings = in_order(index.postings.select("id", F.coalesce(names[F.col("cluster")], F.col("cluster")).alias("cluster"), "vec"))
+    touched = sorted({*to, *to.values()})
+    held = index.postings.where(F.col("cluster").isin(touched))
+    postings = _renumbered(index, touched, held.select("id", F.coalesce(names[F.col("cluster")], F.col("cluster")).alias("cluster"), "vec"))
     return replace(index, postings=postings, centroids=_refreshed(postings, index.centroids, sorted(set(to.values())))).counted(merges=len(to))
 
 
@@ -200,7 +212,7 @@ def rebalance(index: Index, k2: int | None = None) -> Index:
     found = kmeans.lloyd(pool, kmeans.first_seeds(pool, len(chosen)), 10)
     centroids = {**index.centroids, **dict(zip(chosen, found.values(), strict=True))}
     dealt = knn.nearest(pool, {c: centroids[c] for c in chosen}).select("id", "cluster", "vec")
-    postings = in_order(index.postings.where(~mine).select("id", "cluster", "vec").union(dealt))
+    postings = _renumbered(index, chosen, dealt)
     return replace(index, postings=postings, centroids=_refreshed(postings, centroids, chosen)).counted(rebalanced=1)
 
 
@@ -225,19 +237,35 @@ def rebuilt(index: Index) -> Index:
     return build(vectors, index.config) if vectors.count() >= 2 * index.config.nlist else index
 
 
+def every(step: Callable[[Index], Index], counter: str, period: str) -> Callable[[Index], Index]:
+    """``step`` where a counter has reached the next multiple of a period of the configuration, once however many it has passed."""
+
+    def due(index: Index) -> Index:
+        reached = index.counters.get(counter, 0) // getattr(index.config, period)
+        done = f"{counter}_done"
+        if reached <= index.counters.get(done, 0):
+            return index
+        after = step(index)
+        return replace(after, counters={**index.counters, **after.counters, done: reached})
+
+    return due
+
+
 #: What a policy does after a batch of updates.
 POLICIES: dict[str, Callable[[Index], Index]] = {
     "frozen": lambda index: index,
-    "rebuild": rebuilt,
+    "rebuild": every(rebuilt, "operations", "rebuild_every"),
     "updatecentroids": lambda index: index,
     "lire": lambda index: merge(lire_split(index, oversize(index))),
-    "dedrift": rebalance,
+    "dedrift": every(rebalance, "inserts", "rebalance_every"),
     "scdkm": lambda index: merge(split(index, oversize(index))[0]),
-    "memonly": lambda index: merge(split(index, oversize(index), lambda x, side: kernels.nearest_live(x, side, 2))[0]),
+    "memonly": lambda index: merge(mem_only_split(index, oversize(index))),
 }
 ALIASES = {"novaivf": "scdkm", "scdkmonly": "scdkm", "spfresh": "lire"}
 #: Policies whose centroids never follow updates.
 STILL = {"frozen", "rebuild"}
+#: Policies whose upkeep has a period, for which operations are counted.
+PERIODIC = {"rebuild", "dedrift"}
 
 
 def policy(name: str) -> Callable[[Index, DataFrame, DataFrame], Index]:
@@ -247,4 +275,12 @@ def policy(name: str) -> Callable[[Index, DataFrame, DataFrame], Index]:
     if key not in POLICIES:
         raise ValueError(f"unknown policy {name!r}")
     moves = key not in STILL
-    return lambda index, new, gone: POLICIES[key](deleted(inserted(index, new, moves), gone, moves))
+
+    def after(index: Index, new: DataFrame, gone: DataFrame) -> Index:
+        then = deleted(inserted(index, new, moves), gone, moves)
+        if key in PERIODIC:
+            inserts = new.count()
+            then = then.counted(inserts=inserts, operations=inserts + gone.count())
+        return POLICIES[key](then)
+
+    return after

@@ -39,6 +39,11 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _hadoop(spark, path)
+    return bool(files.exists(at))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared scratch folder and read again: lineage ends here."""
     path = f"{scratch_path(df.sparkSession)}/table"

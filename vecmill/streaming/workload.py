@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.window import Window
 
+from ..operators import index as stored
 from ..operators import knn
-from ..operators.index import Index, in_order
+from ..operators.index import Index, IndexConfig, in_order
 from ..operators.maintenance import policy
+from ..sources.scratch import exists
 
 OPS = "seq long, batch int, op string, id long, vec array<double>"
 
@@ -72,12 +72,27 @@ def apply_batch(index: Index, ops: DataFrame, name: str = "frozen") -> Index:
     return policy(name)(index, last.where("op = 'insert'"), last.where("op = 'delete'"))
 
 
-def follow(ops: DataFrame, index: Index, store: Callable[[Index, int], Index], checkpoint: str, name: str = "frozen") -> StreamingQuery:
-    """Apply a stream of OPS batch by batch. ``store`` writes the index of a batch and gives it as read again, which ends its lineage."""
-    state = [index]
+def version(spark: SparkSession, path: str, number: int, config: IndexConfig) -> Index | None:
+    """The index that ``follow`` left after a batch; None where it isn't wholly written."""
+    at = f"{path}/v{number}"
+    return stored.read(spark, at, config) if exists(spark, f"{at}/centroids/_SUCCESS") else None
+
+
+def follow(ops: DataFrame, index: Index, path: str, checkpoint: str, name: str = "frozen") -> StreamingQuery:
+    """Apply a stream of OPS batch by batch; the index after batch i is written to ``path``/v{i}.
+
+    A batch starts from the version before it, the first from ``index``. After a restart the query goes on from the version
+    that it left; a batch that comes again and whose version is whole changes nothing.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        state[0] = store(apply_batch(state[0], batch, name), number)
+        spark = batch.sparkSession
+        if version(spark, path, number, index.config) is not None:
+            return
+        before = version(spark, path, number - 1, index.config) if number else index
+        if before is None:
+            raise RuntimeError(f"{path} holds no index of batch {number - 1}")
+        stored.write(apply_batch(before, batch, name), f"{path}/v{number}", "overwrite")
 
     return ops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -87,26 +102,24 @@ def assigned_stream(vectors: DataFrame, index: Index) -> DataFrame:
     return knn.nearest(vectors, index.centroids, index.config.metric)
 
 
-def mixed_recall(vectors: DataFrame, queries: DataFrame, index: Index, rest: DataFrame, inserts: int, k: int = 10, nprobe: int = 8, rounds: int = 5, delete_every: int = 10, per_round: int = 5) -> DataFrame:
+def mixed_recall(vectors: DataFrame, queries: DataFrame, index: Index, rest: DataFrame, inserts: int, k: int = 10, nprobe: int = 8, rounds: int = 5, delete_every: int = 10) -> DataFrame:
     """round, qid, recall of a frozen index after each round of inserts and deletes, against exact neighbours among the live vectors.
 
-    Round r asks the queries at places ((r - 1) x per_round + i) mod their number.
+    ``queries`` (qid, vec, turn): each is asked once, in round ``turn`` mod ``rounds`` plus 1.
     """
     from ..operators.index import scored
     from ..operators.quality import recall
 
-    numbered = queries.withColumn("i", F.row_number().over(Window.orderBy("qid")) - 1)  # the query set is bounded by design
-    nq = max(1, numbered.count())
+    queries = queries.withColumn("round", F.pmod(F.col("turn").cast("long"), F.lit(rounds)) + 1)
     full = in_order(index.postings.select("id", "cluster", "vec").union(knn.nearest(rest.select("id", "vec"), index.centroids, index.config.metric).select("id", "cluster", "vec")))
     grown = Index(full, index.centroids, index.config, index.split_above, index.merge_below)
     place = rest.select("id", "place")
-    out = None
+    alive = lambda df, n: df.join(place, "id", "left").where(F.col("place").isNull() | live_at(F.col("place"), n, delete_every)).drop("place")
+    turns = queries.select("qid", "round")
+    seen = scored(queries, grown, nprobe).drop("probe").join(turns, "qid")
+    found = knn.ranked(alive(seen, F.floor(F.col("round") * inserts / rounds)).drop("round"), k)
+    truth = None
     for r in range(1, rounds + 1):
-        n = inserts * r // rounds
-        asked = numbered.where(F.pmod(F.col("i") - (r - 1) * per_round, F.lit(nq)) < per_round).select("qid", "vec")
-        alive = lambda df: df.join(place, "id", "left").where(F.col("place").isNull() | live_at(F.col("place"), n, delete_every)).drop("place")  # noqa: B023, E731
-        found = knn.ranked(alive(scored(asked, grown, nprobe).drop("probe")), k)
-        truth = knn.exact(asked, alive(vectors.select("id", "vec")), k)
-        one = recall(found, truth, k).select(F.lit(r).cast("long").alias("round"), "qid", "recall")
-        out = one if out is None else out.union(one)
-    return out
+        one = knn.exact(queries.where(F.col("round") == r).select("qid", "vec"), alive(vectors.select("id", "vec"), inserts * r // rounds), k)
+        truth = one if truth is None else truth.union(one)
+    return recall(found, truth, k).join(turns, "qid").select("round", "qid", "recall")
