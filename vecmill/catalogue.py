@@ -22,7 +22,7 @@ from .operators.index import read as read_index
 from .operators.index import write as write_index
 from .plans import reports
 from .sources.scratch import scratch_path
-from .sources.vectors import boundary_mixtures, from_table, generated
+from .sources.vectors import boundary_mixtures, from_table, generated, until
 from .streaming import workload
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,6 +222,34 @@ def topl_neighbors(spark, sf_dir):
     return maintenance.neighbours(indexed(spark, sf_dir), 5).select("cluster", "rank", "neighbour", r6("distance").alias("distance"))
 
 
+@query(S.SUMMARY)
+def index_summary(spark, sf_dir):
+    return quality.summary(indexed(spark, sf_dir)).select("partitions", "vectors", "smallest", "largest", *(r6(c).alias(c) for c in ("mean", "std", "violation_rate")))
+
+
+@query(S.AFTER_DELETES)
+def sweep_after_deletes(spark, sf_dir):
+    """Recall by nprobe after tail inserts and then deletes of the oldest quarter of the first half; truth is as before the deletes."""
+    q, v = asked(spark, sf_dir), vectors(spark, sf_dir)
+    index, rest, n = half_indexed(spark, sf_dir)
+    after = maintenance.inserted(index, rest)
+    after = replace(after, postings=after.postings.where(F.col("id") >= F.lit((v.count() - n) // 4)))
+    found = quality.recall(sweep(q, after, 10, [1, 4, 16]), knn.exact(q, v, 10), 10, by=["nprobe"])
+    return found.groupBy(F.col("nprobe").cast("long").alias("nprobe")).agg(r6(F.avg("recall")).alias("recall"))
+
+
+@query(S.SAMPLES)
+def local_samples(spark, sf_dir):
+    return kmeans.local_samples(indexed(spark, sf_dir).postings, 24).select("cluster", "id", "side")
+
+
+@query(S.QUOTA)
+def quota_union(spark, sf_dir):
+    """Ids that leave 1, then 2, then 0 over 3, until half as many as there are vectors."""
+    v = vectors(spark, sf_dir)
+    return until([v.where(F.col("id") % 3 == i) for i in (1, 2, 0)], v.count() // 2).select("id", "source")
+
+
 # ---------------------------------------------------------------- upkeep
 @query(S.MERGE)
 def merge_target(spark, sf_dir):
@@ -436,6 +464,19 @@ def boundary_split(spark, sf_dir):
     return quality.boundary_split(results).select("side", "n", *(r6(c).alias(c) for c in ("recall", "p50", "p99")))
 
 
+@query(S.BOUNDARY_RECALL)
+def boundary_vs_asked(spark, sf_dir):
+    """Mean recall at nprobe 2 of the 20 queries nearest to a boundary and of those asked elsewhere."""
+    v, index = vectors(spark, sf_dir), indexed(spark, sf_dir)
+    near = quality.boundary_queries(_scores(spark, sf_dir), 2.0, 20).select("qid").join(v.withColumnRenamed("id", "qid"), "qid")
+    out = None
+    for kind, q in (("boundary", near), ("asked", asked(spark, sf_dir))):
+        found = quality.recall(search(q, index, 10, 2), knn.exact(q, v, 10), 10)
+        one = found.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), r6(F.avg("recall")).alias("recall"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query(S.scores("SELECT qid, round(score, 6) AS score FROM score ORDER BY score.score DESC, qid LIMIT 20"))
 def boundary_queries(spark, sf_dir):
     return quality.boundary_queries(_scores(spark, sf_dir), 2.0, 20).select("qid", r6("score").alias("score"))
@@ -467,6 +508,15 @@ def latency_percentiles(spark, sf_dir):
     return rounded(out, "mean", "std", "p50", "p95", "p99", "p999")
 
 
+@query(S.STREAM)
+def stream_summary(spark, sf_dir):
+    """Batches of 100 results; a batch's qps is 0 where its number leaves 0 over 7."""
+    batch = F.floor(F.col("seq") / 100)
+    each = results(spark, sf_dir).groupBy("method", batch.alias("batch")).agg(F.avg("value").alias("recall"), F.max("value").alias("latency"))
+    out = reports.stream_summary(each.withColumn("qps", (F.col("batch") % 7).cast("double")), ["method"], 10)
+    return rounded(out, "recall", "qps", "p50", "p95", "p99", "p999")
+
+
 @query(S.traces("SELECT method, dataset, part, round(mean, 9) AS mean, round(p99, 9) AS p99 FROM trace"))
 def progress_windows(spark, sf_dir):
     return rounded(reports.windows(results(spark, sf_dir), ["method", "dataset"], "seq"), "mean", "p99")

@@ -114,6 +114,10 @@ _SWEEP = "found AS (SELECT nprobe, qid, id FROM (SELECT nprobe, qid, id, row_num
 RECALL = joined([*base(), probe("l2"), scored("l2"), TRUTH, _SWEEP.format("[4]")], "SELECT qid, CAST(round(recall, 6) AS DOUBLE) AS recall FROM per")
 FRONTIER = joined([*base(), probe("l2"), scored("l2"), TRUTH, _SWEEP.format("[1, 2, 4, 8, 16]")], "SELECT CAST(nprobe AS BIGINT) AS nprobe, round(avg(CAST(recall AS DOUBLE)), 6) AS recall FROM per GROUP BY nprobe")
 VIOLATIONS = joined([*base(), means("c4", "post", "c3"), near("again", "post", "c4")], "SELECT count(*) AS checked, count(*) FILTER (WHERE again.cluster <> post.cluster) AS violations, round(count(*) FILTER (WHERE again.cluster <> post.cluster) / CAST(count(*) AS DOUBLE), 6) AS violation_rate FROM again JOIN post USING (id)")
+SUMMARY = index("SELECT count(*) AS partitions, CAST(sum(n) AS BIGINT) AS vectors, min(n) AS smallest, max(n) AS largest, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, 0.0::DOUBLE AS violation_rate FROM (SELECT cluster, count(*) AS n FROM post GROUP BY cluster)")
+SAMPLES = index("""SELECT cluster, id, CAST(row_number() OVER (PARTITION BY cluster ORDER BY md5(id || ':side:42'), id) > least(n, 24) // 2 AS INTEGER) AS side FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5(id || ':member:42'), id) AS r FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM post) WHERE n >= 12) WHERE r <= 24""")
+QUOTA = joined([V], "SELECT id, source FROM (SELECT id, CAST((id + 2) % 3 AS BIGINT) AS source, row_number() OVER (ORDER BY (id + 2) % 3, id) AS r FROM v) WHERE r <= (SELECT count(*) // 2 FROM v)")
 _SELF = "pairs AS (SELECT a.cluster, b.cluster AS neighbour, list_distance(a.centroid, b.centroid) ** 2 AS d, row_number() OVER (PARTITION BY a.cluster ORDER BY list_distance(a.centroid, b.centroid), b.cluster) AS rank FROM {0} a JOIN {0} b ON a.cluster <> b.cluster)"
 NEIGHBOURS = joined([*base(), _SELF.format("c3")], "SELECT cluster, rank, neighbour, round(d, 6) AS distance FROM pairs WHERE rank <= 5")
 MERGE = joined([*base(), STAT, _SELF.format("c3")], f"SELECT cluster, n, neighbour AS target FROM stat JOIN pairs USING (cluster) WHERE rank = 1 AND n < 0.75 * (SELECT count(*) FROM v) / (SELECT count(*) FROM c3)")
@@ -191,6 +195,11 @@ _INSERTED = [*base("first"), near("everyone", "v", "c3")]
 UPDATED = joined([*_INSERTED, means("after", "everyone", "c3")], coordinates("SELECT cluster, unnest(centroid) AS x, generate_subscripts(centroid, 1) - 1 AS pos FROM after"))
 FROZEN = joined(_INSERTED, "SELECT id, cluster FROM everyone")
 
+AFTER_DELETES = joined(
+    [*base("first"), near("everyone", "v", "c3"), probe("l2"), "scored AS MATERIALIZED (SELECT qid, probe.rank AS probe, id, list_distance(qvec, vec) AS d FROM probe JOIN everyone USING (cluster), half WHERE id >= h // 4)", TRUTH, _SWEEP.format("[1, 4, 16]")],
+    "SELECT CAST(nprobe AS BIGINT) AS nprobe, round(avg(CAST(recall AS DOUBLE)), 6) AS recall FROM per GROUP BY nprobe",
+)
+
 
 def policy(moved: bool) -> str:
     return joined([*base("first"), near("everyone", "v", "c3")], "SELECT id, cluster FROM everyone, half WHERE id < h OR id - h >= r // 10")
@@ -229,6 +238,19 @@ def scores(body: str) -> str:
     )
 
 
+BOUNDARY_RECALL = joined(
+    [
+        *base(),
+        "two AS (SELECT v.id AS qid, list_inner_product(v.vec, centroid) AS sim, row_number() OVER (PARTITION BY v.id ORDER BY -list_inner_product(v.vec, centroid), c3.cluster) AS rank FROM v, c3)",
+        "score AS (SELECT x.qid, acos(greatest(least(x.sim, 1 - 1e-8), -1 + 1e-8)) / (acos(greatest(least(y.sim, 1 - 1e-8), -1 + 1e-8)) + 1e-8) AS score FROM two x JOIN two y ON x.qid = y.qid AND x.rank = 1 AND y.rank = 2)",
+        "q AS MATERIALIZED (SELECT kind, id AS qid, vec FROM v JOIN (SELECT 'boundary' AS kind, qid FROM (SELECT qid FROM score ORDER BY score.score DESC, qid LIMIT 20) UNION ALL SELECT 'asked', id FROM v WHERE id % 50 = 0) s ON s.qid = v.id)",
+        "pr AS (SELECT * FROM (SELECT kind, qid, q.vec, c3.cluster, row_number() OVER (PARTITION BY kind, qid ORDER BY list_distance(q.vec, centroid), c3.cluster) AS k FROM q, c3) WHERE k <= 2)",
+        "found AS (SELECT kind, qid, id FROM (SELECT kind, qid, post.id, row_number() OVER (PARTITION BY kind, qid ORDER BY list_distance(pr.vec, post.vec), post.id) AS k FROM pr JOIN post USING (cluster)) WHERE k <= 10)",
+        "truth AS (SELECT kind, qid, id FROM (SELECT kind, qid, v.id, row_number() OVER (PARTITION BY kind, qid ORDER BY list_distance(q.vec, v.vec), v.id) AS k FROM q, v) WHERE k <= 10)",
+        "hits AS (SELECT kind, qid, count(*) AS hits FROM found JOIN truth USING (kind, qid, id) GROUP BY kind, qid)",
+    ],
+    "SELECT q.kind, count(*) AS n, round(avg(CAST(coalesce(hits, 0) AS DOUBLE) / 10), 6) AS recall FROM q LEFT JOIN hits ON hits.kind = q.kind AND hits.qid = q.qid GROUP BY q.kind",
+)
 BOUNDARY_SPLIT = scores("""SELECT side, count(*) AS n, round(avg(recall), 6) AS recall, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.99), 6) AS p99
 FROM (SELECT CASE WHEN score >= (SELECT quantile_cont(score, 0.75) FROM score) THEN 'boundary' ELSE 'interior' END AS side, CAST((qid % 11) / 10.0 AS DOUBLE) AS recall, CAST(qid * 37 % 101 AS DOUBLE) AS latency FROM score) GROUP BY side""")
 
@@ -241,6 +263,8 @@ def reports(body: str, *more: str) -> str:
 
 LATENCIES = reports("SELECT method, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std, " + ", ".join(f"round(quantile_cont(value, {q}), 9) AS {n}" for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"), (0.999, "p999"))) + " FROM r WHERE isfinite(value) GROUP BY method")
 
+STREAM = reports("SELECT method, count(*) FILTER (WHERE batch >= 10) AS timed, round(avg(recall) FILTER (WHERE batch % 7 > 0), 9) AS recall, round(avg(CAST(batch % 7 AS DOUBLE)) FILTER (WHERE batch % 7 > 0), 9) AS qps, " + ", ".join(f"round(quantile_cont(latency, {q}) FILTER (WHERE batch >= 10), 9) AS {n}" for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"), (0.999, "p999"))) + " FROM b GROUP BY method", "b AS (SELECT method, seq // 100 AS batch, avg(value) AS recall, max(value) AS latency FROM r GROUP BY ALL)")
+
 
 def traces(body: str) -> str:
     return reports(body, "parts AS (SELECT method, dataset, value, ntile(12) OVER (PARTITION BY method, dataset ORDER BY seq) AS part FROM r)", "trace AS (SELECT method, dataset, part, avg(value) AS mean, quantile_cont(value, 0.99) AS p99 FROM parts GROUP BY ALL)")

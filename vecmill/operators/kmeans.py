@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from ..functions.arrow import matrix
@@ -89,6 +90,16 @@ def mllib(vectors: DataFrame, k: int, rounds: int = 25, seed: int = 42, cosine:
     return {i: c.tolist() for i, c in enumerate(model.clusterCenters())}
 
 
+def local_samples(postings: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """cluster, id, vec, side: up to ``size`` members, in order of a hash, of each partition of max(8, size // 2) or more, in two random halves."""
+    key = lambda salt: F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(salt), F.lit(seed).cast("string")))
+    own = Window.partitionBy("cluster")
+    eligible = postings.withColumn("n", F.count(F.lit(1)).over(own)).where(F.col("n") >= max(8, size // 2))
+    kept = eligible.withColumn("r", F.row_number().over(own.orderBy(key("member"), "id"))).where(F.col("r") <= size)
+    half = F.row_number().over(own.orderBy(key("side"), "id")) > F.floor(F.least("n", F.lit(size)) / 2)
+    return kept.select("cluster", "id", "vec", half.cast("int").alias("side"))
+
+
 def sse(assigned: DataFrame) -> DataFrame:
     """One row: sse, the sum of squared norms less the sum of s/n over the clusters."""
     points = assigned.agg(F.sum(V.squared_norm(F.col("vec"))).alias("points"))

@@ -28,6 +28,12 @@ def violations(index: Index) -> DataFrame:
     return own.agg(F.count(F.lit(1)).alias("checked"), bad.alias("violations"), F.when(F.count(F.lit(1)) > 0, bad / F.count(F.lit(1))).otherwise(0.0).alias("violation_rate"))
 
 
+def summary(index: Index) -> DataFrame:
+    """One row: partitions with members, vectors, sizes (smallest, largest, mean, population std), and the rate of members in a wrong partition."""
+    n = index.sizes().agg(F.count(F.lit(1)).alias("partitions"), F.sum("n").alias("vectors"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"))
+    return n.join(F.broadcast(violations(index).select("violation_rate")))
+
+
 def boundary_scores(queries: DataFrame, centroids: dict[int, list[float]]) -> DataFrame:
     """qid and score: angle to the nearest centroid over that to the next, by inner product (1: on the boundary)."""
     two = knn.nearest(queries.select(F.col("qid").alias("id"), "vec"), centroids, "ip", second=True)

@@ -15,6 +15,13 @@ def latency_summary(results: DataFrame, by: list[str], value: str = "value") ->
     return results.where(V.is_finite(F.col(value))).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), *latencies(value))
 
 
+def stream_summary(batches: DataFrame, by: list[str], warmup: int) -> DataFrame:
+    """Of a run's batches (batch, recall, qps, latency): mean recall and qps over batches with qps above 0, warm-up included; exact percentiles of latency after it."""
+    timed = F.when(F.col("batch") >= warmup, F.col("latency"))
+    busy = lambda c: F.avg(F.when(F.col("qps") > 0, F.col(c)))
+    return batches.withColumn("timed", timed).groupBy(*by).agg(F.count("timed").alias("timed"), busy("recall").alias("recall"), busy("qps").alias("qps"), *latencies("timed"))
+
+
 def windows(results: DataFrame, by: list[str], order: str, value: str = "value", n: int = 12) -> DataFrame:
     """part (1 to n), mean and p99 of near-equal consecutive parts of each group's trace."""
     part = F.ntile(n).over(Window.partitionBy(*by).orderBy(order)).cast("long")

@@ -32,6 +32,19 @@ def read(spark: SparkSession, path: str, form: str = "parquet", most: int | None
     return out if most is None else out.where(F.col("id") < most)
 
 
+def until(tables: list[DataFrame], quota: int) -> DataFrame:
+    """id, vec and source (the place of its table): whole tables in turn while the quota isn't met, and the smallest ids of the one that meets it."""
+    out, left = None, quota
+    for i, table in enumerate(tables):
+        if out is not None and left <= 0:
+            break
+        n = table.count()
+        part = table if n <= left else table.orderBy("id").limit(max(0, left))
+        part = part.select("id", "vec", F.lit(i).cast("long").alias("source"))
+        out, left = part if out is None else out.union(part), left - n
+    return out
+
+
 def _npy(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a matrix in a .npy file, read by Spark as one binary value (2 GB at most) and numbered in order."""
 
