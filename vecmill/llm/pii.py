@@ -361,12 +361,15 @@ def undecided(text: str, spans: list[tuple[str, int, int]]) -> bool:
     return False
 
 
-def windows_of(text: str) -> list[Window]:
-    """Windows around the signs of data in a whole text and one at any place of it, with the base spans as labels; windows that are undecided are left out."""
+def windows_of(text: str, plain: bool = False) -> list[Window]:
+    """Windows around the signs of data in a whole text, with the base spans as labels; windows that are undecided are left out.
+
+    ``plain`` adds one at any place, so that training sees text without signs too.
+    """
     out, after = [], 0
     spans = base_spans(text)
-    anywhere = zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(text) - WINDOW)
-    for at in sorted([anywhere, *(m.start() for m in TRIGGER.finditer(text))]):
+    anywhere = [zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(text) - WINDOW)] if plain else []
+    for at in sorted([*anywhere, *(m.start() for m in TRIGGER.finditer(text))]):
         if at < after:
             continue
         a = max(0, at - WINDOW // 3)
@@ -431,7 +434,7 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [w for t in batch.column("text").to_pylist() for w in windows_of(t)]
+            found = [w for t in batch.column("text").to_pylist() for w in windows_of(t, plain=True)]
             spans = pa.array([[{"k": k, "a": a, "z": z} for k, a, z in s] for _, s in found], pa.list_(pa.struct([("k", pa.string()), ("a", pa.int32()), ("z", pa.int32())])))
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), spans], ["text", "spans"])
 
