@@ -75,6 +75,41 @@ def test_policies_keep_every_live_vector_once(spark, name):
     assert {r["cluster"] for r in after.sizes().collect()} <= set(after.centroids)
 
 
+def members(spark, groups):
+    rows = [(1000 * g + i, g, 0, i, at, [float(a) for a in v]) for g, (x, side) in groups.items() for i, (v, at) in enumerate(zip(x, side.tolist(), strict=True))]
+    return spark.createDataFrame(rows, "id long, grp long, first long, pos long, place long, vec array<double>")
+
+
+def test_blocks_of_large_groups_raise_their_worth_and_keep_their_members(spark, monkeypatch):
+    """Groups of one block and of several together: passes of whole groups, or none that lowers what is sought."""
+    rng = np.random.default_rng(3)
+    groups = {g: (rng.normal(size=(n, 4)) + 6 * (np.arange(n) % 2)[:, None], (np.arange(n) >= n // 2).astype(int)) for g, n in ((1, 30), (2, 170))}
+    one = {r["id"]: r["place"] for r in maintenance.improved(members(spark, groups), kernels.two_way, 2, 5).collect()}
+    monkeypatch.setattr(maintenance, "BLOCK", 40)
+    for kernel, passes in ((kernels.two_way, 5), (kernels.two_means, 10)):
+        found = {r["id"]: r["place"] for r in maintenance.improved(members(spark, groups), kernel, 2, passes).collect()}
+        assert set(found) == set(one)
+        for g, (x, side) in groups.items():
+            at = np.array([found[1000 * g + i] for i in range(len(x))])
+            assert objective(x, at) >= objective(x, side)
+            assert objective(x, at) == pytest.approx(objective(x, kernel(x, side, passes)), rel=1e-3)
+    x, side = groups[1]  # a group of one block isn't touched by the others' blocks
+    assert [one[1000 + i] for i in range(30)] == kernels.two_way(x, side).tolist()
+    none = {r["id"]: r["place"] for r in maintenance.improved(members(spark, groups), kernels.two_way, 2, 0).collect()}
+    assert all(none[1000 * g + i] == p for g, (_, s) in groups.items() for i, p in enumerate(s.tolist()))
+
+
+def test_repairs_in_blocks_keep_every_vector_once(spark, monkeypatch):
+    monkeypatch.setattr(maintenance, "BLOCK", 15)
+    index = build(catalogue.vectors(spark, SMALL), IndexConfig(nlist=4))
+    big = catalogue.largest(index)
+    split, new = maintenance.split(index, [big])
+    ids = sorted(r["id"] for r in index.postings.select("id").collect())
+    repaired = [maintenance.local_repair(split, (big, new[big]), 2), maintenance.local_repair(split, (big, new[big]), 2, live_means=True)]
+    for after in (*repaired, maintenance.boundary_split(index, big), maintenance.sampled_repair(index, big)):
+        assert sorted(r["id"] for r in after.postings.select("id").collect()) == ids
+
+
 def test_unknown_names(spark):
     with pytest.raises(ValueError):
         maintenance.policy("nothing")

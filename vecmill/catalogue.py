@@ -272,13 +272,13 @@ def split_halves(spark, sf_dir):
 def cdkm_split(spark, sf_dir):
     """The two sides of every partition after five passes of coordinate descent."""
     halved = maintenance.halves(indexed(spark, sf_dir).postings)
-    return maintenance.sides(halved, kernels.two_way).select("id", "cluster", "side")
+    return maintenance.sides(halved).select("id", "cluster", "side")
 
 
 @query(S.LLOYD_SPLIT)
 def lloyd_split(spark, sf_dir):
     halved = maintenance.halves(indexed(spark, sf_dir).postings)
-    return maintenance.sides(halved, lambda x, side: kernels.two_means(x, side, 10)).select("id", "cluster", "side")
+    return maintenance.sides(halved, kernels.two_means, 10).select("id", "cluster", "side")
 
 
 @query(S.LIRE)
@@ -349,7 +349,7 @@ def live_means_repair(spark, sf_dir):
     """A split's neighbourhood in one pass to the nearest mean, means following every move."""
     index = indexed(spark, sf_dir)
     big = largest(index)
-    after, new = maintenance.split(index, [big], lambda x, side: side)
+    after, new = maintenance.split(index, [big], passes=0)
     return located(maintenance.local_repair(after, (big, new[big]), live_means=True))
 
 

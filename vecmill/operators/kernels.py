@@ -1,6 +1,7 @@
 """Order-dependent improvement of one partition's (or one small neighbourhood's) members, run inside grouped tasks.
 
-Every point in turn may move to another place, and each move counts for the next point at once.
+Every point in turn may move to another place, and each move counts for the next point at once. ``start``, where given, holds
+members and sums (n, a) of all places: the points are then one block of a larger group.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+Start = tuple[np.ndarray, np.ndarray]
+
 #: What a move has to gain where float noise could move points for ever.
 LEAST_GAIN = 1e-9
 
@@ -16,8 +19,11 @@ LEAST_GAIN = 1e-9
 class Places:
     """Members n and vector sums a of each place."""
 
-    def __init__(self, x: np.ndarray, at: np.ndarray, places: int):
+    def __init__(self, x: np.ndarray, at: np.ndarray, places: int, start: Start | None = None):
         self.x, self.at = x, at.copy()
+        if start is not None:
+            self.n, self.a = start[0].copy(), start[1].copy()
+            return
         self.n = np.bincount(at, minlength=places).astype(float)
         self.a = np.zeros((places, x.shape[1]))
         np.add.at(self.a, at, x)
@@ -31,8 +37,20 @@ class Places:
         self.at[i] = to
 
     def objective(self) -> float:
-        some = self.n > 0
-        return float(((self.a[some] ** 2).sum(1) / self.n[some]).sum())
+        return worth(self.n, self.a)
+
+
+def worth(n: np.ndarray, a: np.ndarray) -> float:
+    """The sum of s/n over places: what moves are to raise."""
+    some = n > 0
+    return float(((a[some] ** 2).sum(1) / n[some]).sum())
+
+
+def dealt(ghosts: np.ndarray, n: np.ndarray, a: np.ndarray) -> Places:
+    """Ghosts on the side, of two, whose mean is nearer."""
+    means = a / np.maximum(n, 1)[:, None]
+    d = ((ghosts[:, None] - means) ** 2).sum(2)
+    return Places(ghosts, (d[:, 1] < d[:, 0]).astype(int), 2)
 
 
 def two_sided_gains(p: Places, i: int, ghosts: Places | None = None) -> np.ndarray:
@@ -68,26 +86,24 @@ def improve(p: Places, passes: int, choose: Callable[[int], int], before: Callab
     return moves
 
 
-def two_way(x: np.ndarray, side: np.ndarray, passes: int = 5, ghosts: np.ndarray | None = None) -> np.ndarray:
+def two_way(x: np.ndarray, side: np.ndarray, passes: int = 5, start: Start | None = None, ghosts: np.ndarray | None = None) -> np.ndarray:
     """Sides after coordinate descent; ``ghosts`` weigh on the side whose mean is nearer, and don't move themselves."""
-    p = Places(x, side, 2)
+    p = Places(x, side, 2, start)
     if ghosts is None or not len(ghosts):
         improve(p, passes, lambda i: int(np.argmax(two_sided_gains(p, i))))
         return p.at
     held = [Places(ghosts, np.zeros(len(ghosts), int), 2)]
 
     def deal() -> None:
-        means = p.a / np.maximum(p.n, 1)[:, None]
-        d = ((ghosts[:, None] - means) ** 2).sum(2)
-        held[0] = Places(ghosts, (d[:, 1] < d[:, 0]).astype(int), 2)
+        held[0] = dealt(ghosts, p.n, p.a)
 
     improve(p, passes, lambda i: int(np.argmax(two_sided_gains(p, i, held[0]))), deal)
     return p.at
 
 
-def adopting(x: np.ndarray, at: np.ndarray, passes: int = 5) -> np.ndarray:
+def adopting(x: np.ndarray, at: np.ndarray, passes: int = 5, start: Start | None = None) -> np.ndarray:
     """Places 0 and 1 improve as in ``two_way``; a point elsewhere (place 2) joins the better one where that gains."""
-    p = Places(x, at, 3)
+    p = Places(x, at, 3, start)
 
     def choose(i: int) -> int:
         gains = two_sided_gains(p, i)
@@ -100,9 +116,9 @@ def adopting(x: np.ndarray, at: np.ndarray, passes: int = 5) -> np.ndarray:
     return p.at
 
 
-def local(x: np.ndarray, at: np.ndarray, places: int, passes: int = 5) -> np.ndarray:
+def local(x: np.ndarray, at: np.ndarray, places: int, passes: int = 5, start: Start | None = None) -> np.ndarray:
     """Each point goes where the sum of s/n rises most, if by more than LEAST_GAIN; a singleton stays."""
-    p = Places(x, at, places)
+    p = Places(x, at, places, start)
 
     def choose(i: int) -> int:
         own, rho = p.at[i], float(x[i] @ x[i])
@@ -118,21 +134,24 @@ def local(x: np.ndarray, at: np.ndarray, places: int, passes: int = 5) -> np.nda
     return p.at
 
 
-def nearest_live(x: np.ndarray, at: np.ndarray, places: int) -> np.ndarray:
+def nearest_live(x: np.ndarray, at: np.ndarray, places: int, start: Start | None = None) -> np.ndarray:
     """One pass in which each point goes to the nearest mean, means following every move."""
-    p = Places(x, at, places)
+    p = Places(x, at, places, start)
     improve(p, 1, lambda i: int(np.argmin(np.where(p.n > 0, ((p.a / np.maximum(p.n, 1)[:, None] - x[i]) ** 2).sum(1), np.inf))))
     return p.at
 
 
-def two_means(x: np.ndarray, side: np.ndarray, rounds: int) -> np.ndarray:
+def two_means(x: np.ndarray, side: np.ndarray, rounds: int, start: Start | None = None) -> np.ndarray:
     """Lloyd's algorithm on two sides; ties go to side 0, a side left empty takes the point farthest from the mean."""
-    start, at = side, side.copy()
+    if start is not None:  # a block's part of one round
+        d = ((x[:, None] - start[1] / start[0][:, None]) ** 2).sum(2)
+        return (d[:, 1] < d[:, 0]).astype(int)
+    at = side.copy()
     for _ in range(rounds):
         means = np.stack([x[at == c].mean(0) if (at == c).any() else x[((x - x.mean(0)) ** 2).sum(1).argmax()] for c in (0, 1)])
         d = ((x[:, None] - means) ** 2).sum(2)
         at = (d[:, 1] < d[:, 0]).astype(int)
-    return at if 0 < at.sum() < len(at) else start
+    return at if 0 < at.sum() < len(at) else side
 
 
 def curves(x: np.ndarray, side: np.ndarray, checkpoints: list[int]) -> dict[str, list[float]]:

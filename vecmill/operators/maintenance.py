@@ -16,10 +16,14 @@ from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from ..functions.arrow import matrix
+from ..sources.scratch import stored
 from . import kernels, kmeans, knn
 from .index import Index, build, centroid_table, in_order
 
-Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: (vectors, places, passes, members and sums of all places where the vectors are one block of more) -> places.
+Kernel = Callable[[np.ndarray, np.ndarray, int, kernels.Start | None], np.ndarray]
+#: Members that a task improves at a time.
+BLOCK = 16_384
 
 
 def _renumbered(index: Index, clusters: list[int], members: DataFrame) -> DataFrame:
@@ -40,16 +44,60 @@ def halves(postings: DataFrame, least: int = 4) -> DataFrame:
     return postings.withColumn("n", n).where(F.col("n") >= least).withColumn("side", F.when(F.col("pos") < F.floor(F.col("n") / 2), 0).otherwise(1)).drop("n")
 
 
-def sides(halved: DataFrame, kernel: Kernel) -> DataFrame:
-    """halved with the sides that a kernel gives each partition's members, in order of pos; a partition is one task's group (its size is what a split bounds)."""
+def _sums(members: DataFrame, places: int) -> dict[int, kernels.Start]:
+    """Members and vector sums of each group's places: a row for each place comes to the driver."""
+    rows = kmeans.statistics(members.select((F.col("grp") * places + F.col("place")).alias("cluster"), "vec")).select("cluster", "n", "a").collect()
+    out: dict[int, kernels.Start] = {}
+    for r in rows:
+        grp, place = divmod(r["cluster"], places)
+        n, a = out.setdefault(grp, (np.zeros(places), np.zeros((places, len(r["a"])))))
+        n[place], a[place] = r["n"], r["a"]
+    return out
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("pos")
-        side = kernel(matrix(rows["vec"]), rows["side"].to_numpy().astype(int))
-        return rows.set_column(rows.schema.get_field_index("side"), "side", pa.array(side.astype(np.int32)))
 
-    own = halved.select("id", "cluster", "pos", "vec", F.col("side").cast("int").alias("side"))
-    return own.groupBy("cluster").applyInArrow(run, own.schema)
+def improved(members: DataFrame, kernel: Kernel, places: int, passes: int, worth: Callable[[np.ndarray, np.ndarray], float] = kernels.worth) -> DataFrame:
+    """``members`` (id, grp, first, pos, place, vec) at the places that a kernel gives, each group by itself in order of (first, pos).
+
+    No task holds more than a block of about BLOCK members. A group of one block takes its passes in one task. In a larger one
+    each pass starts from the sums of the whole group, blocks move their members side by side, and sums are taken anew; the
+    first pass that doesn't raise the group's worth is left out and ends it.
+    """
+
+    def step(table: DataFrame, turns: int, start: dict[int, kernels.Start] | None) -> DataFrame:
+        def run(rows: pa.Table) -> pa.Table:
+            grp = rows["grp"][0].as_py()
+            if start is not None and grp not in start:
+                return rows
+            rows = rows.sort_by([("first", "ascending"), ("pos", "ascending")])
+            to = kernel(matrix(rows["vec"]), rows["place"].to_numpy().astype(int), turns, start and start[grp])
+            return rows.set_column(rows.schema.get_field_index("place"), "place", pa.array(to.astype(np.int64)))
+
+        return table.groupBy("grp", "block").applyInArrow(run, table.schema)
+
+    own = members.select(*[F.col(c).cast("long").alias(c) for c in ("id", "grp", "first", "pos", "place")], "vec", F.lit(0).cast("long").alias("block"))
+    blocks = {r["grp"]: -(-r["n"] // BLOCK) for r in own.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    many = {g: b for g, b in blocks.items() if b > 1}
+    if not many:
+        return step(own, passes, None).drop("block")
+    large = F.col("grp").isin(list(many))
+    n = F.create_map(*[F.lit(x).cast("long") for gb in many.items() for x in gb])
+    table = stored(own.where(large).withColumn("block", F.pmod(F.xxhash64("id"), n[F.col("grp")])))
+    sums = _sums(table, places)
+    for _ in range(passes):
+        after = stored(step(table, 1, sums))
+        then = _sums(after.where(F.col("grp").isin(list(sums))), places)
+        sums = {g: then[g] for g in sums if worth(*then[g]) > worth(*sums[g])}
+        if not sums:
+            break
+        better = F.col("grp").isin(list(sums))
+        table = after.where(better).union(table.where(~better))
+    return step(own.where(~large), passes, None).union(table).drop("block")
+
+
+def sides(halved: DataFrame, kernel: Kernel = kernels.two_way, passes: int = 5, worth: Callable[[np.ndarray, np.ndarray], float] = kernels.worth) -> DataFrame:
+    """halved with the sides that a kernel gives each partition's members, in order of pos."""
+    members = halved.select("id", F.col("cluster").alias("grp"), F.lit(0).alias("first"), "pos", F.col("side").alias("place"), "vec")
+    return improved(members, kernel, 2, passes, worth).select("id", F.col("grp").alias("cluster"), "pos", "vec", F.col("place").cast("int").alias("side"))
 
 
 def oversize(index: Index) -> list[int]:
@@ -61,14 +109,13 @@ def _refreshed(postings: DataFrame, centroids: dict[int, list[float]], clusters:
     return {**centroids, **kmeans.means(kmeans.statistics(postings.where(F.col("cluster").isin(clusters))))}
 
 
-def split(index: Index, which: list[int], kernel: Kernel | None = None, passes: int = 5) -> tuple[Index, dict[int, int]]:
-    """Split partitions in two; side 1 becomes a new partition. The default kernel is coordinate descent from the halves."""
-    kernel = kernel or (lambda x, side: kernels.two_way(x, side, passes))
+def split(index: Index, which: list[int], kernel: Kernel = kernels.two_way, passes: int = 5, worth: Callable[[np.ndarray, np.ndarray], float] = kernels.worth) -> tuple[Index, dict[int, int]]:
+    """Split partitions in two; side 1 becomes a new partition. The default kernel is coordinate descent from the halves, which no passes leave as they are."""
     new = {c: max(index.centroids) + 1 + i for i, c in enumerate(sorted(which))}
     if not new:
         return index, {}
     mine = F.col("cluster").isin(list(new))
-    dealt = sides(halves(index.postings.where(mine)), kernel)
+    dealt = sides(halves(index.postings.where(mine)), kernel, passes, worth)
     names = F.create_map(*[F.lit(x).cast("long") for kv in new.items() for x in kv])
     moved = dealt.select("id", F.when(F.col("side") == 1, names[F.col("cluster")]).otherwise(F.col("cluster")).alias("cluster"), "vec")
     small = index.postings.where(mine).join(dealt.select("id"), "id", "left_anti").select("id", "cluster", "vec")
@@ -89,7 +136,7 @@ def mem_only_split(index: Index, which: list[int]) -> Index:
 
 def lire_split(index: Index, which: list[int], rounds: int = 10, around: int | None = None) -> Index:
     """Split by two-means, then give every member of the halves and their ``around`` nearest partitions to its nearest centroid of all."""
-    after, new = split(index, which, lambda x, side: kernels.two_means(x, side, rounds))
+    after, new = split(index, which, kernels.two_means, rounds)
     around = index.config.neighbours if around is None else around
     if not new or not around:
         return after
@@ -114,23 +161,21 @@ def neighbourhood(index: Index, clusters: tuple[int, int], n: int) -> list[int]:
 
 
 def local_repair(index: Index, clusters: tuple[int, int], n: int = 5, passes: int = 5, live_means: bool = False) -> Index:
-    """Coordinate descent over a split's neighbourhood of n + 2 partitions, gathered in one task (n x split_above vectors at most by design).
+    """Coordinate descent over a split's neighbourhood of n + 2 partitions, in blocks.
 
     ``live_means``: one pass to the nearest mean instead.
     """
     near = neighbourhood(index, clusters, n)
     place = F.array_position(F.array(*map(F.lit, near)), F.col("cluster").cast("int")) - 1
     mine = F.col("cluster").isin(near)
-    names = np.array(near)
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("place", "ascending"), ("pos", "ascending")])
-        x, at = matrix(rows["vec"]), rows["place"].to_numpy().astype(int)
-        to = kernels.nearest_live(x, at, len(near)) if live_means else kernels.local(x, at, len(near), passes)
-        return pa.table([rows["id"], pa.array(names[to]), rows["vec"]], ["id", "cluster", "vec"])
+    def kernel(x: np.ndarray, at: np.ndarray, turns: int, start: kernels.Start | None) -> np.ndarray:
+        return kernels.nearest_live(x, at, len(near), start) if live_means else kernels.local(x, at, len(near), turns, start)
 
-    gathered = index.postings.where(mine).withColumn("place", place.cast("int")).withColumn("all", F.lit(0))
-    moved = gathered.groupBy("all").applyInArrow(run, "id long, cluster long, vec array<double>")
+    gathered = index.postings.where(mine).select("id", F.lit(0).alias("grp"), place.alias("first"), "pos", place.alias("place"), "vec")
+    found = improved(gathered, kernel, len(near), 1 if live_means else passes)
+    names = F.array(*[F.lit(c).cast("long") for c in near])
+    moved = found.select("id", names[F.col("place").cast("int")].alias("cluster"), "vec")
     postings = _renumbered(index, near, moved)
     return replace(index, postings=postings, centroids=_refreshed(postings, index.centroids, near))
 
@@ -146,24 +191,26 @@ def boundary_sample(index: Index, clusters: tuple[int, int], n: int = 2, samples
 
 def boundary_split(index: Index, cluster: int, n: int = 2, samples: int = 4, passes: int = 5) -> Index:
     """Split one partition while sampled neighbours weigh on the halves as ghosts (their number is bounded by n x samples)."""
-    plain, new = split(index, [cluster], lambda x, side: side)
+    plain, new = split(index, [cluster], passes=0)
     ghosts = np.array([r["vec"] for r in boundary_sample(plain, (cluster, new[cluster]), n, samples).orderBy("cluster", "rank").collect()])
-    return split(index, [cluster], lambda x, side: kernels.two_way(x, side, passes, ghosts))[0].counted(ghosts=len(ghosts))
+
+    def worth(n: np.ndarray, a: np.ndarray) -> float:
+        held = kernels.dealt(ghosts, n, a)
+        return kernels.worth(n + held.n, a + held.a)
+
+    kernel = lambda x, side, turns, start: kernels.two_way(x, side, turns, start, ghosts)
+    return split(index, [cluster], kernel, passes, worth if len(ghosts) else kernels.worth)[0].counted(ghosts=len(ghosts))
 
 
 def sampled_repair(index: Index, cluster: int, n: int = 2, samples: int = 4, passes: int = 5) -> Index:
     """Split one partition while sampled neighbours may join a half where that gains."""
-    plain, new = split(index, [cluster], lambda x, side: side)
+    plain, new = split(index, [cluster], passes=0)
     pair = (cluster, new[cluster])
     sample = boundary_sample(plain, pair, n, samples).select("id", "vec", F.lit(2).alias("place"))
     own = plain.postings.where(F.col("cluster").isin(list(pair))).select("id", "vec", F.when(F.col("cluster") == cluster, 0).otherwise(1).alias("place"))
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("place", "ascending"), ("id", "ascending")])
-        to = kernels.adopting(matrix(rows["vec"]), rows["place"].to_numpy().astype(int), passes)
-        return pa.table([rows["id"], pa.array(to.astype(np.int64))], ["id", "place"])
-
-    moved = own.union(sample).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "id long, place long").where("place < 2")
+    members = own.union(sample.select("id", "vec", "place")).select("id", F.lit(0).alias("grp"), F.col("place").alias("first"), F.col("id").alias("pos"), "place", "vec")
+    moved = improved(members, kernels.adopting, 3, passes, lambda n, a: kernels.worth(n[:2], a[:2])).where("place < 2").select("id", "place")
     to = F.when(F.col("place") == 0, cluster).when(F.col("place") == 1, pair[1]).otherwise(F.col("cluster"))
     postings = in_order(plain.postings.join(moved, "id", "left").select("id", to.cast("long").alias("cluster"), "vec"))
     return replace(plain, postings=postings, centroids=_refreshed(postings, plain.centroids, neighbourhood(plain, pair, n)))
