@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, langid, pii, shards, simhash, substrings, suffixes, token_counts
+from . import bpe, codes, decontaminate, embeddings, filters, langid, licenses, pii, shards, simhash, substrings, suffixes, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(read(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lstm_crf_pii, op2_fixed_block_anchors, op3_language_mixture, op4_simhash_vantage_tree, op5_byte_bpe, op6_itq_multi_index, op7_suffix_sort, op8_hilbert_shards, op9_benchmark_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_lstm_crf_pii, op2_fixed_block_anchors, op3_language_mixture, op4_simhash_vantage_tree, op5_byte_bpe, op6_itq_multi_index, op7_suffix_sort, op8_hilbert_shards, op9_benchmark_decontamination, op10_token_counts, op11_filter_interactions, op12_license_scan, op13_vector_codes)}
 
 
 OP2_SQL = r"""
@@ -108,5 +120,56 @@ FROM dw LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS e
+  FROM documents
+), f AS (
+  SELECT part, doc_id, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, e FROM d
+), g AS (
+  SELECT part, [a, b, c, d, e] AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+  FROM f LEFT JOIN (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)
+  GROUP BY ALL
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest(range(1, 6)) AS i),
+o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.i, q.i, r.i, s.i, t.i] AS turn
+  FROM l p, l q, l r, l s, l t WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5
+), h AS (
+  SELECT part, filter_order, turn, fails, n, good, toxic, coalesce(list_position(list_transform(turn, lambda i: fails[i]), true), 6) AS first, list_sum(list_transform(fails, lambda x: CAST(x AS INTEGER))) AS n_fails FROM g, o
+), steps AS (
+  SELECT part, filter_order, step, filter_order[step] AS filter, sum(n) FILTER (WHERE first > step) AS kept, sum(n) FILTER (WHERE first = step) AS removed, sum(n) FILTER (WHERE fails[turn[step]] AND first < step) AS redundant,
+         sum(n) FILTER (WHERE fails[turn[step]] AND n_fails = 1) AS unique_fails, sum(n) FILTER (WHERE first = step AND good = 1) AS good_lost, sum(n) FILTER (WHERE first = step AND toxic = 1) AS toxic_lost
+  FROM h, (SELECT unnest(range(1, 6)) AS step) GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM steps
+"""
+
+
+def _op13_sql(rounds: int = 6) -> str:
+    nearest = "(SELECT v.rid, v.p, min(struct_pack(d := list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := b.e)) AS m FROM v JOIN b{0} b USING (p) GROUP BY v.rid, v.p)"
+    ctes = [
+        "k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "v AS MATERIALIZED (SELECT rid, p, x[p * (len(x) // 8) + 1 : (p + 1) * (len(x) // 8)] AS x FROM k, (SELECT unnest(range(8)) AS p))",
+        "b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x FROM v WHERE rid <= 16)",
+    ]
+    for i in range(rounds):
+        ctes += [
+            f"n{i} AS MATERIALIZED (SELECT rid, p, m.e AS e FROM {nearest.format(i)})",
+            f"s{i} AS (SELECT p, e, j, sum(y) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM v JOIN n{i} USING (rid, p)) GROUP BY p, e, j)",
+            f"b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS x FROM s{i} GROUP BY p, e) m USING (p, e))",
+        ]
+    ctes += [
+        f"final AS MATERIALIZED (SELECT rid, p, m.e AS e, m.d AS d FROM {nearest.format(rounds)})",
+        "coded AS (SELECT rid, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM final GROUP BY rid)",
+        f"digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM b{rounds})",
+    ]
+    return "WITH " + ",\n".join(ctes) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM coded JOIN k USING (rid), digest"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_fixed_block_anchors": OP2_SQL, "op7_suffix_sort": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
+    return {"op2_fixed_block_anchors": OP2_SQL, "op7_suffix_sort": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL, "op11_filter_interactions": OP11_SQL, "op13_vector_codes": _op13_sql()}
