@@ -27,6 +27,7 @@ AT_STEP = np.array([[FILTERS.index(f) for f in o] for o in ORDERS])
 FIRST = np.array([[next((s for s, f in enumerate(o) if mask >> FILTERS.index(f) & 1), 5) for o in ORDERS] for mask in range(32)])
 #: Failure conditions: fewest words, least share of distinct words (%), most capitals (%), characters that none may hold.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, FORBIDDEN = 200, 50, 3, b"#$%&*|"
+_CAPITALS, _CONTINUATIONS = bytes(range(65, 91)), bytes(range(0x80, 0xC0))
 #: Kinds of documents that are counted: neither good nor toxic, good, toxic, both.
 KINDS = 4
 #: Parts whose counts a task holds before it sends them on.
@@ -39,17 +40,15 @@ _COUNTED = "part string, filter_order string, n long, " + ", ".join(f"{c} array<
 def text_failures(column: pa.Array) -> np.ndarray:
     """Bits of the filters A to D for each text; null is empty."""
     data, off = strings(column)
-    size = np.diff(off)
-    before = lambda marked: np.concatenate([[0], np.cumsum(marked)])[off]
-    capitals = np.diff(before((data >= 65) & (data <= 90)))
-    points = np.diff(before((data & 0xC0) != 0x80))
-    forbidden = np.diff(before(np.isin(data, np.frombuffer(FORBIDDEN, np.uint8)))) > 0
-    raw = data.tobytes()
-    words, distinct = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    raw, n = data.tobytes(), len(off) - 1
+    words, distinct, capitals, points, forbidden = np.zeros((5, n), np.int64)
+    without = lambda t, those: len(t) - len(t.translate(None, those))
     for i, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-        found = raw[a:z].split()  # at space, tab, line feed, vertical tab, form feed and carriage return
+        text = raw[a:z]
+        found = text.split()  # at space, tab, line feed, vertical tab, form feed and carriage return
         words[i], distinct[i] = len(found), len(set(found))
-    failing = [words < LEAST_WORDS, 100 * distinct < LEAST_DISTINCT * words, 100 * capitals > MOST_CAPITALS * points, forbidden]
+        capitals[i], points[i], forbidden[i] = without(text, _CAPITALS), len(text.translate(None, _CONTINUATIONS)), without(text, FORBIDDEN)
+    failing = [words < LEAST_WORDS, 100 * distinct < LEAST_DISTINCT * words, 100 * capitals > MOST_CAPITALS * points, forbidden > 0]
     return sum(f.astype(np.int64) << i for i, f in enumerate(failing))
 
 
