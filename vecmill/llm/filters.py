@@ -69,8 +69,8 @@ def judged(docs: DataFrame) -> DataFrame:
 def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, part, mask (bits of A to E) and kind (1: good, 2: toxic, 3: both, else 0) of each document.
 
-    The digests are written once; a text that stands under several doc_ids is a row of a table that joins them, whose
-    large keys Spark splits.
+    The digests are written once, and so are the texts that stand under several doc_ids and the labelled documents: Spark
+    splits the rows of a large key (a text in many copies, the null doc_id) only where both sides of a join are plain tables.
     """
     table = stored(judged(docs))
     repeated = table.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
@@ -78,7 +78,7 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kinds = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((flag("quality") + 2 * flag("toxic")).alias("kind")).where("doc_id is not null and kind > 0")
     again = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     mask = F.col("mask") + F.when(again, 1 << 4).otherwise(0)
-    both = table.join(kinds, "doc_id", "left").join(repeated, "digest", "left")
+    both = table.join(stored(kinds), "doc_id", "left").join(stored(repeated), "digest", "left")
     return both.select("doc_id", "part", mask.cast("long").alias("mask"), F.coalesce("kind", F.lit(0)).cast("long").alias("kind"))
 
 
