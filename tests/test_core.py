@@ -12,6 +12,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from vecmill import catalogue
+from vecmill.functions import arrow
 from vecmill.operators import kmeans, knn, quality
 from vecmill.operators.index import IndexConfig, build, read, search, write
 from vecmill.plans import reports
@@ -50,6 +51,35 @@ def test_a_scan_and_blocks_give_the_same_neighbours(spark, monkeypatch):
     monkeypatch.setattr(knn, "QUERY_BLOCK", 300)
     monkeypatch.setattr(knn, "BASE_BLOCK", 200)
     assert scanned == one() and len(scanned) == 4 * q.count()
+    for queries, base, chunk in ((150, 77, 13), (7, 90, 50)):
+        monkeypatch.setattr(knn, "QUERY_BLOCK", queries)
+        monkeypatch.setattr(knn, "BASE_BLOCK", base)
+        monkeypatch.setattr(knn, "CHUNK", chunk)
+        some = q.where("qid % 10 = 3") if queries == 7 else q
+        asked = {r["qid"] for r in some.collect()}
+        assert [r for r in scanned if r[0] in asked] == sorted((r["qid"], r["rank"], r["id"]) for r in knn.exact(some, v, 4, exclude_self=True).collect())
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_rows_that_are_nearest_against_all_pairs(metric):
+    """Ties between ids, thousands of equal rows, more wanted than there are: as all pairs ranked by (distance, id)."""
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(40, 24)), rng.normal(size=(300, 24))
+    for base in (np.vstack([y, y, y[:90]]), np.vstack([y, np.repeat(x[:1], 3000, 0)]), y[:3], np.zeros((50, 24))):
+        ids = rng.permutation(len(base))
+        d = np.array([arrow.paired(np.repeat(a[None], len(base), 0), base, metric) for a in x])
+        order = np.lexsort((np.broadcast_to(ids, d.shape), d))[:, :7]
+        for some in (x, x[:1]):
+            got, near = arrow.nearest(some, base, ids, 7, metric)
+            assert (near == ids[order][: len(some)]).all() and (got == np.take_along_axis(d, order, 1)[: len(some)]).all()
+
+
+def test_ties_between_centroids_and_a_lone_one(spark):
+    m = np.random.default_rng(1).normal(size=(500, 48))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], VECTORS).repartition(7)
+    twins = {c: m[c % 20].tolist() for c in range(60)}
+    assert all(r["cluster"] < 20 and r["cluster2"] == r["cluster"] + 20 and r["distance"] == r["distance2"] for r in knn.nearest(v, twins, second=True).collect())
+    assert {(r["cluster"], r["cluster2"]) for r in knn.nearest(v, {5: m[0].tolist()}, second=True).collect()} == {(5, None)}
 
 
 def test_few_queries_leave_the_base_where_it_is(spark):

@@ -6,6 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Pairs whose distances are taken at a time.
+PAIRS = 100_000
+
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of a list column of one length as a matrix of doubles; lists that are null or of unlike lengths are refused."""
@@ -26,8 +29,64 @@ def lists(m: np.ndarray) -> pa.Array:
 
 
 def distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    """Squared L2 distances, or negative inner products: smaller is nearer under either metric."""
+    """Squared L2 distances, or negative inner products, of all rows of x to all of y by one matrix product.
+
+    The last bits of a pair's distance depend on the shapes of x and y: what is ranked is taken anew by ``paired``.
+    """
     inner = x @ y.T
     if metric == "ip":
         return -inner
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * inner, 0)
+
+
+def paired(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the rows of x to the rows of y beside them, summed coordinate by coordinate: the same wherever a pair is met."""
+    out = np.zeros(len(x))
+    for a in range(0, len(x), PAIRS):
+        p, q, part = x[a : a + PAIRS].T, y[a : a + PAIRS].T, out[a : a + PAIRS]
+        for u, v in zip(p, q, strict=True):
+            part += u * v if metric == "ip" else (u - v) ** 2
+    return -out if metric == "ip" else out
+
+
+def _first_copies(y: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The rows of y without those that k equal ones of smaller ids stand before."""
+    same = np.unique(np.ascontiguousarray(y + 0.0).view(np.dtype((np.void, y.dtype.itemsize * y.shape[1]))).ravel(), return_inverse=True)[1]
+    order = np.lexsort((ids, same))
+    held = same[order]
+    place = np.arange(len(held)) - np.searchsorted(held, held)
+    return np.sort(order[place < k])
+
+
+def nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and id of the k nearest rows of y (all, if fewer) to each row of x, best first; ties go to the smaller id.
+
+    A matrix product leaves the rows that its rounding can't tell from the k-th; their distances are ``paired``, so that the
+    result doesn't depend on what else is in x and y. Of equal rows of y only the first k in order of id take part.
+    """
+    m = min(k, len(y))
+    if not m or not len(x):
+        return np.zeros((len(x), m)), np.zeros((len(x), m), np.int64)
+
+    def near() -> tuple[np.ndarray, np.ndarray]:
+        if m == len(y):
+            return np.divmod(np.arange(len(x) * m), m)
+        d = distances(x, y, metric)
+        last = np.partition(d, m - 1, axis=1)[:, m - 1]
+        reach = np.sqrt((x * x).sum(1)) + np.sqrt((y * y).sum(1).max())
+        rounding = (4 * x.shape[1] + 32) * np.finfo(float).eps * reach**2
+        return np.nonzero(~(d > (last + rounding)[:, None]))
+
+    rows, at = near()
+    if len(rows) > 4 * m * len(x) + 1000 and m < len(y) and x.shape[1]:
+        own = _first_copies(y, ids, k)
+        if len(own) < len(y):
+            y, ids = y[own], ids[own]
+            rows, at = near()
+    d = np.empty(len(rows))
+    for a in range(0, len(rows), PAIRS):
+        d[a : a + PAIRS] = paired(x[rows[a : a + PAIRS]], y[at[a : a + PAIRS]], metric)
+    order = np.lexsort((ids[at], d, rows))
+    first = np.searchsorted(rows[order], np.arange(len(x)))
+    pick = order[first[:, None] + np.arange(m)]
+    return d[pick], ids[at[pick]]

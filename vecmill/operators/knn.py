@@ -11,20 +11,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.arrow import distances, matrix
+from ..functions.arrow import matrix
+from ..functions.arrow import nearest as nearest_rows
 
-#: Queries and vectors that meet in one matrix product; a query set of one block is sent to every task of the base.
+#: Queries and vectors that meet in one task; a query set of one block is sent to every task of the base.
 QUERY_BLOCK, BASE_BLOCK = 2_000, 20_000
+#: Vectors of a matrix product, which bounds the matrix of distances.
+CHUNK = 2_000
 NEIGHBOURS = "qid long, id long, distance double"
 
 
-def _best(qids: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> pa.Table:
-    """The k nearest of each row of d; ties go to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    ids, d = ids[order], d[:, order]
-    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(qids)), near.shape[1])
-    return pa.table([pa.array(qids[rows]), pa.array(ids[near.ravel()]), pa.array(d[rows, near.ravel()])], ["qid", "id", "distance"])
+class _Best:
+    """The k nearest so far of each query; ties go to the smaller id."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: str):
+        self.q, self.k, self.metric = q, k, metric
+        self.d, self.ids = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        for a in range(0, len(ids), CHUNK):
+            d, near = nearest_rows(self.q, x[a : a + CHUNK], ids[a : a + CHUNK], self.k, self.metric)
+            d, near = np.hstack([self.d, d]), np.hstack([self.ids, near])
+            order = np.lexsort((near, d))[:, : self.k]
+            self.d, self.ids = np.take_along_axis(d, order, 1), np.take_along_axis(near, order, 1)
+
+    def columns(self, qids: np.ndarray) -> list[pa.Array]:
+        return [pa.array(np.repeat(qids, self.ids.shape[1])), pa.array(self.ids.ravel()), pa.array(self.d.ravel())]
 
 
 def exact(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
@@ -46,10 +58,10 @@ def exact(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", exclu
     keep = k + exclude_self
 
     def block(q: pa.Table, b: pa.Table) -> pa.Table:
-        qids, ids = q["qid"].to_numpy(), b["id"].to_numpy()
-        if not len(qids) or not len(ids):
-            return _best(qids[:0], ids[:0], np.zeros((0, 0)), keep)
-        return _best(qids, ids, distances(matrix(q["qvec"]), matrix(b["vec"]), metric), keep)
+        best = _Best(matrix(q["qvec"]), keep, metric)
+        if len(q) and len(b):
+            best.add(b["id"].to_numpy(), matrix(b["vec"]))
+        return pa.table(best.columns(q["qid"].to_numpy()), ["qid", "id", "distance"])
 
     found = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(block, NEIGHBOURS)
     if exclude_self:
@@ -60,20 +72,13 @@ def exact(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", exclu
 def _scanned(few: list, base: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
     """qid, id, distance: the k nearest to each of a few queries among the rows of every task."""
     qids, q = np.array([r["qid"] for r in few], np.int64), np.array([r["vec"] for r in few], np.float64)
-    last = np.iinfo(np.int64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, d = np.full((len(qids), 0), last), np.zeros((len(qids), 0))
+        best = _Best(q, k, metric)
         for batch in batches:
-            if not len(batch) or not len(qids):
-                continue
-            new, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            for a in range(0, len(new), 2_000):  # bounds the matrix of distances
-                ids = np.hstack([ids, np.broadcast_to(new[a : a + 2_000], (len(qids), len(new[a : a + 2_000])))])
-                d = np.hstack([d, distances(q, x[a : a + 2_000], metric)])
-                order = np.lexsort((ids, d))[:, :k]
-                ids, d = np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, ids.shape[1])), pa.array(ids.ravel()), pa.array(d.ravel())], ["qid", "id", "distance"])
+            if len(batch) and len(qids):
+                best.add(batch.column(0).to_numpy(), matrix(batch.column(1)))
+        yield pa.RecordBatch.from_arrays(best.columns(qids), ["qid", "id", "distance"])
 
     found = base.select("id", "vec").mapInArrow(run, NEIGHBOURS)
     return found.where("qid <> id") if exclude_self else found
@@ -88,10 +93,10 @@ def ranked(candidates: DataFrame, k: int) -> DataFrame:
 def nearest(vectors: DataFrame, centroids: dict[int, list[float]], metric: str = "l2", second: bool = False) -> DataFrame:
     """vectors (id, vec, ...) with cluster and distance of the nearest centroid (and cluster2, distance2 of the next).
 
-    The centroids are the index's own, bounded by its number of partitions; ties go to the smaller cluster. A row whose
-    vector is null has no nearest centroid and is left out.
+    The centroids are the index's own, bounded by its number of partitions; ties go to the smaller cluster, and a lone centroid
+    has no next one (null). A row whose vector is null has no nearest centroid and is left out.
     """
-    names = np.array(sorted(centroids))
+    names = np.array(sorted(centroids), np.int64)
     table = np.array([centroids[c] for c in names.tolist()], np.float64)
     extra = ["cluster", "distance"] + ["cluster2", "distance2"] * second
 
@@ -99,24 +104,21 @@ def nearest(vectors: DataFrame, centroids: dict[int, list[float]], metric: str =
         for batch in batches:
             if not len(batch):
                 continue
-            d = distances(matrix(batch.column(batch.schema.get_field_index("vec"))), table, metric)
-            columns = []
-            for i in range(1 + second):
-                at = d.argmin(1)
-                columns += [pa.array(names[at].astype(np.int64)), pa.array(d[np.arange(len(d)), at])]
-                d[np.arange(len(d)), at] = np.inf
+            d, near = nearest_rows(matrix(batch.column(batch.schema.get_field_index("vec"))), table, names, 1 + second, metric)
+            columns = [pa.array(c) for i in range(near.shape[1]) for c in (near[:, i], d[:, i])]
+            columns += [pa.nulls(len(batch), pa.int64()), pa.nulls(len(batch), pa.float64())] * (1 + second - near.shape[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *extra])
 
     kept = vectors.where("vec is not null").drop(*extra)
     schema = kept
     for name in extra:
-        schema = schema.withColumn(name, F.lit(0).cast("long" if name.startswith("cluster") else "double"))
+        schema = schema.withColumn(name, F.lit(None).cast("long" if name.startswith("cluster") else "double"))
     return kept.mapInArrow(run, schema.schema)
 
 
 def probes(queries: DataFrame, centroids: dict[int, list[float]], nprobe: int, metric: str = "l2") -> DataFrame:
     """qid, qvec and the nprobe nearest clusters, a row each, with rank and distance."""
-    names = np.array(sorted(centroids))
+    names = np.array(sorted(centroids), np.int64)
     table = np.array([centroids[c] for c in names.tolist()], np.float64)
     n = min(nprobe, len(names))
 
@@ -124,10 +126,8 @@ def probes(queries: DataFrame, centroids: dict[int, list[float]], nprobe: int, m
         for batch in batches:
             if not len(batch):
                 continue
-            d = distances(matrix(batch.column(1)), table, metric)
-            near = np.argsort(d, axis=1, kind="stable")[:, :n]
-            rows = np.repeat(np.arange(len(batch)), n)
-            take = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(np.tile(np.arange(1, n + 1), len(batch))), pa.array(names[near.ravel()].astype(np.int64)), pa.array(d[rows, near.ravel()])], ["qid", "qvec", "rank", "cluster", "distance"])
+            d, near = nearest_rows(matrix(batch.column(1)), table, names, n, metric)
+            take = batch.take(pa.array(np.repeat(np.arange(len(batch)), n)))
+            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(np.tile(np.arange(1, n + 1), len(batch))), pa.array(near.ravel()), pa.array(d.ravel())], ["qid", "qvec", "rank", "cluster", "distance"])
 
     return queries.where("vec is not null").select("qid", F.col("vec").alias("qvec")).mapInArrow(run, "qid long, qvec array<double>, rank long, cluster long, distance double")
