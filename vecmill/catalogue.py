@@ -17,7 +17,7 @@ from .functions import text as T
 from .functions import vectors as V
 from .functions.scaling import standardised
 from .operators import kernels, kmeans, knn, maintenance, quality
-from .operators.index import Index, IndexConfig, build, centroid_table, search, sweep
+from .operators.index import Index, IndexConfig, build, centroid_table, in_order, search, sweep
 from .operators.index import read as read_index
 from .operators.index import write as write_index
 from .plans import reports
@@ -165,7 +165,7 @@ def posting_lists(spark, sf_dir):
     """The index written to disk, partitioned by cluster, and read again."""
     path = scratch_path(spark)
     write_index(indexed(spark, sf_dir), path)
-    return read_index(spark, path).postings.select("id", "cluster", "pos")
+    return in_order(read_index(spark, path).postings).select("id", "cluster", "pos")
 
 
 @query(S.ENTRY)
@@ -224,7 +224,10 @@ def topl_neighbors(spark, sf_dir):
 
 @query(S.SUMMARY)
 def index_summary(spark, sf_dir):
-    return quality.summary(indexed(spark, sf_dir)).select("partitions", "vectors", "smallest", "largest", *(r6(c).alias(c) for c in ("mean", "std", "violation_rate")))
+    """Of an index whose centroids have moved to their members' means since the members were assigned."""
+    index = indexed(spark, sf_dir)
+    moved = replace(index, centroids={**index.centroids, **kmeans.means(kmeans.statistics(index.postings))})
+    return quality.summary(moved).select("partitions", "vectors", "smallest", "largest", *(r6(c).alias(c) for c in ("mean", "std", "violation_rate")))
 
 
 @query(S.AFTER_DELETES)
@@ -464,6 +467,13 @@ def boundary_split(spark, sf_dir):
     return quality.boundary_split(results).select("side", "n", *(r6(c).alias(c) for c in ("recall", "p50", "p99")))
 
 
+@query(S.BOUNDARY_SPLIT_AT)
+def boundary_split_at(spark, sf_dir):
+    """The same with the cut at a score of 0.97."""
+    results = _scores(spark, sf_dir).withColumn("recall", (F.col("qid") % 11) / 10.0).withColumn("latency", (F.col("qid") * 37 % 101).cast("double"))
+    return quality.boundary_split_at(results, 0.97).select("side", "n", *(r6(c).alias(c) for c in ("recall", "p50", "p99")))
+
+
 @query(S.BOUNDARY_RECALL)
 def boundary_vs_asked(spark, sf_dir):
     """Mean recall at nprobe 2 of the 20 queries nearest to a boundary and of those asked elsewhere."""
@@ -477,6 +487,12 @@ def boundary_vs_asked(spark, sf_dir):
     return out
 
 
+@query(S.scores("SELECT qid, round(score, 6) AS score FROM score WHERE score.score >= 0.95"))
+def boundary_queries_at(spark, sf_dir):
+    """As many as score 0.95 or more, which are over 20."""
+    return quality.boundary_queries(_scores(spark, sf_dir), 0.95, 20).select("qid", r6("score").alias("score"))
+
+
 @query(S.scores("SELECT qid, round(score, 6) AS score FROM score ORDER BY score.score DESC, qid LIMIT 20"))
 def boundary_queries(spark, sf_dir):
     return quality.boundary_queries(_scores(spark, sf_dir), 2.0, 20).select("qid", r6("score").alias("score"))
@@ -569,8 +585,10 @@ def nprobe_lookup(spark, sf_dir):
 
 @query(S.FLAT)
 def flattened_rows(spark, sf_dir):
-    each = results(spark, sf_dir).groupBy("method").agg(F.array_sort(F.collect_list("seq")).alias("seqs"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda z: z["value"]).alias("values"))
-    return reports.flattened(each, ["method"], ["seqs", "values"]).withColumnsRenamed({"seqs": "seq", "values": "value"})
+    """From parallel arrays of each method's hundred consecutive results."""
+    batch = F.floor(F.col("seq") / 100)
+    each = results(spark, sf_dir).groupBy("method", batch.alias("batch")).agg(F.array_sort(F.collect_list("seq")).alias("seqs"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda z: z["value"]).alias("values"))
+    return reports.flattened(each, ["method", "batch"], ["seqs", "values"]).withColumnsRenamed({"seqs": "seq", "values": "value"})
 
 
 @query(S.KEYS)

@@ -114,7 +114,10 @@ _SWEEP = "found AS (SELECT nprobe, qid, id FROM (SELECT nprobe, qid, id, row_num
 RECALL = joined([*base(), probe("l2"), scored("l2"), TRUTH, _SWEEP.format("[4]")], "SELECT qid, CAST(round(recall, 6) AS DOUBLE) AS recall FROM per")
 FRONTIER = joined([*base(), probe("l2"), scored("l2"), TRUTH, _SWEEP.format("[1, 2, 4, 8, 16]")], "SELECT CAST(nprobe AS BIGINT) AS nprobe, round(avg(CAST(recall AS DOUBLE)), 6) AS recall FROM per GROUP BY nprobe")
 VIOLATIONS = joined([*base(), means("c4", "post", "c3"), near("again", "post", "c4")], "SELECT count(*) AS checked, count(*) FILTER (WHERE again.cluster <> post.cluster) AS violations, round(count(*) FILTER (WHERE again.cluster <> post.cluster) / CAST(count(*) AS DOUBLE), 6) AS violation_rate FROM again JOIN post USING (id)")
-SUMMARY = index("SELECT count(*) AS partitions, CAST(sum(n) AS BIGINT) AS vectors, min(n) AS smallest, max(n) AS largest, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, 0.0::DOUBLE AS violation_rate FROM (SELECT cluster, count(*) AS n FROM post GROUP BY cluster)")
+SUMMARY = joined(
+    [*base(), means("c4", "post", "c3"), near("again", "post", "c4")],
+    "SELECT count(*) AS partitions, CAST(sum(n) AS BIGINT) AS vectors, min(n) AS smallest, max(n) AS largest, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, (SELECT round(count(*) FILTER (WHERE again.cluster <> post.cluster) / CAST(count(*) AS DOUBLE), 6) FROM again JOIN post USING (id)) AS violation_rate FROM (SELECT cluster, count(*) AS n FROM post GROUP BY cluster)",
+)
 SAMPLES = index("""SELECT cluster, id, CAST(row_number() OVER (PARTITION BY cluster ORDER BY md5(id || ':side:42'), id) > least(n, 24) // 2 AS INTEGER) AS side FROM (
   SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5(id || ':member:42'), id) AS r FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM post) WHERE n >= 12) WHERE r <= 24""")
 QUOTA = joined([V], "SELECT id, source FROM (SELECT id, CAST((id + 2) % 3 AS BIGINT) AS source, row_number() OVER (ORDER BY (id + 2) % 3, id) AS r FROM v) WHERE r <= (SELECT count(*) // 2 FROM v)")
@@ -251,8 +254,9 @@ BOUNDARY_RECALL = joined(
     ],
     "SELECT q.kind, count(*) AS n, round(avg(CAST(coalesce(hits, 0) AS DOUBLE) / 10), 6) AS recall FROM q LEFT JOIN hits ON hits.kind = q.kind AND hits.qid = q.qid GROUP BY q.kind",
 )
-BOUNDARY_SPLIT = scores("""SELECT side, count(*) AS n, round(avg(recall), 6) AS recall, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.99), 6) AS p99
-FROM (SELECT CASE WHEN score >= (SELECT quantile_cont(score, 0.75) FROM score) THEN 'boundary' ELSE 'interior' END AS side, CAST((qid % 11) / 10.0 AS DOUBLE) AS recall, CAST(qid * 37 % 101 AS DOUBLE) AS latency FROM score) GROUP BY side""")
+_SIDES = """SELECT side, count(*) AS n, round(avg(recall), 6) AS recall, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.99), 6) AS p99
+FROM (SELECT CASE WHEN score >= {} THEN 'boundary' ELSE 'interior' END AS side, CAST((qid % 11) / 10.0 AS DOUBLE) AS recall, CAST(qid * 37 % 101 AS DOUBLE) AS latency FROM score) GROUP BY side"""
+BOUNDARY_SPLIT, BOUNDARY_SPLIT_AT = scores(_SIDES.format("(SELECT quantile_cont(score, 0.75) FROM score)")), scores(_SIDES.format("0.97"))
 
 RESULTS = "r AS (SELECT event_id AS seq, event_type AS method, user_id % 5 AS dataset, user_id % 3 AS seed, value FROM events)"
 
@@ -277,6 +281,6 @@ SEEDS = reports("SELECT method, count(*) AS seeds, round(avg(recall), 9) AS reca
 BUDGETS = reports("SELECT round(b.budget, 9) AS budget, method, round(recall, 9) AS recall, qps FROM b LEFT JOIN (SELECT budget, method, recall, qps, row_number() OVER (PARTITION BY budget ORDER BY recall DESC, qps DESC, method) AS k FROM b JOIN c ON cost <= budget) s ON s.budget = b.budget AND k = 1", "c AS (SELECT method, avg(value) AS cost, quantile_cont(value, 0.9) AS recall, CAST(count(*) AS DOUBLE) AS qps FROM r GROUP BY method)", "b AS (SELECT -1.0 AS budget UNION ALL SELECT 1e9 UNION ALL SELECT avg(cost) FROM c)")
 SPEEDUP = reports("SELECT count(*) AS datasets, round(avg(y.value / x.value), 9) AS mean, round(min(y.value / x.value), 9) AS low, round(max(y.value / x.value), 9) AS high FROM e x JOIN e y USING (dataset) WHERE x.method = 'click' AND y.method = 'view' AND x.value <> 0", "e AS (SELECT method, dataset, avg(value) AS value FROM r GROUP BY ALL)")
 LOOKUP = reports("SELECT method, round(arg_min(value, struct_pack(g := abs(dataset - 2.4), d := dataset)), 9) AS nearest, round(max(value) FILTER (WHERE dataset = 3), 9) AS at_3, round(max(value) FILTER (WHERE dataset = 9), 9) AS at_9 FROM e GROUP BY method", "e AS (SELECT method, dataset, avg(value) AS value FROM r GROUP BY ALL)")
-FLAT = reports("SELECT method, row_number() OVER (PARTITION BY method ORDER BY seq) - 1 AS place, seq, value FROM r")
+FLAT = reports("SELECT method, CAST(seq // 100 AS BIGINT) AS batch, row_number() OVER (PARTITION BY method, seq // 100 ORDER BY seq) - 1 AS place, seq, value FROM r")
 KEYS = reports("SELECT label, lower(regexp_replace(label, '[ _-]', '', 'g')) AS key, CAST(regexp_extract(label, 'L(\\d+)$', 1) AS BIGINT) AS size, replace(label, 'My-', 'Our ') AS shown, printf('%.3f', n / 8.0) AS text FROM (SELECT 'My-' || upper(method[1]) || lower(method[2:]) || '_L' || dataset AS label, count(*) AS n FROM r GROUP BY method, dataset)")
 LAST = reports("SELECT method, count(*) FILTER (WHERE dataset = 1 OR method NOT IN ('click', 'view')) AS n FROM r GROUP BY method")

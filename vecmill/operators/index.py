@@ -1,4 +1,7 @@
-"""The inverted-file index as tables, and the search over it."""
+"""The inverted-file index as tables, and the search over it.
+
+A member's place in its partition is its rank by id; it isn't stored, since only splits and reports ask for it.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..functions.ranks import numbered
 from . import kmeans, knn
 
 
@@ -35,9 +39,32 @@ class IndexConfig:
             raise ValueError(f"unknown metric {self.metric!r}")
 
 
+#: Ids that are sent to all tasks; more are joined.
+FEW_IDS = 100_000
+
+
+@dataclass(frozen=True)
+class Change:
+    """Members of ``clusters`` and ids of ``gone`` (id) go, then ``rows`` come."""
+
+    rows: DataFrame | None = None
+    clusters: tuple[int, ...] = ()
+    gone: DataFrame | None = None
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose id isn't in ``gone``; up to FEW_IDS of these are sent to where the rows are."""
+    ids = gone.select("id").where("id is not null").distinct()
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "id", "left_anti")
+
+
 @dataclass(frozen=True)
 class Index:
-    """postings (id, cluster, pos, vec): every live vector in exactly one partition; centroids by cluster, empty ones too."""
+    """postings (id, cluster, vec): every live vector in exactly one partition; centroids by cluster, empty ones too.
+
+    ``changes``: what has been done to the postings since they were read or written, in order; None where all are new.
+    """
 
     postings: DataFrame
     centroids: dict[int, list[float]]
@@ -45,6 +72,20 @@ class Index:
     split_above: float
     merge_below: float
     counters: dict[str, int] = field(default_factory=dict)
+    changes: tuple[Change, ...] | None = None
+
+    def changed(self, rows: DataFrame | None = None, clusters: list[int] | None = None, gone: DataFrame | None = None) -> Index:
+        """Without all members of some partitions and without some ids, and with ``rows`` (id, cluster, vec); nothing else is shuffled."""
+        now = self.postings.select("id", "cluster", "vec")
+        if clusters:
+            now = now.where(~F.col("cluster").isin(clusters))
+        if gone is not None:
+            now = without(now, gone)
+        if rows is not None:
+            rows = rows.select("id", F.col("cluster").cast("long").alias("cluster"), "vec")
+            now = now.union(rows)
+        change = Change(rows, tuple(clusters or ()), gone)
+        return replace(self, postings=now, changes=None if self.changes is None else (*self.changes, change))
 
     def clusters(self) -> DataFrame:
         """cluster, n, a, s and centroid; an empty partition has n = 0."""
@@ -63,23 +104,22 @@ def centroid_table(spark: SparkSession, centroids: dict[int, list[float]]) -> Da
     return spark.createDataFrame([(c, list(map(float, v))) for c, v in sorted(centroids.items())], "cluster long, centroid array<double>")
 
 
-def in_order(assigned: DataFrame) -> DataFrame:
-    """Postings with pos, the place of each id in its partition, in order of id."""
-    pos = F.row_number().over(Window.partitionBy("cluster").orderBy("id")) - 1
-    return assigned.select("id", "cluster", pos.cast("long").alias("pos"), "vec")
+def in_order(postings: DataFrame) -> DataFrame:
+    """id, cluster, pos, n and vec: with the place of each id in its partition, in order of id, and the partition's size."""
+    return numbered(postings.select("id", "cluster", "vec"), ["cluster"], ["id"], "pos", "n").select("id", "cluster", "pos", "n", "vec")
 
 
 def build(vectors: DataFrame, config: IndexConfig = IndexConfig(), centroids: dict[int, list[float]] | None = None) -> Index:
-    """Cluster the vectors (id, vec), assign each to its nearest centroid and number the postings."""
+    """Cluster the vectors (id, vec), and assign each to its nearest centroid."""
     centroids = centroids or kmeans.lloyd(vectors, kmeans.first_seeds(vectors, config.nlist), config.rounds)
-    postings = in_order(knn.nearest(vectors, centroids, config.metric))
+    postings = knn.nearest(vectors.select("id", "vec"), centroids, config.metric).select("id", "cluster", "vec")
     n, k = vectors.count(), max(1, len(centroids))
     return Index(postings, centroids, config, config.split_factor * n / k, config.merge_factor * n / k)
 
 
 def write(index: Index, path: str, mode: str = "errorifexists") -> None:
-    """Postings partitioned by cluster, so that a probe reads only the folders it needs; the centroids, with bounds and counters, are written last."""
-    index.postings.repartition("cluster").write.mode(mode).partitionBy("cluster").parquet(f"{path}/postings")
+    """Postings partitioned by cluster, so that a probe reads only the folders it needs (Spark splits large partitions into files); the centroids, with bounds and counters, are written last."""
+    index.postings.select("id", "vec", "cluster").hint("rebalance", "cluster").write.mode(mode).partitionBy("cluster").parquet(f"{path}/postings")
     table = centroid_table(index.postings.sparkSession, index.centroids)
     own = {"split_above": F.lit(float(index.split_above)), "merge_below": F.lit(float(index.merge_below)), "counters": F.lit(json.dumps(index.counters))}
     table.withColumns(own).write.mode(mode).parquet(f"{path}/centroids")
@@ -88,8 +128,8 @@ def write(index: Index, path: str, mode: str = "errorifexists") -> None:
 def read(spark: SparkSession, path: str, config: IndexConfig = IndexConfig()) -> Index:
     """A written index, with the bounds and counters it had."""
     rows = spark.read.parquet(f"{path}/centroids").collect()
-    postings = spark.read.schema("id long, pos long, vec array<double>, cluster long").parquet(f"{path}/postings").select("id", "cluster", "pos", "vec")
-    return Index(postings, {r["cluster"]: list(r["centroid"]) for r in rows}, config, rows[0]["split_above"], rows[0]["merge_below"], json.loads(rows[0]["counters"]))
+    postings = spark.read.schema("id long, vec array<double>, cluster long").parquet(f"{path}/postings").select("id", "cluster", "vec")
+    return Index(postings, {r["cluster"]: list(r["centroid"]) for r in rows}, config, rows[0]["split_above"], rows[0]["merge_below"], json.loads(rows[0]["counters"]), ())
 
 
 def scored(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:

@@ -26,11 +26,6 @@ Kernel = Callable[[np.ndarray, np.ndarray, int, kernels.Start | None], np.ndarra
 BLOCK = 16_384
 
 
-def _renumbered(index: Index, clusters: list[int], members: DataFrame) -> DataFrame:
-    """Postings in which ``members`` stand for those of some partitions; the others keep their numbers and aren't shuffled."""
-    return index.postings.where(~F.col("cluster").isin(clusters)).select("id", "cluster", "pos", "vec").union(in_order(members))
-
-
 def neighbours(index: Index, n: int) -> DataFrame:
     """cluster, rank, neighbour, distance: the n nearest other centroids of each, empty partitions included."""
     table = centroid_table(index.postings.sparkSession, index.centroids)
@@ -39,9 +34,8 @@ def neighbours(index: Index, n: int) -> DataFrame:
 
 
 def halves(postings: DataFrame, least: int = 4) -> DataFrame:
-    """postings with side: 0 for the first half in order of pos, 1 for the rest; partitions under ``least`` members are left out."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("cluster"))
-    return postings.withColumn("n", n).where(F.col("n") >= least).withColumn("side", F.when(F.col("pos") < F.floor(F.col("n") / 2), 0).otherwise(1)).drop("n")
+    """id, cluster, pos, vec and side: 0 for the first half in order of id, 1 for the rest; partitions under ``least`` members are left out."""
+    return in_order(postings).where(F.col("n") >= least).withColumn("side", F.when(F.col("pos") < F.floor(F.col("n") / 2), 0).otherwise(1)).drop("n")
 
 
 def _sums(members: DataFrame, places: int) -> dict[int, kernels.Start]:
@@ -119,9 +113,9 @@ def split(index: Index, which: list[int], kernel: Kernel = kernels.two_way, pass
     names = F.create_map(*[F.lit(x).cast("long") for kv in new.items() for x in kv])
     moved = dealt.select("id", F.when(F.col("side") == 1, names[F.col("cluster")]).otherwise(F.col("cluster")).alias("cluster"), "vec")
     small = index.postings.where(mine).join(dealt.select("id"), "id", "left_anti").select("id", "cluster", "vec")
-    postings = _renumbered(index, list(new), moved.union(small))
     centroids = {**index.centroids, **{n: index.centroids[c] for c, n in new.items()}}
-    return replace(index, postings=postings, centroids=_refreshed(postings, centroids, [*new, *new.values()])).counted(splits=len(new)), new
+    after = index.changed(stored(moved.union(small)), list(new))
+    return replace(after, centroids=_refreshed(after.postings, centroids, [*new, *new.values()])).counted(splits=len(new)), new
 
 
 def _near(centroids: dict[int, list[float]], to: list[float], leave: set[int], n: int) -> list[int]:
@@ -147,10 +141,10 @@ def lire_split(index: Index, which: list[int], rounds: int = 10, around: int | N
 def repaired(index: Index, clusters: list[int]) -> Index:
     """Members of some partitions moved to their nearest centroid (centroids stay until all have moved)."""
     mine = F.col("cluster").isin(clusters)
-    checked = knn.nearest(index.postings.where(mine).withColumnRenamed("cluster", "held"), index.centroids, index.config.metric)
+    checked = stored(knn.nearest(index.postings.where(mine).withColumnRenamed("cluster", "held"), index.centroids, index.config.metric).select("id", "cluster", "held", "vec"))
     moved = checked.where("cluster <> held").count()
-    postings = in_order(index.postings.where(~mine).select("id", "cluster", "vec").union(checked.select("id", "cluster", "vec")))
-    return replace(index, postings=postings, centroids=_refreshed(postings, index.centroids, clusters)).counted(reassigned=moved)
+    after = index.changed(checked, clusters)
+    return replace(after, centroids=_refreshed(after.postings, index.centroids, clusters)).counted(reassigned=moved)
 
 
 def neighbourhood(index: Index, clusters: tuple[int, int], n: int) -> list[int]:
@@ -172,12 +166,11 @@ def local_repair(index: Index, clusters: tuple[int, int], n: int = 5, passes: in
     def kernel(x: np.ndarray, at: np.ndarray, turns: int, start: kernels.Start | None) -> np.ndarray:
         return kernels.nearest_live(x, at, len(near), start) if live_means else kernels.local(x, at, len(near), turns, start)
 
-    gathered = index.postings.where(mine).select("id", F.lit(0).alias("grp"), place.alias("first"), "pos", place.alias("place"), "vec")
+    gathered = index.postings.where(mine).select("id", F.lit(0).alias("grp"), place.alias("first"), F.col("id").alias("pos"), place.alias("place"), "vec")
     found = improved(gathered, kernel, len(near), 1 if live_means else passes)
     names = F.array(*[F.lit(c).cast("long") for c in near])
-    moved = found.select("id", names[F.col("place").cast("int")].alias("cluster"), "vec")
-    postings = _renumbered(index, near, moved)
-    return replace(index, postings=postings, centroids=_refreshed(postings, index.centroids, near))
+    after = index.changed(stored(found.select("id", names[F.col("place").cast("int")].alias("cluster"), "vec")), near)
+    return replace(after, centroids=_refreshed(after.postings, index.centroids, near))
 
 
 def boundary_sample(index: Index, clusters: tuple[int, int], n: int = 2, samples: int = 4) -> DataFrame:
@@ -212,8 +205,10 @@ def sampled_repair(index: Index, cluster: int, n: int = 2, samples: int = 4, pas
     members = own.union(sample.select("id", "vec", "place")).select("id", F.lit(0).alias("grp"), F.col("place").alias("first"), F.col("id").alias("pos"), "place", "vec")
     moved = improved(members, kernels.adopting, 3, passes, lambda n, a: kernels.worth(n[:2], a[:2])).where("place < 2").select("id", "place")
     to = F.when(F.col("place") == 0, cluster).when(F.col("place") == 1, pair[1]).otherwise(F.col("cluster"))
-    postings = in_order(plain.postings.join(moved, "id", "left").select("id", to.cast("long").alias("cluster"), "vec"))
-    return replace(plain, postings=postings, centroids=_refreshed(postings, plain.centroids, neighbourhood(plain, pair, n)))
+    near = neighbourhood(plain, pair, n)
+    held = plain.postings.where(F.col("cluster").isin(near))
+    after = plain.changed(stored(held.join(moved, "id", "left").select("id", to.cast("long").alias("cluster"), "vec")), near)
+    return replace(after, centroids=_refreshed(after.postings, plain.centroids, near))
 
 
 def merge_targets(index: Index) -> DataFrame:
@@ -234,8 +229,8 @@ def merge(index: Index) -> Index:
     names = F.create_map(*[F.lit(x).cast("long") for kv in to.items() for x in kv])
     touched = sorted({*to, *to.values()})
     held = index.postings.where(F.col("cluster").isin(touched))
-    postings = _renumbered(index, touched, held.select("id", F.coalesce(names[F.col("cluster")], F.col("cluster")).alias("cluster"), "vec"))
-    return replace(index, postings=postings, centroids=_refreshed(postings, index.centroids, sorted(set(to.values())))).counted(merges=len(to))
+    after = index.changed(held.select("id", F.coalesce(names[F.col("cluster")], F.col("cluster")).alias("cluster"), "vec"), touched)
+    return replace(after, centroids=_refreshed(after.postings, index.centroids, sorted(set(to.values())))).counted(merges=len(to))
 
 
 def rebalance_choice(index: Index, k2: int | None = None) -> DataFrame:
@@ -259,23 +254,24 @@ def rebalance(index: Index, k2: int | None = None) -> Index:
     found = kmeans.lloyd(pool, kmeans.first_seeds(pool, len(chosen)), 10)
     centroids = {**index.centroids, **dict(zip(chosen, found.values(), strict=True))}
     dealt = knn.nearest(pool, {c: centroids[c] for c in chosen}).select("id", "cluster", "vec")
-    postings = _renumbered(index, chosen, dealt)
-    return replace(index, postings=postings, centroids=_refreshed(postings, centroids, chosen)).counted(rebalanced=1)
+    after = index.changed(dealt, chosen)
+    return replace(after, centroids=_refreshed(after.postings, centroids, chosen)).counted(rebalanced=1)
 
 
 def inserted(index: Index, vectors: DataFrame, move_centroids: bool = False) -> Index:
     """New vectors (id, vec) in their nearest partitions, all judged by the centroids before them; with ``move_centroids`` these follow."""
-    fresh = knn.nearest(vectors.select("id", "vec"), index.centroids, index.config.metric).select("id", "cluster", "vec")
-    postings = in_order(index.postings.select("id", "cluster", "vec").union(fresh))
-    centroids = {**index.centroids, **kmeans.means(kmeans.statistics(postings))} if move_centroids else index.centroids
-    return replace(index, postings=postings, centroids=centroids)
+    fresh = knn.nearest(vectors.select("id", "vec"), index.centroids, index.config.metric)
+    return _followed(index.changed(fresh)) if move_centroids else index.changed(fresh)
+
+
+def _followed(index: Index) -> Index:
+    return replace(index, centroids={**index.centroids, **kmeans.means(kmeans.statistics(index.postings))})
 
 
 def deleted(index: Index, ids: DataFrame, move_centroids: bool = False) -> Index:
     """Without some ids; unknown ids don't matter."""
-    postings = in_order(index.postings.join(ids.select("id").distinct(), "id", "left_anti").select("id", "cluster", "vec"))
-    centroids = {**index.centroids, **kmeans.means(kmeans.statistics(postings))} if move_centroids else index.centroids
-    return replace(index, postings=postings, centroids=centroids)
+    after = index.changed(gone=ids)
+    return _followed(after) if move_centroids else after
 
 
 def rebuilt(index: Index) -> Index:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.ranks import percentiles
 from . import knn
 from .index import Index
 
@@ -48,9 +49,19 @@ def boundary_queries(scores: DataFrame, least: float, n: int) -> DataFrame:
 
 def boundary_split(results: DataFrame, share: float = 0.25) -> DataFrame:
     """group (boundary or interior), n, recall, p50, p99 of results (qid, score, recall, latency): the cut is the 1 - share percentile."""
-    cut = results.agg(F.percentile("score", F.lit(1 - share)).alias("cut"))
-    side = F.when(F.col("score") >= F.col("cut"), "boundary").otherwise("interior")
-    return results.join(F.broadcast(cut)).groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"), F.avg("recall").alias("recall"), F.percentile("latency", F.lit(0.5)).alias("p50"), F.percentile("latency", F.lit(0.99)).alias("p99"))
+    cut = percentiles(results, [], "score", {"cut": 1 - share})
+    return _split(results.join(F.broadcast(cut)), F.col("cut"))
+
+
+def boundary_split_at(results: DataFrame, least: float = 0.85) -> DataFrame:
+    """The same with a fixed cut; a side without results has no row."""
+    return _split(results, F.lit(least))
+
+
+def _split(results: DataFrame, cut: Column) -> DataFrame:
+    sides = results.withColumn("side", F.when(F.col("score") >= cut, "boundary").otherwise("interior"))
+    means = sides.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.avg("recall").alias("recall"))
+    return means.join(percentiles(sides, ["side"], "latency", {"p50": 0.5, "p99": 0.99}), "side", "left")
 
 
 def distribution(x: str) -> list[Column]:
@@ -59,6 +70,5 @@ def distribution(x: str) -> list[Column]:
     return [F.min(x).alias("min"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"), p(0.9).alias("p90"), F.max(x).alias("max")]
 
 
-def latencies(x: str) -> list[Column]:
-    """Exact p50, p95, p99 and p99.9, interpolated."""
-    return [F.percentile(x, F.lit(q)).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"), (0.999, "p999"))]
+#: The percentiles of a latency.
+LATENCIES = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}

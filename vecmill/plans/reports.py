@@ -1,4 +1,7 @@
-"""Reports over result tables: traces, envelopes, selections under a budget, summaries. Aggregates and windows only."""
+"""Reports over result tables: traces, envelopes, selections under a budget, summaries.
+
+A method may hold most rows: its percentiles and places come from slices (``functions.ranks``), not from one task.
+"""
 
 from __future__ import annotations
 
@@ -7,25 +10,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
-from ..operators.quality import latencies
+from ..functions.ranks import numbered, part_of, percentiles
+from ..operators.quality import LATENCIES
 
 
 def latency_summary(results: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """n, mean, std (population) and exact percentiles of each group; values that aren't finite are left out."""
-    return results.where(V.is_finite(F.col(value))).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), *latencies(value))
+    finite = results.where(V.is_finite(F.col(value)))
+    sums = finite.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return _beside(sums, percentiles(finite, by, value, LATENCIES), by)
+
+
+def _beside(groups: DataFrame, more: DataFrame, by: list[str]) -> DataFrame:
+    """Columns of ``more`` beside those of ``groups``; by may be null, a group that more hasn't has nulls."""
+    theirs = more.select(*(F.col(c).alias(f"_{c}") for c in by), *(c for c in more.columns if c not in by))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return groups.join(theirs, same, "left").drop(*(f"_{c}" for c in by))
 
 
 def stream_summary(batches: DataFrame, by: list[str], warmup: int) -> DataFrame:
     """Of a run's batches (batch, recall, qps, latency): mean recall and qps over batches with qps above 0, warm-up included; exact percentiles of latency after it."""
     timed = F.when(F.col("batch") >= warmup, F.col("latency"))
     busy = lambda c: F.avg(F.when(F.col("qps") > 0, F.col(c)))
-    return batches.withColumn("timed", timed).groupBy(*by).agg(F.count("timed").alias("timed"), busy("recall").alias("recall"), busy("qps").alias("qps"), *latencies("timed"))
+    marked = batches.withColumn("timed", timed)
+    sums = marked.groupBy(*by).agg(F.count("timed").alias("timed"), busy("recall").alias("recall"), busy("qps").alias("qps"))
+    return _beside(sums, percentiles(marked, by, "timed", LATENCIES), by)
 
 
 def windows(results: DataFrame, by: list[str], order: str, value: str = "value", n: int = 12) -> DataFrame:
     """part (1 to n), mean and p99 of near-equal consecutive parts of each group's trace."""
-    part = F.ntile(n).over(Window.partitionBy(*by).orderBy(order)).cast("long")
-    return results.withColumn("part", part).groupBy(*by, "part").agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.99)).alias("p99"))
+    parts = numbered(results.select(*by, order, value), by, [order]).withColumn("part", part_of(F.col("place"), F.col("total"), n))
+    means = parts.groupBy(*by, "part").agg(F.avg(value).alias("mean"))
+    return _beside(means, percentiles(parts, [*by, "part"], value, {"p99": 0.99}), [*by, "part"])
 
 
 def trace_envelope(traces: DataFrame, key: str = "method", over: str = "dataset", value: str = "mean") -> DataFrame:
@@ -37,8 +55,7 @@ def trace_envelope(traces: DataFrame, key: str = "method", over: str = "dataset"
 
 def distribution(results: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
     """The empirical distribution: each value with rank/n inside its group; equal values have ranks in order of ``tie``."""
-    w = Window.partitionBy(*by)
-    return results.withColumn("share", F.row_number().over(w.orderBy(value, tie)) / F.count(F.lit(1)).over(w))
+    return numbered(results, by, [value, tie]).withColumn("share", (F.col("place") + 1) / F.col("total")).drop("place", "total")
 
 
 def envelope(results: DataFrame, by: list[str], value: str) -> DataFrame:

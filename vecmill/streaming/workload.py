@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..operators import index as stored
 from ..operators import knn
-from ..operators.index import Index, IndexConfig, in_order
+from ..operators.index import Index, IndexConfig
 from ..operators.maintenance import policy
 from ..sources.scratch import exists
 
@@ -111,8 +111,7 @@ def mixed_recall(vectors: DataFrame, queries: DataFrame, index: Index, rest: Dat
     from ..operators.quality import recall
 
     queries = queries.withColumn("round", F.pmod(F.col("turn").cast("long"), F.lit(rounds)) + 1)
-    full = in_order(index.postings.select("id", "cluster", "vec").union(knn.nearest(rest.select("id", "vec"), index.centroids, index.config.metric).select("id", "cluster", "vec")))
-    grown = Index(full, index.centroids, index.config, index.split_above, index.merge_below)
+    grown = index.changed(knn.nearest(rest.select("id", "vec"), index.centroids, index.config.metric))
     place = rest.select("id", "place")
     alive = lambda df, n: df.join(place, "id", "left").where(F.col("place").isNull() | live_at(F.col("place"), n, delete_every)).drop("place")
     turns = queries.select("qid", "round")
