@@ -16,7 +16,7 @@ from . import catalogue_sql as S
 from .functions import text as T
 from .functions import vectors as V
 from .functions.scaling import standardised
-from .operators import kernels, kmeans, knn, maintenance, quality
+from .operators import kernels, kmeans, knn, maintenance, quality, serial
 from .operators.index import Index, IndexConfig, build, centroid_table, in_order, search, sweep
 from .operators.index import read as read_index
 from .operators.index import write as write_index
@@ -137,6 +137,19 @@ def spherical_centroids(spark, sf_dir):
     return coordinates(centroid_table(spark, kmeans.spherical(v, kmeans.first_seeds(v, 16), 3)), "cluster", column="centroid")
 
 
+@query(S.seeded(0))
+def seeded_centroids(spark, sf_dir):
+    """Start centroids by squared-distance sampling."""
+    return coordinates(centroid_table(spark, kmeans.seeds(vectors(spark, sf_dir), 16)), "cluster", column="centroid")
+
+
+@query(S.seeded(3))
+def seeded_spherical_centroids(spark, sf_dir):
+    """These after three rounds of spherical k-means."""
+    v = vectors(spark, sf_dir)
+    return coordinates(centroid_table(spark, kmeans.spherical(v, kmeans.seeds(v, 16), 3)), "cluster", column="centroid")
+
+
 @query()
 def mllib_centroids(spark, sf_dir):
     """k-means|| by MLlib, whose seeding SQL can't repeat."""
@@ -384,6 +397,13 @@ def frozen_insert(spark, sf_dir):
     return located(maintenance.inserted(index, rest))
 
 
+@query(S.ONE_BY_ONE)
+def one_by_one_insert(spark, sf_dir):
+    """The second half inserted one by one: each moves its partition's centroid before the next is judged."""
+    index, rest, _ = half_indexed(spark, sf_dir)
+    return located(serial.one_by_one(index, rest.withColumn("seq", F.col("id"))))
+
+
 @query(S.FROZEN)
 def frozen_stream(spark, sf_dir):
     """The same by Structured Streaming: vectors arrive as files, each is assigned once."""

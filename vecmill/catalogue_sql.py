@@ -85,6 +85,34 @@ def spherical() -> str:
     return joined([V, HALF, SOURCES["v"], *lloyd("ip", unit=True)], coordinates("SELECT cluster, unnest(centroid) AS x, generate_subscripts(centroid, 1) - 1 AS pos FROM c3", "round(x, 9) + 0.0"))
 
 
+def _exponential(id_: str, salt: str, rate: str) -> str:
+    return f"-ln((CAST(CAST('0x' || substr(md5({id_} || ':42:{salt}'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / ({rate})"
+
+
+def seeded(spherical_rounds: int, rounds: int = 3, over: int = 2) -> str:
+    """Candidates of each round, their weights, and K of them one after the other; then rounds of spherical k-means."""
+    ctes = [V, HALF, SOURCES["v"], f"k0 AS MATERIALIZED (SELECT id, vec FROM v ORDER BY {_exponential('id', '0', '1')} DESC, id LIMIT 1)"]
+    for i in range(rounds):
+        ctes += [
+            f"f{i} AS MATERIALIZED (SELECT v.id, any_value(v.vec) AS vec, min(list_distance(v.vec, k.vec) ** 2) AS d FROM v, k{i} k GROUP BY v.id)",
+            f"k{i + 1} AS MATERIALIZED (SELECT * FROM k{i} UNION ALL SELECT * FROM (SELECT id, vec FROM f{i} WHERE d > 0 ORDER BY {_exponential('id', str(i + 1), 'd')}, id LIMIT {over * K}))",
+        ]
+    ctes += [
+        f"own AS (SELECT v.id, min(struct_pack(d := list_distance(v.vec, k.vec) ** 2, c := k.id)) AS n FROM v, k{rounds} k GROUP BY v.id)",
+        f"w AS MATERIALIZED (SELECT k.id, k.vec, w.n FROM k{rounds} k JOIN (SELECT n.c AS id, count(*) AS n FROM own GROUP BY ALL) w USING (id))",
+        f"p0 AS MATERIALIZED (SELECT 0 AS step, id, vec FROM w ORDER BY {_exponential('id', 'seed0', 'n')}, id LIMIT 1)",
+    ]
+    for i in range(1, K):
+        ctes += [
+            f"g{i} AS MATERIALIZED (SELECT w.id, any_value(w.vec) AS vec, any_value(w.n) AS n, min(list_distance(w.vec, p.vec) ** 2) AS d FROM w, p{i - 1} p GROUP BY w.id)",
+            f"p{i} AS MATERIALIZED (SELECT * FROM p{i - 1} UNION ALL SELECT * FROM (SELECT {i} AS step, id, vec FROM g{i} WHERE d > 0 ORDER BY {_exponential('id', f'seed{i}', 'n * d')}, id LIMIT 1))",
+        ]
+    ctes.append(f"c0 AS (SELECT CAST(step AS BIGINT) AS cluster, vec AS centroid FROM p{K - 1})")
+    for i in range(spherical_rounds):
+        ctes += [near(f"a{i}", "src", f"c{i}", "ip"), means(f"c{i + 1}", f"a{i}", f"c{i}", unit=True)]
+    return joined(ctes, coordinates(f"SELECT cluster, unnest(centroid) AS x, generate_subscripts(centroid, 1) - 1 AS pos FROM c{spherical_rounds}", "round(x, 9) + 0.0"))
+
+
 def assign(metric: str) -> str:
     return index("SELECT id, cluster, round(d, 6) + 0.0 AS distance FROM post", metric=metric)
 
@@ -198,6 +226,24 @@ _INSERTED = [*base("first"), near("everyone", "v", "c3")]
 UPDATED = joined([*_INSERTED, means("after", "everyone", "c3")], coordinates("SELECT cluster, unnest(centroid) AS x, generate_subscripts(centroid, 1) - 1 AS pos FROM after"))
 FROZEN = joined(_INSERTED, "SELECT id, cluster FROM everyone")
 
+_MOVED = "list_transform(range(1, len(cents) + 1), lambda i: CASE WHEN i = c THEN {1} ELSE {0}[i] END)"
+_JOINED = "list_transform(list_zip(sums[c], whole), lambda z: z[1] + z[2])"
+ONE_BY_ONE = joined(
+    [
+        *base("first"),
+        STAT.replace("CAST(sum(CAST(floor(x * 1e9 + 0.5) AS BIGINT)) AS DOUBLE) / 1e9 AS x", "CAST(sum(CAST(floor(x * 1e9 + 0.5) AS BIGINT)) AS BIGINT) AS x").replace("list_inner_product(a, a) AS s", "0 AS s"),
+        "s AS MATERIALIZED (SELECT id, id - h AS place, vec, list_transform(vec, lambda x: CAST(floor(x * 1e9 + 0.5) AS BIGINT)) AS whole FROM v, half WHERE id >= h)",
+        "init AS (SELECT list(centroid ORDER BY cluster) AS cents, list(coalesce(n, 0) ORDER BY cluster) AS ns, list(coalesce(a, list_transform(centroid, lambda x: CAST(0 AS BIGINT))) ORDER BY cluster) AS sums FROM c3 LEFT JOIN stat USING (cluster))",
+        f"""r AS (
+  SELECT CAST(0 AS BIGINT) AS step, cents, ns, sums, CAST(0 AS BIGINT) AS took FROM init
+  UNION ALL
+  SELECT step + 1, {_MOVED.format("cents", "list_transform(" + _JOINED + ", lambda y: CAST(y AS DOUBLE) / 1e9 / (ns[c] + 1))")}, {_MOVED.format("ns", "ns[c] + 1")}, {_MOVED.format("sums", _JOINED)}, c - 1
+  FROM (SELECT *, CAST(list_position(ds, list_min(ds)) AS BIGINT) AS c FROM (SELECT r.*, s.vec, s.whole, list_transform(cents, lambda z: list_distance(z, s.vec)) AS ds FROM r JOIN s ON s.place = r.step)))""",
+    ],
+    "SELECT id, took AS cluster FROM r JOIN s ON s.place = r.step - 1 UNION ALL SELECT id, cluster FROM post",
+    recursive=True,
+)
+
 AFTER_DELETES = joined(
     [*base("first"), near("everyone", "v", "c3"), probe("l2"), "scored AS MATERIALIZED (SELECT qid, probe.rank AS probe, id, list_distance(qvec, vec) AS d FROM probe JOIN everyone USING (cluster), half WHERE id >= h // 4)", TRUTH, _SWEEP.format("[1, 4, 16]")],
     "SELECT CAST(nprobe AS BIGINT) AS nprobe, round(avg(CAST(recall AS DOUBLE)), 6) AS recall FROM per GROUP BY nprobe",

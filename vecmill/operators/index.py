@@ -21,7 +21,7 @@ from . import kmeans, knn
 class IndexConfig:
     """Parameters of an index and its upkeep; split and merge bounds are fixed when it is built.
 
-    A policy rebuilds each ``rebuild_every`` operations and rebalances each ``rebalance_every`` inserts, after the batch that reaches them.
+    ``seeding``: start from the first ids (``first``) or from vectors far from each other (``spread``). A policy rebuilds each ``rebuild_every`` operations and rebalances each ``rebalance_every`` inserts, after the batch that reaches them.
     """
 
     nlist: int = 16
@@ -33,10 +33,13 @@ class IndexConfig:
     rebalance_k: int = 10
     rebalance_every: int = 100
     neighbours: int = 5
+    seeding: str = "first"
 
     def __post_init__(self):
         if self.metric not in ("l2", "ip"):
             raise ValueError(f"unknown metric {self.metric!r}")
+        if self.seeding not in ("first", "spread"):
+            raise ValueError(f"unknown seeding {self.seeding!r}")
 
 
 #: Ids that are sent to all tasks; more are joined.
@@ -111,7 +114,8 @@ def in_order(postings: DataFrame) -> DataFrame:
 
 def build(vectors: DataFrame, config: IndexConfig = IndexConfig(), centroids: dict[int, list[float]] | None = None) -> Index:
     """Cluster the vectors (id, vec), and assign each to its nearest centroid."""
-    centroids = centroids or kmeans.lloyd(vectors, kmeans.first_seeds(vectors, config.nlist), config.rounds)
+    start = kmeans.seeds if config.seeding == "spread" else kmeans.first_seeds
+    centroids = centroids or kmeans.lloyd(vectors, start(vectors, config.nlist), config.rounds)
     postings = knn.nearest(vectors.select("id", "vec"), centroids, config.metric).select("id", "cluster", "vec")
     n, k = vectors.count(), max(1, len(centroids))
     return Index(postings, centroids, config, config.split_factor * n / k, config.merge_factor * n / k)

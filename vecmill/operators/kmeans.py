@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
-from ..functions.arrow import matrix
+from ..functions.arrow import matrix, paired
+from ..sources.scratch import stored
 from .knn import nearest
 
 #: Coordinates are summed as integers of this unit, so that sums are the same in any order; what is smaller counts as 0.
@@ -20,11 +22,8 @@ UNIT = 1e9
 BASE, LARGEST = 2.0**30, 2.0**49
 
 
-def statistics(assigned: DataFrame) -> DataFrame:
-    """cluster, n, a (vector sum) and s (its squared norm) of rows (cluster, vec); partial sums leave each task as a row a cluster.
-
-    Rows whose vector is null don't count; coordinates of 2**49 or more, or that aren't finite, are refused.
-    """
+def _parts(assigned: DataFrame) -> DataFrame:
+    """cluster, n, high and low of rows (cluster, vec): a task's sums as whole numbers of UNIT in two parts, a row for each cluster."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,15 +42,38 @@ def statistics(assigned: DataFrame) -> DataFrame:
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at)), pa.array(list(sums[0]), longs), pa.array(list(sums[1]), longs)], ["cluster", "n", "high", "low"])
 
-    parts = assigned.where("vec is not null").select("cluster", "vec").mapInArrow(partial, "cluster long, n long, high array<long>, low array<long>")
-    counts = parts.groupBy("cluster").agg(F.sum("n").alias("n"))
+    return assigned.where("vec is not null").select("cluster", "vec").mapInArrow(partial, "cluster long, n long, high array<long>, low array<long>")
+
+
+def _totals(parts: DataFrame) -> DataFrame:
+    """cluster, pos, x: the whole-number sum of each coordinate."""
     whole = lambda c: F.sum(F.col(f"x.{c}").cast("decimal(20,0)"))
     total = whole("high") * F.lit(int(BASE)).cast("decimal(10,0)") + whole("low")
-    sums = parts.select("cluster", F.posexplode(F.arrays_zip("high", "low")).alias("pos", "x")).groupBy("cluster", "pos").agg((total.cast("double") / UNIT).alias("x"))
+    return parts.select("cluster", F.posexplode(F.arrays_zip("high", "low")).alias("pos", "x")).groupBy("cluster", "pos").agg(total.alias("x"))
+
+
+def statistics(assigned: DataFrame) -> DataFrame:
+    """cluster, n, a (vector sum) and s (its squared norm) of rows (cluster, vec); partial sums leave each task as a row a cluster.
+
+    Rows whose vector is null don't count; coordinates of 2**49 or more, or that aren't finite, are refused.
+    """
+    parts = _parts(assigned)
+    counts = parts.groupBy("cluster").agg(F.sum("n").alias("n"))
+    sums = _totals(parts).withColumn("x", F.col("x").cast("double") / UNIT)
     a = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])
     return counts.join(sums.groupBy("cluster").agg(a.alias("a")), "cluster").withColumn("s", V.squared_norm(F.col("a")))
 
 
+def whole_sums(assigned: DataFrame) -> dict[int, tuple[int, list[int]]]:
+    """Members and whole-number sums of the clusters that have members: as many rows as the index has partitions."""
+    parts = stored(_parts(assigned))
+    n = {r["cluster"]: r["n"] for r in parts.groupBy("cluster").agg(F.sum("n").alias("n")).collect()}
+    sums: dict[int, dict[int, int]] = {c: {} for c in n}
+    for r in _totals(parts).collect():
+        sums[r["cluster"]][r["pos"]] = int(r["x"])
+    return {c: (n[c], [v for _, v in sorted(sums[c].items())]) for c in n}
+
+
 def means(stats: DataFrame) -> dict[int, list[float]]:
     """Centroids of the clusters that have members: as many rows as the index has partitions."""
     return {r["cluster"]: [x / r["n"] for x in r["a"]] for r in stats.where("n > 0").collect()}
@@ -62,6 +84,54 @@ def first_seeds(vectors: DataFrame, k: int) -> dict[int, list[float]]:
     return {i: list(r["vec"]) for i, r in enumerate(vectors.select("id", "vec").where("vec is not null").orderBy("id").limit(k).collect())}
 
 
+def _uniform(key: Column, salt: str) -> Column:
+    """In (0, 1), from the first 13 hex digits of a hash: the same for a key wherever it is taken."""
+    digits = F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(salt))), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / 2.0**52
+
+
+def _uniforms(keys: list[int], salt: str) -> np.ndarray:
+    return np.array([(int(hashlib.md5(f"{k}:{salt}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52 for k in keys])
+
+
+def candidates(vectors: DataFrame, k: int, rounds: int = 3, over: float = 2.0, seed: int = 42) -> dict[int, list[float]]:
+    """Vectors far from each other, by id: one, and in each round ``over`` x k more, each drawn by its squared distance to those before.
+
+    A draw takes the smallest of exponential variables whose rate is the squared distance, made from a hash of the id: the
+    same vectors at any partitioning. A round scans the table once; 1 + rounds x over x k vectors come to the driver. Fewer
+    come where fewer are different. Null vectors and null ids don't take part.
+    """
+    v = vectors.where("vec is not null and id is not null").select("id", "vec")
+    taken = {r["id"]: list(r["vec"]) for r in v.orderBy(_uniform(F.col("id"), f"{seed}:0"), "id").limit(1).collect()}
+    for i in range(rounds if taken else 0):
+        far = nearest(v, taken).where("distance > 0")
+        key = -F.log(_uniform(F.col("id"), f"{seed}:{i + 1}")) / F.col("distance")
+        taken |= {r["id"]: list(r["vec"]) for r in far.orderBy(key, "id").limit(round(over * k)).select("id", "vec").collect()}
+    return taken
+
+
+def seeds(vectors: DataFrame, k: int, rounds: int = 3, over: float = 2.0, seed: int = 42) -> dict[int, list[float]]:
+    """k start centroids by squared-distance sampling: ``candidates``, weighed by how many vectors are nearest to each, and of these k by the same draw.
+
+    What is drawn from the candidates is drawn on the driver, one after the other; fewer than k different vectors make fewer.
+    """
+    found = candidates(vectors, k, rounds, over, seed)
+    weight = {r["cluster"]: r["n"] for r in nearest(vectors.where("id is not null").select("id", "vec"), found).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()} if found else {}
+    ids = sorted(weight)
+    x = np.array([found[i] for i in ids])
+    least, out = np.ones(len(ids)), []
+    for step in range(min(k, len(ids))):
+        rate = np.array([weight[i] for i in ids]) * least
+        if not (rate > 0).any():
+            break
+        with np.errstate(divide="ignore"):
+            best = int(np.argmin(-np.log(_uniforms(ids, f"{seed}:seed{step}")) / rate))
+        d = paired(x, np.broadcast_to(x[best], x.shape), "l2")
+        least = d if step == 0 else np.minimum(least, d)
+        out.append(x[best].tolist())
+    return dict(enumerate(out))
+
+
 def lloyd(vectors: DataFrame, seeds: dict[int, list[float]], rounds: int) -> dict[int, list[float]]:
     """Centroids after so many rounds of assignment by L2 and averaging; a cluster without members stays."""
     now = dict(seeds)
