@@ -96,7 +96,7 @@ def test_splits_happen_at_the_insert_that_causes_them(spark, monkeypatch):
     index, rest, n = catalogue.half_indexed(spark, SMALL)
     above = max(r["n"] for r in index.sizes().collect())
     index = Index(index.postings, index.centroids, index.config, above, 0)
-    stream = rest.where("place < 60").withColumn("seq", F.col("id"))
+    stream = rest.where("place < 24").withColumn("seq", F.col("id"))
     after = serial.one_by_one(index, stream, serial.split_at_once)
     rows = stream.orderBy("id").collect()
     x, ids = np.array([r["vec"] for r in rows]), [r["id"] for r in rows]

@@ -16,7 +16,7 @@ from . import catalogue_sql as S
 from .functions import text as T
 from .functions import vectors as V
 from .functions.scaling import standardised
-from .operators import kernels, kmeans, knn, maintenance, quality, serial
+from .operators import kernels, kmeans, knn, layers, maintenance, quality, serial
 from .operators.index import Index, IndexConfig, build, centroid_table, in_order, search, sweep
 from .operators.index import read as read_index
 from .operators.index import write as write_index
@@ -416,6 +416,20 @@ def frozen_stream(spark, sf_dir):
     return located(index).union(spark.read.schema("id long, cluster long").parquet(f"{path}/out"))
 
 
+@query(S.policy(moved=False))
+def layered_stream(spark, sf_dir):
+    """The FIFO log of the second half by Structured Streaming, in batches of a tenth: each version of the index adds a layer."""
+    first, rest, n = workload.offsets(vectors(spark, sf_dir))
+    path, batch = scratch_path(spark), -(-n // 10)
+    log = workload.fifo_log(rest, 10, batch).join(rest.select("id", "vec"), "id")
+    for i in range(10):  # a stream of files takes them in the order in which they were written
+        part = log.where(F.col("batch") == i)
+        part.select("seq", F.col("batch").cast("int").alias("batch"), "op", "id", F.when(F.col("op") == "insert", F.col("vec")).alias("vec")).coalesce(1).write.mode("append").parquet(f"{path}/log")
+    ops = spark.readStream.schema(workload.OPS).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
+    workload.follow(ops, build(first, IndexConfig()), f"{path}/index", f"{path}/state").awaitTermination()
+    return located(workload.latest(spark, f"{path}/index", IndexConfig()))
+
+
 def _after(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         index, rest, n = half_indexed(spark, sf_dir, IndexConfig(rebuild_every=100))

@@ -44,6 +44,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(files.exists(at))
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none where it isn't there."""
+    at, files = _hadoop(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(at)) if files.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, files = _hadoop(spark, path)
+    files.delete(at, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared scratch folder and read again: lineage ends here."""
     path = f"{scratch_path(df.sparkSession)}/table"

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.window import Window
 
-from ..operators import index as stored
-from ..operators import knn
+from ..operators import knn, layers
 from ..operators.index import Index, IndexConfig
 from ..operators.maintenance import policy
-from ..sources.scratch import exists
 
 OPS = "seq long, batch int, op string, id long, vec array<double>"
 
@@ -68,31 +68,41 @@ def mixed_log(n_inserts: int, n_base: int, mix: tuple[float, float, float], tota
 
 def apply_batch(index: Index, ops: DataFrame, name: str = "frozen") -> Index:
     """The index after a batch of OPS: an id's last operation counts; ``name`` is the policy that follows."""
-    last = ops.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))).where("r = 1")
+    last = ops.groupBy("id").agg(F.max_by(F.struct("op", "vec"), "seq").alias("last")).select("id", "last.*")
     return policy(name)(index, last.where("op = 'insert'"), last.where("op = 'delete'"))
 
 
 def version(spark: SparkSession, path: str, number: int, config: IndexConfig) -> Index | None:
     """The index that ``follow`` left after a batch; None where it isn't wholly written."""
-    at = f"{path}/v{number}"
-    return stored.read(spark, at, config) if exists(spark, f"{at}/centroids/_SUCCESS") else None
+    found = layers.load(spark, path, number, config)
+    return found and found[0]
+
+
+def latest(spark: SparkSession, path: str, config: IndexConfig) -> Index | None:
+    """The index after the last batch that is wholly written."""
+    for number in sorted(layers.versions(spark, path), reverse=True):
+        if (found := version(spark, path, number, config)) is not None:
+            return found
+    return None
 
 
 def follow(ops: DataFrame, index: Index, path: str, checkpoint: str, name: str = "frozen") -> StreamingQuery:
-    """Apply a stream of OPS batch by batch; the index after batch i is written to ``path``/v{i}.
+    """Apply a stream of OPS batch by batch; the index after batch i is version i of ``path`` (``operators.layers``).
 
-    A batch starts from the version before it, the first from ``index``. After a restart the query goes on from the version
-    that it left; a batch that comes again and whose version is whole changes nothing.
+    A batch starts from the version before it, the first from ``index``, and writes what it changes: its own vectors and ids,
+    and the partitions that the policy deals anew. After a restart the query goes on from the version that it left; a batch
+    that comes again and whose version is whole changes nothing.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if version(spark, path, number, index.config) is not None:
+        if layers.load(spark, path, number, index.config) is not None:
             return
-        before = version(spark, path, number - 1, index.config) if number else index
-        if before is None:
+        found = layers.load(spark, path, number - 1, index.config) if number else (replace(index, changes=None), None)
+        if found is None:
             raise RuntimeError(f"{path} holds no index of batch {number - 1}")
-        stored.write(apply_batch(before, batch, name), f"{path}/v{number}", "overwrite")
+        before, held = found
+        layers.save(apply_batch(before, batch, name), path, number, held)
 
     return ops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
