@@ -64,7 +64,7 @@ def test_full_probe_finds_everything_and_recall_rises(spark):
     assert at == sorted(at) and at[-1] == 1.0
 
 
-@pytest.mark.parametrize("name", ["Frozen", "LIRE", "SPFresh", "Mem-only", "update_centroids", "NovaIVF"])
+@pytest.mark.parametrize("name", ["Frozen", "LIRE", "SPFresh", "Mem-only", "update_centroids", "Local-CDKM"])
 def test_policies_keep_every_live_vector_once(spark, name):
     index, rest, _ = catalogue.half_indexed(spark, SMALL)
     index = Index(index.postings, index.centroids, index.config, 25, 8)

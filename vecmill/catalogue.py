@@ -273,7 +273,7 @@ def merge_target(spark, sf_dir):
     return maintenance.merge_targets(replace(index, merge_below=3 * index.merge_below))
 
 
-@query()
+@query(S.MERGED)
 def merge_relabel(spark, sf_dir):
     index = indexed(spark, sf_dir)
     return located(maintenance.merge(replace(index, merge_below=3 * index.merge_below)))
@@ -353,6 +353,14 @@ def local_cdkm(spark, sf_dir):
     return located(maintenance.local_repair(after, (big, new[big])))
 
 
+@query()
+def local_cdkm_all(spark, sf_dir):
+    """Every partition of over 1.2 times the mean split, and the splits' neighbourhoods repaired in rounds that share no partition."""
+    index = indexed(spark, sf_dir)
+    above = 1.2 * index.split_above / index.config.split_factor
+    return located(maintenance.local_split(index, sorted(r["cluster"] for r in index.sizes().where(F.col("n") > above).collect())))
+
+
 @query(S.MEM_ONLY)
 def mem_only_split(spark, sf_dir):
     """The largest partition in its two halves, then its neighbourhood's members to the nearest of all centroids."""
@@ -374,7 +382,7 @@ def dedrift_select(spark, sf_dir):
     return maintenance.rebalance_choice(indexed(spark, sf_dir))
 
 
-@query()
+@query(S.REBALANCED)
 def dedrift(spark, sf_dir):
     return located(maintenance.rebalance(indexed(spark, sf_dir)))
 
@@ -439,8 +447,9 @@ def _after(name: str) -> Query:
     return run
 
 
-for _name in ("lire", "dedrift", "scdkm", "memonly"):
+for _name in ("lire", "scdkm", "memonly", "localcdkm"):
     query()(_after(_name))
+query(S.REBALANCED_STREAM)(_after("dedrift"))
 query(S.policy(moved=False))(_after("frozen"))
 query(S.index("SELECT id, cluster FROM post", source="live"))(_after("rebuild"))
 

@@ -222,6 +222,39 @@ SAMPLE = joined(
 DEDRIFT = index("""SELECT cluster, n, CASE WHEN head <= k THEN 'largest' ELSE 'smallest' END AS part FROM (
   SELECT *, row_number() OVER (ORDER BY n DESC, cluster) AS head, count(*) OVER () AS m, CASE WHEN count(*) OVER () >= 5 THEN least(5, count(*) OVER () // 2) ELSE 0 END AS k FROM (SELECT cluster, count(*) AS n FROM post GROUP BY cluster)
 ) WHERE head <= k OR m + 1 - head <= k""")
+
+
+def rebalanced(post: str, rounds: int = 10) -> list[str]:
+    """dealt: id, cluster of the rows of ``post`` after a rebalancing of its largest and smallest partitions."""
+    out = [
+        f"""chosen AS MATERIALIZED (SELECT cluster, row_number() OVER (ORDER BY n DESC, cluster) - 1 AS i FROM (
+  SELECT *, row_number() OVER (ORDER BY n DESC, cluster) AS head, count(*) OVER () AS m, CASE WHEN count(*) OVER () >= 5 THEN least(5, count(*) OVER () // 2) ELSE 0 END AS k FROM (SELECT cluster, count(*) AS n FROM {post} GROUP BY cluster)
+) WHERE head <= k OR m + 1 - head <= k)""",
+        f"pool AS MATERIALIZED (SELECT id, vec FROM {post} JOIN chosen USING (cluster))",
+        "d0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cluster, vec AS centroid FROM (SELECT * FROM pool ORDER BY id LIMIT (SELECT count(*) FROM chosen)))",
+    ]
+    for i in range(rounds):
+        out += [near(f"e{i}", "pool", f"d{i}"), means(f"d{i + 1}", f"e{i}", f"d{i}")]
+    return [*out, near("anew", "pool", f"d{rounds}"), f"dealt AS (SELECT id, chosen.cluster FROM anew JOIN chosen ON chosen.i = anew.cluster UNION ALL SELECT id, cluster FROM {post} WHERE cluster NOT IN (SELECT cluster FROM chosen))"]
+
+
+REBALANCED = joined([*base(), *rebalanced("post")], "SELECT id, cluster FROM dealt")
+REBALANCED_STREAM = joined([*base("first"), near("everyone", "v", "c3"), "live AS MATERIALIZED (SELECT id, vec, cluster FROM everyone, half WHERE id < h OR id - h >= r // 10)", *rebalanced("live")], "SELECT id, cluster FROM dealt")
+MERGED = joined(
+    [
+        *base(),
+        STAT,
+        _SELF.format("c3"),
+        "small AS MATERIALIZED (SELECT cluster AS c, neighbour AS t, row_number() OVER (ORDER BY cluster) AS k FROM stat JOIN pairs USING (cluster) WHERE rank = 1 AND n < 0.75 * (SELECT count(*) FROM v) / (SELECT count(*) FROM c3))",
+        """m AS (
+  SELECT CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS froms, CAST([] AS BIGINT[]) AS tos
+  UNION ALL
+  SELECT step + 1, CASE WHEN list_contains(tos, c) THEN froms ELSE list_append(froms, c) END, CASE WHEN list_contains(tos, c) THEN tos ELSE list_append(tos, coalesce(tos[list_position(froms, t)], t)) END FROM m JOIN small ON k = step + 1)""",
+        "moves AS (SELECT unnest(froms) AS cluster, unnest(tos) AS target FROM (SELECT * FROM m ORDER BY step DESC LIMIT 1))",
+    ],
+    "SELECT id, coalesce(target, cluster) AS cluster FROM post LEFT JOIN moves USING (cluster)",
+    recursive=True,
+)
 _INSERTED = [*base("first"), near("everyone", "v", "c3")]
 UPDATED = joined([*_INSERTED, means("after", "everyone", "c3")], coordinates("SELECT cluster, unnest(centroid) AS x, generate_subscripts(centroid, 1) - 1 AS pos FROM after"))
 FROZEN = joined(_INSERTED, "SELECT id, cluster FROM everyone")

@@ -147,30 +147,70 @@ def repaired(index: Index, clusters: list[int]) -> Index:
     return replace(after, centroids=_refreshed(after.postings, index.centroids, clusters)).counted(reassigned=moved)
 
 
-def neighbourhood(index: Index, clusters: tuple[int, int], n: int) -> list[int]:
-    """The two partitions and the n non-empty ones nearest to the middle of their centroids."""
+def neighbourhoods(index: Index, pairs: list[tuple[int, int]], n: int) -> list[list[int]]:
+    """For each two partitions: they and the n non-empty ones nearest to the middle of their centroids."""
     live = {r["cluster"] for r in index.sizes().collect()}
-    a, b = (np.array(index.centroids[c]) for c in clusters)
-    return [*clusters, *_near({c: v for c, v in index.centroids.items() if c in live}, ((a + b) / 2).tolist(), set(clusters), n)]
+    out = []
+    for pair in pairs:
+        a, b = (np.array(index.centroids[c]) for c in pair)
+        out.append([*pair, *_near({c: v for c, v in index.centroids.items() if c in live}, ((a + b) / 2).tolist(), set(pair), n)])
+    return out
 
 
-def local_repair(index: Index, clusters: tuple[int, int], n: int = 5, passes: int = 5, live_means: bool = False) -> Index:
-    """Coordinate descent over a split's neighbourhood of n + 2 partitions, in blocks.
+def neighbourhood(index: Index, clusters: tuple[int, int], n: int) -> list[int]:
+    return neighbourhoods(index, [clusters], n)[0]
+
+
+def coloured(groups: list[list[int]]) -> list[list[list[int]]]:
+    """The groups in rounds in which no two share a member: each in the first round, in the order given, that it fits in."""
+    rounds: list[tuple[set[int], list[list[int]]]] = []
+    for group in groups:
+        for held, own in rounds:
+            if held.isdisjoint(group):
+                held.update(group)
+                own.append(group)
+                break
+        else:
+            rounds.append((set(group), [group]))
+    return [own for _, own in rounds]
+
+
+def local_repairs(index: Index, groups: list[list[int]], passes: int = 5, live_means: bool = False) -> Index:
+    """Coordinate descent over groups of partitions that share none, each by itself, all at once; in blocks.
 
     ``live_means``: one pass to the nearest mean instead.
     """
-    near = neighbourhood(index, clusters, n)
-    place = F.array_position(F.array(*map(F.lit, near)), F.col("cluster").cast("int")) - 1
-    mine = F.col("cluster").isin(near)
+    near = sorted({c for g in groups for c in g})
+    at = F.create_map(*[F.lit(x).cast("long") for i, g in enumerate(groups) for j, c in enumerate(g) for x in (c, i * len(near) + j)])[F.col("cluster")]
+    most = max(map(len, groups))
+    held = index.postings.where(F.col("cluster").isin(near)).withColumn("at", at)
+    gathered = held.select("id", F.floor(F.col("at") / len(near)).alias("grp"), (F.col("at") % len(near)).alias("first"), F.col("id").alias("pos"), (F.col("at") % len(near)).alias("place"), "vec")
+    after = None
+    for places in sorted({len(g) for g in groups}):  # a group has no more places than partitions
+
+        def kernel(x: np.ndarray, to: np.ndarray, turns: int, start: kernels.Start | None, places: int = places) -> np.ndarray:
+            return kernels.nearest_live(x, to, places, start) if live_means else kernels.local(x, to, places, turns, start)
+
+        own = [i for i, g in enumerate(groups) if len(g) == places]
+        found = improved(gathered.where(F.col("grp").isin(own)), kernel, places, 1 if live_means else passes)
+        after = found if after is None else after.union(found)
+    names = F.array(*(F.array(*(F.lit(c).cast("long") for c in [*g, *[-1] * (most - len(g))])) for g in groups))
+    moved = stored(after.select("id", names[F.col("grp").cast("int")][F.col("place").cast("int")].alias("cluster"), "vec"))
+    index = index.changed(moved, near)
+    return replace(index, centroids=_refreshed(index.postings, index.centroids, near))
 
-    def kernel(x: np.ndarray, at: np.ndarray, turns: int, start: kernels.Start | None) -> np.ndarray:
-        return kernels.nearest_live(x, at, len(near), start) if live_means else kernels.local(x, at, len(near), turns, start)
 
-    gathered = index.postings.where(mine).select("id", F.lit(0).alias("grp"), place.alias("first"), F.col("id").alias("pos"), place.alias("place"), "vec")
-    found = improved(gathered, kernel, len(near), 1 if live_means else passes)
-    names = F.array(*[F.lit(c).cast("long") for c in near])
-    after = index.changed(stored(found.select("id", names[F.col("place").cast("int")].alias("cluster"), "vec")), near)
-    return replace(after, centroids=_refreshed(after.postings, index.centroids, near))
+def local_repair(index: Index, clusters: tuple[int, int], n: int = 5, passes: int = 5, live_means: bool = False) -> Index:
+    """``local_repairs`` of a split's neighbourhood of n + 2 partitions."""
+    return local_repairs(index, [neighbourhood(index, clusters, n)], passes, live_means)
+
+
+def local_split(index: Index, which: list[int], n: int = 5, passes: int = 5) -> Index:
+    """Split partitions, then repair the neighbourhood of each split, in rounds of those that share no partition."""
+    index, new = split(index, which, passes=passes)
+    for groups in coloured(neighbourhoods(index, sorted(new.items()), n)):
+        index = local_repairs(index, groups, passes)
+    return index
 
 
 def boundary_sample(index: Index, clusters: tuple[int, int], n: int = 2, samples: int = 4) -> DataFrame:
@@ -280,6 +320,45 @@ def rebuilt(index: Index) -> Index:
     return build(vectors, index.config) if vectors.count() >= 2 * index.config.nlist else index
 
 
+def splits_due(step: Callable[[Index, list[int]], Index]) -> Callable[[Index], Index]:
+    """``step`` over all partitions above the bound, again until there is none; one that a step leaves no smaller isn't asked again."""
+
+    def due(index: Index) -> Index:
+        held: set[int] = set()
+        while True:
+            before = {r["cluster"]: r["n"] for r in index.sizes().where(F.col("n") > index.split_above).collect()}
+            which = sorted(c for c, n in before.items() if c not in held and n >= 4)
+            if not which:
+                return index
+            index = step(index, which)
+            after = {r["cluster"]: r["n"] for r in index.sizes().where(F.col("cluster").isin(which)).collect()}
+            held |= {c for c in which if after.get(c, 0) >= before[c]}
+
+    return due
+
+
+def merges_due(index: Index) -> Index:
+    """Merges, again while they leave fewer partitions with members."""
+    filled = index.sizes().count()
+    while True:
+        index = merge(index)
+        now = index.sizes().count()
+        if now >= filled:
+            return index
+        filled = now
+
+
+def one_after_another(step: Callable[[Index, int], Index]) -> Callable[[Index, list[int]], Index]:
+    """A step of one partition, over several in order."""
+
+    def over(index: Index, which: list[int]) -> Index:
+        for c in which:
+            index = step(index, c)
+        return index
+
+    return over
+
+
 def every(step: Callable[[Index], Index], counter: str, period: str) -> Callable[[Index], Index]:
     """``step`` where a counter has reached the next multiple of a period of the configuration, once however many it has passed."""
 
@@ -294,17 +373,34 @@ def every(step: Callable[[Index], Index], counter: str, period: str) -> Callable
     return due
 
 
+def rebalances_due(index: Index) -> Index:
+    """Rebalancing after a batch that held deletes, or whose inserts reach the period."""
+    deletes = index.counters.get("deletes", 0)
+    if deletes <= index.counters.get("deletes_done", 0):
+        return every(rebalance, "inserts", "rebalance_every")(index)
+    after = rebalance(index)
+    reached = index.counters.get("inserts", 0) // index.config.rebalance_every
+    return replace(after, counters={**index.counters, **after.counters, "deletes_done": deletes, "inserts_done": reached})
+
+
+def _maintained(step: Callable[[Index, list[int]], Index]) -> Callable[[Index], Index]:
+    return lambda index: merges_due(splits_due(step)(index))
+
+
 #: What a policy does after a batch of updates.
 POLICIES: dict[str, Callable[[Index], Index]] = {
     "frozen": lambda index: index,
     "rebuild": every(rebuilt, "operations", "rebuild_every"),
     "updatecentroids": lambda index: index,
-    "lire": lambda index: merge(lire_split(index, oversize(index))),
-    "dedrift": every(rebalance, "inserts", "rebalance_every"),
-    "scdkm": lambda index: merge(split(index, oversize(index))[0]),
-    "memonly": lambda index: merge(mem_only_split(index, oversize(index))),
+    "lire": _maintained(lire_split),
+    "dedrift": rebalances_due,
+    "scdkm": _maintained(lambda index, which: split(index, which)[0]),
+    "memonly": _maintained(mem_only_split),
+    "localcdkm": _maintained(local_split),
+    "bscdkm": _maintained(one_after_another(boundary_split)),
+    "srcdkm": _maintained(one_after_another(sampled_repair)),
 }
-ALIASES = {"novaivf": "scdkm", "scdkmonly": "scdkm", "spfresh": "lire"}
+ALIASES = {"scdkmonly": "scdkm", "spfresh": "lire"}
 #: Policies whose centroids never follow updates.
 STILL = {"frozen", "rebuild"}
 #: Policies whose upkeep has a period, for which operations are counted.
@@ -322,8 +418,8 @@ def policy(name: str) -> Callable[[Index, DataFrame, DataFrame], Index]:
     def after(index: Index, new: DataFrame, gone: DataFrame) -> Index:
         then = deleted(inserted(index, new, moves), gone, moves)
         if key in PERIODIC:
-            inserts = new.count()
-            then = then.counted(inserts=inserts, operations=inserts + gone.count())
+            inserts, deletes = new.count(), gone.count()
+            then = then.counted(inserts=inserts, deletes=deletes, operations=inserts + deletes)
         return POLICIES[key](then)
 
     return after
