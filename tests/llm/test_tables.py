@@ -324,6 +324,22 @@ def test_shards_on_disk(docs, rows, spark, tmp_path):
     assert {r["shard"] for r in back.select("shard").distinct().collect()} == set(range(5)) and set(docs.columns) < set(back.columns)
 
 
+def test_dimensions_are_ordered_by_whole_values(spark, monkeypatch):
+    """Sources and languages of long common prefixes stand in cells of their own, also where values are numbered in slices."""
+    from vecmill.functions import ranks
+
+    stem = "https://a-long-common-prefix.example.org/" * 20
+    rows = [(i, "text " * (i % 7), f"{stem}{i % 16:02d}", f"{stem[:300]}\u00e9{i % 4}") for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for size in (200_000, 3):
+        monkeypatch.setattr(ranks, "SLICE_ROWS", size)
+        found = shards.assigned(docs).join(docs.select("doc_id", "source", "lang"), "doc_id")
+        cells = found.groupBy("source", "lang").agg(F.collect_set("curve").alias("at")).collect()
+        assert len(cells) == 16 and len({c for r in cells for c in r["at"]}) == sum(len(r["at"]) for r in cells)
+    uneven = shards._cuts(spark.createDataFrame([("b",)] * 500 + [("a",)] * 20 + [(f"c{i:03d}",) for i in range(500)], "s string"), F.col("s"))
+    assert uneven[0] == "b" and "a" not in uneven and len(uneven) == 8
+
+
 def test_files_are_skipped_on_each_dimension(spark, tmp_path):
     """Parquet's own statistics exclude most shards for a filter on language, source or size, unlike those of a plain order."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranks import numbered
 from .common import range_batches, stored
 
 BITS = 4
@@ -47,14 +48,22 @@ def hilbert(cell: Column, dims: int, bits: int) -> Column:
     return once(x, lambda a: once(gray(a), lambda y: once(tail(y), lambda t: place(F.transform(y, lambda v: v.bitwiseXOR(t))))))
 
 
-def _rank(value: Column) -> Column:
-    """A number in the order of strings: their first seven bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.coalesce(value.cast("string"), F.lit("")).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def _cuts(docs: DataFrame, value: Column) -> list[str]:
+    """Whole values at the quantiles of the rows in the order of their strings, 2**BITS - 1 at most.
+
+    Different values are counted first, and numbered in slices of their order, each standing for its rows.
+    """
+    counts = docs.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    places = numbered(counts, [], ["value"], weight=F.col("rows"))
+    n = 1 << BITS
+    at = lambda i: F.lit(i / n) * F.col("total")
+    cuts = [F.max(F.when((F.col("place") < at(i)) & (at(i) <= F.col("place") + F.col("rows")), F.col("value"))) for i in range(1, n)]
+    return sorted({c for c in places.agg(*cuts).first() if c is not None}, key=str.encode)
 
 
-def _cell(dimensions: list[tuple[Column, list[int]]]) -> Column:
-    """For each dimension how many of its bounds lie below its number, spread over the range of BITS bits."""
-    below = lambda x, bounds: F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b < x))
+def _cell(dimensions: list[tuple[Column, list]]) -> Column:
+    """For each dimension how many of its bounds lie below its value, spread over the range of BITS bits."""
+    below = lambda x, bounds: F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < x))
     step = lambda x, bounds: F.floor(below(x, bounds) * F.lit((1 << BITS) / (len(bounds) + 1))) if bounds else F.lit(0)
     return F.array(*(step(x, bounds).cast("long") for x, bounds in dimensions))
 
@@ -70,11 +79,11 @@ def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     column = lambda c: F.col(f"`{c}`") if c in docs.columns else F.lit(None).cast("string")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + 16
-    numbers = {"by_size": size, "by_source": _rank(column("source")), "by_lang": _rank(column("lang"))}
+    named = {n: F.coalesce(column(n).cast("string"), F.lit("")) for n in ("source", "lang")}
     cuts = [i / (1 << BITS) for i in range(1, 1 << BITS)]
-    rows, *found = docs.agg(F.count(F.lit(1)), *(F.percentile_approx(x, cuts, 10_000) for x in numbers.values())).first()
-    meta = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *(x.alias(n) for n, x in numbers.items()))
-    cell = _cell([(F.col(n), sorted(set(q or []))) for n, q in zip(numbers, found, strict=True)])
+    rows, sizes = docs.agg(F.count(F.lit(1)), F.percentile_approx(size, cuts, 10_000)).first()
+    meta = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *(x.alias(f"by_{n}") for n, x in named.items()))
+    cell = _cell([(F.col("size"), sorted(set(sizes or []))), *((F.col(f"by_{n}"), _cuts(docs, x)) for n, x in named.items())])
     meta = meta.select("doc_id", "size", "text_crc32", cell.alias("cell"))
     meta = stored(range_batches(meta, max(1, min(SLICES, rows // SLICE_ROWS))).withColumnRenamed("batch", "slice"))
 
