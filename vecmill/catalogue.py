@@ -17,7 +17,7 @@ from .functions import text as T
 from .functions import vectors as V
 from .functions.scaling import standardised
 from .operators import kernels, kmeans, knn, layers, maintenance, quality, serial
-from .operators.index import Index, IndexConfig, build, centroid_table, in_order, search, sweep
+from .operators.index import Index, IndexConfig, bounded, build, centroid_table, in_order, search, sweep
 from .operators.index import read as read_index
 from .operators.index import write as write_index
 from .plans import reports
@@ -95,6 +95,22 @@ def exact_knn_ip(spark, sf_dir):
     return knn.exact(asked(spark, sf_dir), vectors(spark, sf_dir), 10, "ip").select("qid", "rank", "id", r6("distance").alias("distance"))
 
 
+def _bounded(spark, sf_dir, metric):
+    found, _ = bounded(asked(spark, sf_dir), indexed(spark, sf_dir, metric), 10)
+    return found.select("qid", "rank", "id", r6("distance").alias("distance"))
+
+
+@query(S.exact("l2"))
+def bounded_knn_l2(spark, sf_dir):
+    """Exact neighbours from the partitions that the bounds of their balls don't exclude."""
+    return _bounded(spark, sf_dir, "l2")
+
+
+@query(S.exact("ip"))
+def bounded_knn_ip(spark, sf_dir):
+    return _bounded(spark, sf_dir, "ip")
+
+
 @query(S.exact("l2", live=True))
 def knn_live(spark, sf_dir):
     first, rest, n = workload.offsets(vectors(spark, sf_dir))

@@ -6,15 +6,20 @@ A member's place in its partition is its rank by id; it isn't stored, since only
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..functions.arrow import matrix
 from ..functions.ranks import numbered
-from . import kmeans, knn
+from ..sources.scratch import stored
+from . import kmeans, knn, probing
 
 
 @dataclass(frozen=True)
@@ -99,6 +104,10 @@ class Index:
     def sizes(self) -> DataFrame:
         return self.postings.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
+    def members(self) -> dict[int, int]:
+        """Members of each partition that has any."""
+        return {r["cluster"]: r["n"] for r in self.sizes().collect()}
+
     def counted(self, **more: int) -> Index:
         return replace(self, counters={**self.counters, **{k: self.counters.get(k, 0) + v for k, v in more.items()}})
 
@@ -136,21 +145,70 @@ def read(spark: SparkSession, path: str, config: IndexConfig = IndexConfig()) ->
     return Index(postings, {r["cluster"]: list(r["centroid"]) for r in rows}, config, rows[0]["split_above"], rows[0]["merge_below"], json.loads(rows[0]["counters"]), ())
 
 
-def scored(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:
-    """qid, probe (rank of the partition), id and distance of every member of the probed partitions."""
-    found = knn.probes(queries, index.centroids, nprobe, index.config.metric).select("qid", "qvec", F.col("rank").alias("probe"), "cluster")
-    d = -V.dot(F.col("qvec"), F.col("vec")) if index.config.metric == "ip" else V.squared_l2(F.col("qvec"), F.col("vec"))
-    return found.join(index.postings, "cluster").select("qid", "probe", "id", d.alias("distance"))
+def _found(queries: DataFrame, index: Index, k: int, nprobes: list[int]) -> DataFrame:
+    """qid, level, id, distance: k candidates a query of the partitions that come to the probes of each level, from the one before it on."""
+    probed = knn.probes(queries, index.centroids, max(nprobes), index.config.metric)
+    level = F.size(F.filter(F.array(*map(F.lit, sorted(nprobes))), lambda n: n < F.col("rank"))).cast("long")
+    return probing.among(probed.select("qid", "cluster", level.alias("level")), queries, index.postings, index.members(), k, index.config.metric)
 
 
 def search(queries: DataFrame, index: Index, k: int = 100, nprobe: int = 8) -> DataFrame:
     """qid, rank, id, distance: the k nearest among the members of the nprobe nearest partitions, best first, ties to the smaller id."""
-    return knn.ranked(scored(queries, index, nprobe).drop("probe"), k)
+    return knn.ranked(_found(queries, index, k, [nprobe]).drop("level"), k)
 
 
 def sweep(queries: DataFrame, index: Index, k: int, nprobes: list[int]) -> DataFrame:
     """nprobe, qid, rank, id, distance for each of several nprobes, from one scan of the most that any needs."""
-    all_ = scored(queries, index, max(nprobes))
-    each = all_.withColumn("nprobe", F.explode(F.array(*map(F.lit, nprobes)))).where("probe <= nprobe")
+    levels = sorted(set(nprobes))
+    found = _found(queries, index, k, levels)
+    each = found.withColumn("nprobe", F.explode(F.slice(F.array(*map(F.lit, levels)), F.col("level").cast("int") + 1, len(levels))))
     w = Window.partitionBy("nprobe", "qid").orderBy("distance", "id")
     return each.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("nprobe", "qid", "rank", "id", "distance")
+
+
+def radii(index: Index) -> dict[int, float]:
+    """The distance of each partition's farthest member from its centroid: a row for each partition, none for an empty one."""
+    table = F.create_map(*[x for c, v in index.centroids.items() for x in (F.lit(c).cast("long"), F.array(*map(F.lit, v)))])
+    far = F.sqrt(V.squared_l2(F.col("vec"), table[F.col("cluster")]))
+    return {r["cluster"]: r["far"] for r in index.postings.groupBy("cluster").agg(F.max(far).alias("far")).collect()}
+
+
+def bounded(queries: DataFrame, index: Index, k: int, nprobe: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Exact neighbours (qid, rank, id, distance) among all members, and the partitions asked for them (qid, cluster, level).
+
+    A member of a partition is no nearer than the centroid less the partition's radius (by inner product: no better than the
+    centroid's product plus the query's length times the radius). Level 0 asks the nprobe nearest partitions; level 1 those
+    whose bound doesn't exclude a neighbour better than the k-th found there, and all where fewer than k were found.
+    """
+    metric, reach, held = index.config.metric, radii(index), index.members()
+    names = np.array(sorted(reach), np.int64)
+    table = np.array([index.centroids[c] for c in names.tolist()], np.float64)
+    radius = np.array([reach[c] for c in names.tolist()])
+    queries = queries.where("vec is not null").select("qid", "vec")
+    if not len(names):
+        return knn.ranked(queries.sparkSession.createDataFrame([], knn.NEIGHBOURS), k), queries.sparkSession.createDataFrame([], "qid long, cluster long, level long")
+    first = knn.probes(queries, {c: index.centroids[c] for c in names.tolist()}, nprobe, metric).select("qid", "cluster", F.lit(0).cast("long").alias("level"))
+    near = stored(probing.among(first, queries, index.postings, held, k, metric))
+    kth = knn.ranked(near.drop("level"), k).groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("kth"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            q, last = matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+            last = np.where(np.isnan(last), np.inf, last)
+            length = np.sqrt((q * q).sum(1))[:, None]
+            slack = 1e-9 * (1 + length + np.sqrt((table * table).sum(1)) + radius)  # more than rounding takes
+            if metric == "ip":
+                least = -(q @ table.T) - length * (radius + slack) - slack
+                may = least <= last[:, None]
+            else:
+                apart = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (table * table).sum(1) - 2 * (q @ table.T), 0))
+                may = apart - radius - np.sqrt(slack) <= np.sqrt(np.maximum(last, 0))[:, None]
+            row, at = np.nonzero(may)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(names[at]), pa.array(np.ones(len(row), np.int64))], ["qid", "cluster", "level"])
+
+    due = queries.join(kth, "qid", "left").select("qid", "vec", "kth").mapInArrow(run, "qid long, cluster long, level long")
+    more = stored(due.join(first.select("qid", "cluster"), ["qid", "cluster"], "left_anti").select("qid", "cluster", "level"))
+    found = near.union(probing.among(more, queries, index.postings, held, k, metric))
+    return knn.ranked(found.drop("level"), k), first.union(more)

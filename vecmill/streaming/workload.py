@@ -117,7 +117,7 @@ def mixed_recall(vectors: DataFrame, queries: DataFrame, index: Index, rest: Dat
 
     ``queries`` (qid, vec, turn): each is asked once, in round ``turn`` mod ``rounds`` plus 1.
     """
-    from ..operators.index import scored
+    from ..operators.index import search
     from ..operators.quality import recall
 
     queries = queries.withColumn("round", F.pmod(F.col("turn").cast("long"), F.lit(rounds)) + 1)
@@ -125,10 +125,10 @@ def mixed_recall(vectors: DataFrame, queries: DataFrame, index: Index, rest: Dat
     place = rest.select("id", "place")
     alive = lambda df, n: df.join(place, "id", "left").where(F.col("place").isNull() | live_at(F.col("place"), n, delete_every)).drop("place")
     turns = queries.select("qid", "round")
-    seen = scored(queries, grown, nprobe).drop("probe").join(turns, "qid")
-    found = knn.ranked(alive(seen, F.floor(F.col("round") * inserts / rounds)).drop("round"), k)
-    truth = None
+    found = truth = None
     for r in range(1, rounds + 1):
-        one = knn.exact(queries.where(F.col("round") == r).select("qid", "vec"), alive(vectors.select("id", "vec"), inserts * r // rounds), k)
-        truth = one if truth is None else truth.union(one)
+        own, n = queries.where(F.col("round") == r).select("qid", "vec"), inserts * r // rounds
+        one = search(own, replace(grown, postings=alive(grown.postings, n)), k, nprobe)
+        two = knn.exact(own, alive(vectors.select("id", "vec"), n), k, index.config.metric)
+        found, truth = (one, two) if found is None else (found.union(one), truth.union(two))
     return recall(found, truth, k).join(turns, "qid").select("round", "qid", "recall")
