@@ -55,6 +55,16 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, by the store's own writer."""
+    at, files = _hadoop(spark, path)
+    out = files.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared scratch folder and read again: lineage ends here."""
     path = f"{scratch_path(df.sparkSession)}/table"

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.arrow import lists
+from ..functions.ranks import numbered
 from ..operators import knn
+from . import npy
+from .scratch import exists, write_text
 
 
 def from_table(table: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -46,17 +51,9 @@ def until(tables: list[DataFrame], quota: int) -> DataFrame:
 
 
 def _npy(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a matrix in a .npy file, read by Spark as one binary value (2 GB at most) and numbered in order."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column("content"):
-                m = np.load(io.BytesIO(raw.as_py()), allow_pickle=False)
-                for i in range(0, len(m), 10_000):
-                    part = m[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), lists(part)], ["id", "vec"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "id long, vec array<double>")
+    """Rows of the matrix in a .npy file or a folder of parts, numbered in order; tasks read ranges of rows (``sources.npy``)."""
+    spark.dataSource.register(npy.NpySource)
+    return spark.read.format("npy").load(path)
 
 
 def records(spark: SparkSession, path: str, width: int = 6) -> DataFrame:
@@ -92,10 +89,17 @@ def train_and_queries(vectors: DataFrame, n_train: int, n_queries: int) -> tuple
     return vectors.where(i < n_train), vectors.where((i >= n_train) & (i < n_train + n_queries)).select((i - n_train).alias("qid"), "vec")
 
 
-def write_dataset(train: DataFrame, queries: DataFrame, neighbours: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Three Parquet tables; what is there already stays unless ``overwrite``."""
+def write_dataset(train: DataFrame, queries: DataFrame, neighbours: DataFrame, path: str, overwrite: bool = False, **about: str) -> None:
+    """Three Parquet tables, and metadata.json with their sizes, the dimension and what ``about`` says; what is there already stays unless ``overwrite``."""
+    spark = train.sparkSession
     for name, table in (("train", train), ("queries", queries), ("truth", neighbours)):
         table.write.mode("overwrite" if overwrite else "ignore").parquet(f"{path}/{name}")
+    if overwrite or not exists(spark, f"{path}/metadata.json"):
+        written = {name: spark.read.parquet(f"{path}/{name}") for name in ("train", "queries", "truth")}
+        width = written["train"].select(F.max(F.size("vec"))).first()[0]
+        k = written["truth"].select(F.max("rank")).first()[0]
+        sizes = {"n_train": written["train"].count(), "n_queries": written["queries"].count(), "dimension": width or 0, "gt_k": k or 0}
+        write_text(spark, f"{path}/metadata.json", json.dumps({**about, **sizes, "created_utc": datetime.now(UTC).isoformat()}, indent=2))
 
 
 def write_report(table: DataFrame, path: str, form: str = "csv") -> None:
@@ -121,6 +125,35 @@ def normal(*keys) -> Column:
     return F.sqrt(-2 * F.log(_uniform(*keys, F.lit("r")))) * F.cos(2 * np.pi * _uniform(*keys, F.lit("a")))
 
 
+#: Clusters, spread, drift and seed of the generated datasets.
+PROFILES = {
+    "core50": {"clusters": 64, "std": 0.34, "drift": 0.28, "seed": 1501},
+    "ScanNetCLIP": {"clusters": 80, "std": 0.42, "drift": 0.36, "seed": 2602},
+    "Ego4D": {"clusters": 72, "std": 0.48, "drift": 0.45, "seed": 3703},
+}
+
+
+def profiled(spark: SparkSession, profile: str, n: int, dim: int = 64) -> DataFrame:
+    """``generated`` by a named profile."""
+    if profile not in PROFILES:
+        raise ValueError(f"unknown profile {profile!r}")
+    return generated(spark, n, dim, **PROFILES[profile])
+
+
+def sharded(spark: SparkSession, paths: list[str], quota: int, allow_less: bool = False, **names: str) -> DataFrame:
+    """id (from 0, in order of shard and of the rows' own ids in it) and vec of the first ``quota`` rows of Parquet shards; too few are an error unless ``allow_less``."""
+    out = None
+    for i, p in enumerate(paths):
+        table = spark.read.parquet(p)
+        key, column = names.get("key", "vec_id"), names.get("column", "embedding")
+        one = table.select(F.lit(i).alias("shard"), F.col(key).cast("long").alias("row"), V.doubles(F.col(column)).alias("vec"))
+        out = one if out is None else out.union(one)
+    rows = numbered(out, [], ["shard", "row"]).where(F.col("place") < quota).select(F.col("place").alias("id"), "vec")
+    if not allow_less and rows.count() < quota:
+        raise ValueError(f"the shards hold fewer than {quota} rows")
+    return rows
+
+
 def generated(spark: SparkSession, n: int, dim: int = 64, clusters: int = 64, std: float = 0.34, drift: float = 0.28, seed: int = 1501) -> DataFrame:
     """id, cluster, vec: unit vectors around random centres of uneven (log-normal) weight; later ones of every fourth cluster are displaced by ``drift``."""
     weight = np.exp(np.random.default_rng(seed).normal(size=clusters))
