@@ -16,13 +16,15 @@ from . import catalogue_sql as S
 from .functions import text as T
 from .functions import vectors as V
 from .functions.scaling import standardised
-from .operators import kernels, kmeans, knn, layers, maintenance, quality, serial
+from .operators import kernels, kmeans, knn, layers, maintenance, positions, quality, serial
 from .operators.index import Index, IndexConfig, bounded, build, centroid_table, in_order, search, sweep
 from .operators.index import read as read_index
 from .operators.index import write as write_index
 from .plans import reports
-from .sources.scratch import scratch_path
-from .sources.vectors import boundary_mixtures, from_table, generated, until
+from .sources import npy
+from .sources.scratch import scratch_path, stored
+from .sources.vectors import PROFILES, around_centroids, boundary_mixtures, from_table, profiled, train_and_queries, truth, until, write_dataset, write_report
+from .sources.vectors import read as read_vectors
 from .streaming import workload
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -440,18 +442,61 @@ def frozen_stream(spark, sf_dir):
     return located(index).union(spark.read.schema("id long, cluster long").parquet(f"{path}/out"))
 
 
-@query(S.policy(moved=False))
-def layered_stream(spark, sf_dir):
-    """The FIFO log of the second half by Structured Streaming, in batches of a tenth: each version of the index adds a layer."""
-    first, rest, n = workload.offsets(vectors(spark, sf_dir))
+def _followed(spark: SparkSession, sf_dir: str, measure: workload.Measure | None = None) -> str:
+    """The FIFO log of the second half, and every query in one of its batches, by Structured Streaming in batches of a tenth; where it is written."""
+    v = vectors(spark, sf_dir)
+    first, rest, n = workload.offsets(v)
     path, batch = scratch_path(spark), -(-n // 10)
-    log = workload.fifo_log(rest, 10, batch).join(rest.select("id", "vec"), "id")
+    log = workload.fifo_log(rest, 10, batch).join(rest.select("id", "vec"), "id").select("seq", "batch", "op", "id", F.when(F.col("op") == "insert", F.col("vec")).alias("vec"))
+    ask = v.where(F.col("id") % 50 == 0).select(F.col("id").alias("seq"), (F.floor(F.col("id") / 50) % 10).alias("batch"), F.lit("query").alias("op"), "id", "vec")
+    log = log.union(ask).withColumn("batch", F.col("batch").cast("int"))
     for i in range(10):  # a stream of files takes them in the order in which they were written
-        part = log.where(F.col("batch") == i)
-        part.select("seq", F.col("batch").cast("int").alias("batch"), "op", "id", F.when(F.col("op") == "insert", F.col("vec")).alias("vec")).coalesce(1).write.mode("append").parquet(f"{path}/log")
+        log.where(F.col("batch") == i).coalesce(1).write.mode("append").parquet(f"{path}/log")
     ops = spark.readStream.schema(workload.OPS).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
-    workload.follow(ops, build(first, IndexConfig()), f"{path}/index", f"{path}/state").awaitTermination()
-    return located(workload.latest(spark, f"{path}/index", IndexConfig()))
+    workload.follow(ops, build(first, IndexConfig()), f"{path}/index", f"{path}/state", measure=measure).awaitTermination()
+    return f"{path}/index"
+
+
+@query(S.policy(moved=False))
+def layered_stream(spark, sf_dir):
+    """Where a stream of inserts and deletes leaves the vectors: each version of the index adds a layer."""
+    return located(workload.latest(spark, _followed(spark, sf_dir), IndexConfig()))
+
+
+@query(S.OBSERVED)
+def observed_stream(spark, sf_dir):
+    """What is measured after each batch of the stream."""
+    found = workload.measures(spark, _followed(spark, sf_dir, workload.Measure(10, 8)))
+    return found.select("batch", "inserts", "deletes", "queries", "vectors", r6("recall").alias("recall"), r6("boundary").alias("boundary"))
+
+
+@query(S.NPY)
+def npy_round_trip(spark, sf_dir):
+    """Vectors written as .npy parts of 32-bit numbers, read in ranges."""
+    path = scratch_path(spark)
+    npy.write(vectors(spark, sf_dir), f"{path}/set", name="embeddings", distance="l2")
+    return coordinates(read_vectors(spark, f"{path}/set", "npy"), "id", digits=None)
+
+
+@query(S.DATASET)
+def dataset_round_trip(spark, sf_dir):
+    """Nine tenths of the vectors as training set, the rest as queries, with their neighbours: written and read again."""
+    v, path = vectors(spark, sf_dir), scratch_path(spark)
+    n = v.count()
+    train, queries = train_and_queries(v, n - n // 10, n // 10)
+    write_dataset(train, queries, truth(train, queries, None, 5), f"{path}/set", name="embeddings")
+    back = [spark.read.parquet(f"{path}/set/{t}") for t in ("train", "queries", "truth")]
+    return truth(back[0], back[1], back[2], 5)
+
+
+@query(S.LATENCIES)
+def written_reports(spark, sf_dir):
+    """The latency summary written as CSV and as JSON; numbers are read back from the one, counts from the other."""
+    path, table = scratch_path(spark), latency_percentiles(spark, sf_dir)
+    write_report(table, f"{path}/csv")
+    write_report(table, f"{path}/json", "json")
+    numbers = spark.read.option("header", True).schema(table.schema).csv(f"{path}/csv").drop("n")
+    return numbers.join(spark.read.schema(table.schema).json(f"{path}/json").select("method", "n"), "method")
 
 
 def _after(name: str) -> Query:
@@ -500,13 +545,30 @@ def mixed_op_log(spark, sf_dir):
 
 @query()
 def generated_vectors(spark, sf_dir):
-    return generated(spark, 1000, 16).select("id", "cluster", r6(V.squared_norm(F.col("vec"))).alias("norm"))
+    """As many vectors as the table has, by each profile."""
+    n, out = vectors(spark, sf_dir).count(), None
+    for name in PROFILES:
+        one = profiled(spark, name, n, 16).withColumn("profile", F.lit(name))
+        out = one if out is None else out.union(one)
+    return out.select("profile", "id", "cluster", r6(V.squared_norm(F.col("vec"))).alias("norm"))
 
 
 @query()
 def generated_boundary_queries(spark, sf_dir):
     index = indexed(spark, sf_dir)
-    return quality.boundary_queries(quality.boundary_scores(boundary_mixtures(spark, index.centroids, 500), index.centroids), 0.85, 50)
+    return quality.boundary_queries(quality.boundary_scores(boundary_mixtures(spark, index.centroids, vectors(spark, sf_dir).count()), index.centroids), 0.85, 50)
+
+
+@query()
+def boundary_vs_random(spark, sf_dir):
+    """Mean recall by nprobe of a tenth as many mixtures of two centroids as there are vectors, and of as many vectors around centroids."""
+    index, v = indexed(spark, sf_dir, "ip"), vectors(spark, sf_dir)
+    n, out = max(1, v.count() // 10), None
+    for kind, made in (("boundary", boundary_mixtures(spark, index.centroids, n)), ("random", around_centroids(spark, index.centroids, n))):
+        found = quality.recall(sweep(made, index, 10, [1, 2, 4, 8, 16]), knn.exact(made, v, 10, "ip"), 10, by=["nprobe"])
+        one = found.groupBy(F.lit(kind).alias("kind"), F.col("nprobe").cast("long").alias("nprobe")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("recall")).alias("recall"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 # ---------------------------------------------------------------- boundary
@@ -642,6 +704,41 @@ def nprobe_lookup(spark, sf_dir):
     return arrays.select("method", r9(T.nearest_value(k, v, 2.4)).alias("nearest"), r9(T.exact_value(k, v, 3)).alias("at_3"), r9(T.exact_value(k, v, 9)).alias("at_9"))
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dataset, method, metric, value: the events' types stand for methods, figures of their values for metrics."""
+    means = results(spark, sf_dir).groupBy("dataset", "method").agg(F.avg("value").alias("maintenance"), F.max("value").alias("p99"), F.count(F.lit(1)).cast("double").alias("reassigned"), F.min("value").alias("recall"))
+    as_named = {"click": "lire", "view": "scdkm", "signup": "frozen", "error": "lire_l0", "purchase": "lire_l5"}
+    shown = F.create_map(*[F.lit(x) for kv in as_named.items() for x in kv])
+    same = {"maintenance": ("maintenance", "qps", "violations"), "p99": ("p99", "delete_p99", "query_p99"), "reassigned": ("reassigned",), "recall": ("recall",)}
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(c).alias("value")) for c, ns in same.items() for n in ns))).alias("r")
+    return means.select("dataset", shown[F.col("method")].alias("method"), each).select("dataset", "method", "r.*")
+
+
+@query(S.CLAIMS)
+def claim_summary(spark, sf_dir):
+    """Four sections over the datasets (drift: those from 2 on); no event stands for rebuilding, so that its recall is null."""
+    return rounded(reports.claim_summary(_named(spark, sf_dir), {"drift": F.col("dataset") >= 2}), "value")
+
+
+@query(S.BASELINES)
+def baseline_rows(spark, sf_dir):
+    """Of three baselines one is missing everywhere."""
+    found = reports.baselines(_named(spark, sf_dir).where("not (dataset = 1 and method = 'lire_l0')"), {"lire_l0": "LIRE-0", "lire_l5": "LIRE-5", "rebuild": "Rebuild"}, ["reassigned", "maintenance"])
+    return rounded(found, "reassigned", "maintenance")
+
+
+@query(S.POSITIONS)
+def list_positions(spark, sf_dir):
+    """Places in the posting lists after the FIFO log, in two batches: deletes move the last member into the hole."""
+    index, rest, n = half_indexed(spark, sf_dir)
+    log = workload.fifo_log(rest, 10, -(-n // 2))
+    cluster = knn.nearest(rest.select("id", "vec"), index.centroids).select("id", "cluster")
+    ops, places = log.join(cluster, "id"), in_order(index.postings).select("id", "cluster", "pos")
+    for i in range(2):
+        places = stored(positions.updated(places, ops.where(F.col("batch") == i)))
+    return places
+
+
 @query(S.FLAT)
 def flattened_rows(spark, sf_dir):
     """From parallel arrays of each method's hundred consecutive results."""

@@ -290,19 +290,34 @@ def policy(moved: bool) -> str:
 LOG = joined([V, HALF, "rest AS (SELECT id, id - h AS place, r FROM v, half WHERE id >= h)"], """SELECT CAST(place + place // 10 AS BIGINT) AS seq, CAST(place // 50 AS BIGINT) AS batch, 'insert' AS op, id FROM rest
 UNION ALL SELECT CAST(due + 1 + place AS BIGINT), CAST(due // 50 AS BIGINT), 'delete', id FROM (SELECT *, (place + 1) * 10 - 1 AS due FROM rest) WHERE due < r""")
 LIVE = joined([V, HALF, SOURCES["live"]], "SELECT id FROM src")
-MIXED = joined(
-    [
+def _asked_by_turn(turn: str, turns: str) -> list[str]:
+    """ask, alive, found and truth of the queries in each round: ``turn`` names a query's round, ``turns`` gives rounds and the inserts before each ends."""
+    return [
         *_INSERTED,
-        "asked AS (SELECT id AS qid, vec, (id // 50) % 5 + 1 AS turn FROM v WHERE id % 50 = 0)",
-        "turns AS (SELECT r AS round, (SELECT r FROM half) * r // 5 AS n FROM (SELECT unnest(range(1, 6)) AS r))",
+        f"asked AS (SELECT id AS qid, vec, {turn} AS turn FROM v WHERE id % 50 = 0)",
+        f"turns AS ({turns})",
         "ask AS MATERIALIZED (SELECT round, n, qid, vec FROM asked, turns WHERE turn = round)",
         "alive AS MATERIALIZED (SELECT round, e.id, e.vec, e.cluster FROM everyone e, turns t, half WHERE e.id < h OR (e.id - h < t.n AND e.id - h >= t.n // 10))",
         "probe AS (SELECT round, qid, vec, cluster FROM (SELECT round, qid, a.vec, c3.cluster, row_number() OVER (PARTITION BY round, qid ORDER BY list_distance(a.vec, centroid), c3.cluster) AS k FROM ask a, c3) WHERE k <= 8)",
         "found AS (SELECT round, qid, id FROM (SELECT p.round, p.qid, e.id, row_number() OVER (PARTITION BY p.round, p.qid ORDER BY list_distance(p.vec, e.vec), e.id) AS k FROM probe p JOIN alive e ON e.round = p.round AND e.cluster = p.cluster) WHERE k <= 10)",
         "truth AS (SELECT round, qid, id FROM (SELECT a.round, a.qid, e.id, row_number() OVER (PARTITION BY a.round, a.qid ORDER BY list_distance(a.vec, e.vec), e.id) AS k FROM ask a JOIN alive e ON e.round = a.round) WHERE k <= 10)",
+        "each AS (SELECT CAST(ask.round AS BIGINT) AS round, ask.qid, CAST(coalesce(hits, 0) AS DOUBLE) / 10 AS recall FROM ask LEFT JOIN (SELECT round, qid, count(*) AS hits FROM found JOIN truth USING (round, qid, id) GROUP BY round, qid) g ON g.round = ask.round AND g.qid = ask.qid)",
+    ]
+
+
+MIXED = joined(_asked_by_turn("(id // 50) % 5 + 1", "SELECT r AS round, (SELECT r FROM half) * r // 5 AS n FROM (SELECT unnest(range(1, 6)) AS r)"), "SELECT round, qid, round(recall, 6) AS recall FROM each")
+_ANGLE = "acos(greatest(least({0}, 1 - 1e-8), -1 + 1e-8))"
+OBSERVED = joined(
+    [
+        *_asked_by_turn("(id // 50) % 10", "SELECT b AS round, least((SELECT r FROM half), (b + 1) * size) AS n, least((SELECT r FROM half), b * size) AS n0 FROM (SELECT unnest(range(10)) AS b), (SELECT (r + 9) // 10 AS size FROM half)"),
+        "sims AS (SELECT round, qid, list_inner_product(a.vec, centroid) AS sim, row_number() OVER (PARTITION BY round, qid ORDER BY -list_inner_product(a.vec, centroid), c3.cluster) AS k FROM ask a, c3)",
+        f"edge AS (SELECT x.round, avg({_ANGLE.format('x.sim')} / ({_ANGLE.format('y.sim')} + 1e-8)) AS boundary FROM sims x JOIN sims y ON x.round = y.round AND x.qid = y.qid AND x.k = 1 AND y.k = 2 GROUP BY x.round)",
+        "means AS (SELECT round, count(*) AS queries, avg(recall) AS recall FROM each GROUP BY round)",
     ],
-    "SELECT CAST(ask.round AS BIGINT) AS round, ask.qid, round(CAST(coalesce(hits, 0) AS DOUBLE) / 10, 6) AS recall FROM ask LEFT JOIN (SELECT round, qid, count(*) AS hits FROM found JOIN truth USING (round, qid, id) GROUP BY round, qid) g ON g.round = ask.round AND g.qid = ask.qid",
+    "SELECT CAST(t.round AS BIGINT) AS batch, CAST(n - n0 AS BIGINT) AS inserts, CAST(n // 10 - n0 // 10 AS BIGINT) AS deletes, coalesce(queries, 0) AS queries, CAST(h + n - n // 10 AS BIGINT) AS vectors, round(recall, 6) AS recall, round(boundary, 6) AS boundary FROM turns t CROSS JOIN half LEFT JOIN means m ON m.round = t.round LEFT JOIN edge e ON e.round = t.round",
 )
+NPY = joined([V], "SELECT id, CAST(generate_subscripts(vec, 1) - 1 AS BIGINT) AS pos, CAST(CAST(unnest(vec) AS FLOAT) AS DOUBLE) AS x FROM v")
+DATASET = joined([V, "size AS (SELECT count(*) AS n FROM v)"], "SELECT qid, rank, id FROM (SELECT q.id - (n - n // 10) AS qid, t.id, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.vec, t.vec), t.id) AS rank FROM v q, v t, size WHERE q.id >= n - n // 10 AND t.id < n - n // 10) WHERE rank <= 5")
 
 
 def scores(body: str) -> str:
@@ -363,3 +378,38 @@ LOOKUP = reports("SELECT method, round(arg_min(value, struct_pack(g := abs(datas
 FLAT = reports("SELECT method, CAST(seq // 100 AS BIGINT) AS batch, row_number() OVER (PARTITION BY method, seq // 100 ORDER BY seq) - 1 AS place, seq, value FROM r")
 KEYS = reports("SELECT label, lower(regexp_replace(label, '[ _-]', '', 'g')) AS key, CAST(regexp_extract(label, 'L(\\d+)$', 1) AS BIGINT) AS size, replace(label, 'My-', 'Our ') AS shown, printf('%.3f', n / 8.0) AS text FROM (SELECT 'My-' || upper(method[1]) || lower(method[2:]) || '_L' || dataset AS label, count(*) AS n FROM r GROUP BY method, dataset)")
 LAST = reports("SELECT method, count(*) FILTER (WHERE dataset = 1 OR method NOT IN ('click', 'view')) AS n FROM r GROUP BY method")
+
+
+def _claims() -> str:
+    from .plans.reports import CLAIMS as sections
+
+    parts = []
+    for name, (columns, ratios, measures) in sections.items():
+        picked = ", ".join(f"max(value) FILTER (WHERE method = '{m}' AND metric = '{k}') AS {c}" for c, (m, k) in columns.items())
+        also = "".join(f", CASE WHEN {b} <> 0 THEN {a} / {b} END AS {c}" for c, (a, b) in ratios.items())
+        rows = f"(SELECT *{also} FROM (SELECT dataset, {picked} FROM named {'WHERE dataset >= 2' if name == 'drift' else ''} GROUP BY dataset))"
+        parts += [f"SELECT '{name}' AS section, '{s}_{c}' AS name, round(CAST({'avg' if s == 'mean' else s}({c}) AS DOUBLE), 9) AS value FROM {rows}" for s, c in measures]
+    return " UNION ALL ".join(parts)
+
+
+_NAMED = [
+    "g AS (SELECT dataset, CASE method WHEN 'click' THEN 'lire' WHEN 'view' THEN 'scdkm' WHEN 'signup' THEN 'frozen' WHEN 'error' THEN 'lire_l0' ELSE 'lire_l5' END AS method, avg(value) AS mean, max(value) AS high, CAST(count(*) AS DOUBLE) AS n, min(value) AS low FROM r GROUP BY ALL)",
+    "named AS (SELECT dataset, method, unnest(['maintenance', 'qps', 'violations', 'p99', 'delete_p99', 'query_p99', 'reassigned', 'recall']) AS metric, unnest([mean, mean, mean, high, high, high, n, low]) AS value FROM g)",
+]
+CLAIMS = reports(_claims(), *_NAMED)
+BASELINES = reports("SELECT dataset, CASE method WHEN 'lire_l0' THEN 'LIRE-0' ELSE 'LIRE-5' END AS method, round(n, 9) AS reassigned, round(mean, 9) AS maintenance FROM g WHERE method IN ('lire_l0', 'lire_l5') AND NOT (dataset = 1 AND method = 'lire_l0')", _NAMED[0])
+_TAKEN = "list_transform(lists, lambda l, i: CASE WHEN i = k AND op = 'insert' THEN list_append(l, oid) WHEN i = k THEN list_transform(l[1 : len(l) - 1], lambda y: CASE WHEN y = oid THEN l[len(l)] ELSE y END) ELSE l END)"
+POSITIONS = joined(
+    [
+        *_INSERTED,
+        "own AS (SELECT c3.cluster, coalesce(l, CAST([] AS BIGINT[])) AS l FROM c3 LEFT JOIN (SELECT cluster, list(id ORDER BY id) AS l FROM post GROUP BY cluster) p USING (cluster))",
+        "rest AS (SELECT id, id - h AS place, r FROM v, half WHERE id >= h)",
+        """log AS MATERIALIZED (SELECT seq, op, id AS oid, cluster + 1 AS k FROM (SELECT place + place // 10 AS seq, 'insert' AS op, id FROM rest
+  UNION ALL SELECT due + 1 + place, 'delete', id FROM (SELECT *, (place + 1) * 10 - 1 AS due FROM rest) WHERE due < r) JOIN (SELECT id, cluster FROM everyone) USING (id))""",
+        f"walk AS (SELECT CAST(0 AS BIGINT) AS step, list(l ORDER BY cluster) AS lists FROM own UNION ALL SELECT step + 1, {_TAKEN} FROM walk JOIN log ON seq = step)",
+        "done AS (SELECT lists FROM walk ORDER BY step DESC LIMIT 1)",
+        "flat AS (SELECT unnest(lists) AS l, generate_subscripts(lists, 1) - 1 AS cluster FROM done)",
+    ],
+    "SELECT unnest(l) AS id, CAST(cluster AS BIGINT) AS cluster, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos FROM flat",
+    recursive=True,
+)

@@ -33,6 +33,13 @@ def neighbours(index: Index, n: int) -> DataFrame:
     return found.select(F.col("qid").alias("cluster"), "rank", F.col("id").alias("neighbour"), "distance")
 
 
+def halves_by_place(postings: DataFrame, places: DataFrame, least: int = 4) -> DataFrame:
+    """``halves`` in order of places (id, cluster, pos) that are kept as members come and go (``operators.positions``)."""
+    placed = postings.select("id", "cluster", "vec").join(places.select("id", "cluster", "pos"), ["id", "cluster"])
+    n = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)  # a row for each partition
+    return placed.join(F.broadcast(n), "cluster").withColumn("side", F.when(F.col("pos") < F.floor(F.col("n") / 2), 0).otherwise(1)).select("id", "cluster", "pos", "vec", "side")
+
+
 def halves(postings: DataFrame, least: int = 4) -> DataFrame:
     """id, cluster, pos, vec and side: 0 for the first half in order of id, 1 for the rest; partitions under ``least`` members are left out."""
     return in_order(postings).where(F.col("n") >= least).withColumn("side", F.when(F.col("pos") < F.floor(F.col("n") / 2), 0).otherwise(1)).drop("n")

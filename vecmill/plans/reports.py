@@ -5,7 +5,7 @@ A method may hold most rows: its percentiles and places come from slices (``func
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -94,6 +94,50 @@ def speedups(results: DataFrame, ours: str, theirs: str, value: str) -> DataFram
     return x.agg(F.count(F.lit(1)).alias("datasets"), F.avg("speedup").alias("mean"), F.min("speedup").alias("low"), F.max("speedup").alias("high"))
 
 
+def section(results: DataFrame, columns: dict[str, tuple[str, str]], ratios: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """dataset and a column for each (method, metric) of results (dataset, method, metric, value), and ratios of columns.
+
+    What a dataset lacks is null, as is a ratio over 0.
+    """
+    pick = lambda m, k: F.max(F.when((F.col("method") == m) & (F.col("metric") == k), F.col("value")))
+    rows = results.groupBy("dataset").agg(*(pick(m, k).alias(c) for c, (m, k) in columns.items()))
+    return rows.withColumns({c: V.ratio(F.col(a), F.col(b)) for c, (a, b) in (ratios or {}).items()})
+
+
+def section_summary(rows: DataFrame, measures: list[tuple[str, str]]) -> DataFrame:
+    """name and value of statistics (mean, min, max, sum) of columns over datasets, as (statistic, column); nulls don't count."""
+    how = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
+    one = rows.agg(*(how[s](c).cast("double").alias(f"{s}_{c}") for s, c in measures))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(f"{s}_{c}").alias("name"), F.col(f"{s}_{c}").alias("value")) for s, c in measures))).alias("r")).select("r.*")
+
+
+#: Sections of the claim summary: columns by (method, metric), ratios, and statistics over datasets.
+CLAIMS = {
+    "maintenance": ({"theirs": ("lire", "maintenance"), "ours": ("scdkm", "maintenance"), "their_moves": ("lire", "reassigned"), "our_moves": ("scdkm", "reassigned"), "their_recall": ("lire", "recall"), "our_recall": ("scdkm", "recall")}, {"speedup": ("theirs", "ours")}, [("mean", "speedup"), ("min", "speedup"), ("max", "speedup"), ("sum", "their_moves"), ("sum", "our_moves")]),
+    "drift": ({"frozen_recall": ("frozen", "recall"), "rebuild_recall": ("rebuild", "recall"), "our_recall": ("scdkm", "recall"), "frozen_qps": ("frozen", "qps"), "our_qps": ("scdkm", "qps"), "frozen_p99": ("frozen", "p99"), "our_p99": ("scdkm", "p99")}, {}, [("mean", c) for c in ("frozen_recall", "rebuild_recall", "our_recall", "frozen_p99", "our_p99")]),
+    "splits": ({"l0_violations": ("lire_l0", "violations"), "l5_violations": ("lire_l5", "violations"), "our_violations": ("scdkm", "violations"), "l0_recall": ("lire_l0", "recall"), "l5_recall": ("lire_l5", "recall"), "our_recall": ("scdkm", "recall"), "l5_moves": ("lire_l5", "reassigned")}, {}, [("mean", c) for c in ("l0_violations", "l5_violations", "our_violations", "l5_moves")]),
+    "updates": ({"their_delete_p99": ("lire", "delete_p99"), "our_delete_p99": ("scdkm", "delete_p99"), "their_query_p99": ("lire", "query_p99"), "our_query_p99": ("scdkm", "query_p99"), "their_recall": ("lire", "recall"), "our_recall": ("scdkm", "recall")}, {"speedup": ("their_delete_p99", "our_delete_p99")}, [("mean", "speedup"), ("min", "speedup"), ("max", "speedup")]),
+}
+
+
+def claim_summary(results: DataFrame, datasets: dict[str, Column] | None = None) -> DataFrame:
+    """section, name, value of CLAIMS; ``datasets``: a condition on the datasets of a section, where not all count."""
+    out = None
+    for name, (columns, ratios, measures) in CLAIMS.items():
+        own = results.where(datasets[name]) if datasets and name in datasets else results
+        one = section_summary(section(own, columns, ratios), measures).select(F.lit(name).alias("section"), "name", "value")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def baselines(results: DataFrame, names: dict[str, str], metrics: list[str]) -> DataFrame:
+    """dataset, method (the name it is shown by) and metrics of the methods that stand for baselines; those that a dataset lacks have no row."""
+    shown = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    pick = lambda k: F.max(F.when(F.col("metric") == k, F.col("value"))).alias(k)
+    mine = results.where(F.col("method").isin(list(names)))
+    return mine.groupBy("dataset", shown[F.col("method")].alias("method")).agg(*map(pick, metrics))
+
+
 def flattened(results: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
     """Parallel arrays as rows, with their place."""
     z = results.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("place", "z"))

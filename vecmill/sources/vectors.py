@@ -178,3 +178,12 @@ def boundary_mixtures(spark: SparkSession, centroids: dict[int, list[float]], n:
     mixed = F.zip_with("x", "y", lambda p, q: F.col("t") * p + (1 - F.col("t")) * q)
     noisy = F.transform(mixed, lambda v, j: v + noise * normal(F.col("id"), j, F.lit(seed)))
     return rows.select(F.col("id").alias("qid"), V.unit(noisy).alias("vec"))
+
+
+def around_centroids(spark: SparkSession, centroids: dict[int, list[float]], n: int, noise: float = 0.25, seed: int = 11) -> DataFrame:
+    """qid, vec: unit vectors near centroids picked by hash."""
+    names = sorted(centroids)
+    table = F.array(*[F.array(*map(F.lit, centroids[c])) for c in names])
+    pick = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(names))).cast("int")
+    noisy = F.transform("x", lambda v, j: v + noise * normal(F.col("id"), j, F.lit(seed)))
+    return spark.range(n).select("id", F.get(table, pick).alias("x")).select(F.col("id").alias("qid"), V.unit(noisy).alias("vec"))

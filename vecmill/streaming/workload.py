@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.window import Window
 
-from ..operators import knn, layers
-from ..operators.index import Index, IndexConfig
+from ..operators import knn, layers, quality
+from ..operators.index import Index, IndexConfig, search
 from ..operators.maintenance import policy
+from ..sources.scratch import exists
 
 OPS = "seq long, batch int, op string, id long, vec array<double>"
 
@@ -67,8 +69,8 @@ def mixed_log(n_inserts: int, n_base: int, mix: tuple[float, float, float], tota
 
 
 def apply_batch(index: Index, ops: DataFrame, name: str = "frozen") -> Index:
-    """The index after a batch of OPS: an id's last operation counts; ``name`` is the policy that follows."""
-    last = ops.groupBy("id").agg(F.max_by(F.struct("op", "vec"), "seq").alias("last")).select("id", "last.*")
+    """The index after a batch of OPS: an id's last insert or delete counts; ``name`` is the policy that follows."""
+    last = ops.where("op <> 'query'").groupBy("id").agg(F.max_by(F.struct("op", "vec"), "seq").alias("last")).select("id", "last.*")
     return policy(name)(index, last.where("op = 'insert'"), last.where("op = 'delete'"))
 
 
@@ -86,23 +88,88 @@ def latest(spark: SparkSession, path: str, config: IndexConfig) -> Index | None:
     return None
 
 
-def follow(ops: DataFrame, index: Index, path: str, checkpoint: str, name: str = "frozen") -> StreamingQuery:
+@dataclass(frozen=True)
+class Measure:
+    """How a batch's queries are asked: neighbours and probed partitions."""
+
+    k: int = 10
+    nprobe: int = 8
+
+
+MEASURES = "batch long, inserts long, deletes long, queries long, vectors long, partitions long, splits long, merges long, reassigned long, recall double, boundary double"
+
+
+def measured(index: Index, ops: DataFrame, number: int, how: Measure) -> DataFrame:
+    """A row of MEASURES: a batch's operations, the index after it, mean recall of its queries (by the index against all live vectors) and mean boundary score.
+
+    Without queries recall and score are null. Counters are those since the stream began.
+    """
+    spark = index.postings.sparkSession
+    n = ops.agg(*(F.count_if(F.col("op") == op).alias(op) for op in ("insert", "delete", "query"))).first()
+    sizes = index.sizes().agg(F.sum("n").alias("vectors"), F.count(F.lit(1)).alias("partitions")).first()
+    recall = score = None
+    if n["query"]:
+        queries = ops.where("op = 'query'").select(F.col("id").alias("qid"), "vec")
+        found, truth = search(queries, index, how.k, how.nprobe), knn.exact(queries, index.postings, how.k, index.config.metric)
+        recall = quality.recall(found, truth, how.k).agg(F.avg("recall")).first()[0]
+        score = quality.boundary_scores(queries, index.centroids).agg(F.avg("score")).first()[0] if len(index.centroids) > 1 else None
+    counters = [index.counters.get(c, 0) for c in ("splits", "merges", "reassigned")]
+    return spark.createDataFrame([(number, n["insert"], n["delete"], n["query"], sizes["vectors"] or 0, sizes["partitions"], *counters, recall, score)], MEASURES)
+
+
+def measures(spark: SparkSession, path: str) -> DataFrame:
+    """MEASURES of all batches that ``follow`` measured."""
+    return spark.read.schema(MEASURES).parquet(f"{path}/measures/*")
+
+
+class Progress(StreamingQueryListener):
+    """Of every batch of the queries that it listens to: rows, seconds, rows a second and operations by kind (``observed``)."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        ops = p.observedMetrics.get("ops") if p.observedMetrics else None
+        if p.numInputRows:
+            self.rows.append((p.batchId, p.numInputRows, p.durationMs.get("triggerExecution", 0) / 1000, float(p.processedRowsPerSecond), *((ops["inserts"], ops["deletes"], ops["queries"]) if ops else (None,) * 3)))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, "batch long, rows long, seconds double, per_second double, inserts long, deletes long, queries long")
+
+
+def follow(ops: DataFrame, index: Index, path: str, checkpoint: str, name: str = "frozen", measure: Measure | None = None) -> StreamingQuery:
     """Apply a stream of OPS batch by batch; the index after batch i is version i of ``path`` (``operators.layers``).
 
     A batch starts from the version before it, the first from ``index``, and writes what it changes: its own vectors and ids,
-    and the partitions that the policy deals anew. After a restart the query goes on from the version that it left; a batch
-    that comes again and whose version is whole changes nothing.
+    and the partitions that the policy deals anew. With ``measure`` its queries are asked of the version after it, and a row
+    of MEASURES is written. After a restart the query goes on from the version that it left; a batch that comes again and
+    whose version is whole changes nothing.
     """
+    count = lambda op: F.count_if(F.col("op") == op)
+    ops = ops.observe("ops", count("insert").alias("inserts"), count("delete").alias("deletes"), count("query").alias("queries"))
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if layers.load(spark, path, number, index.config) is not None:
-            return
-        found = layers.load(spark, path, number - 1, index.config) if number else (replace(index, changes=None), None)
-        if found is None:
-            raise RuntimeError(f"{path} holds no index of batch {number - 1}")
-        before, held = found
-        layers.save(apply_batch(before, batch, name), path, number, held)
+        now = layers.load(spark, path, number, index.config)
+        if now is None:
+            found = layers.load(spark, path, number - 1, index.config) if number else (replace(index, changes=None), None)
+            if found is None:
+                raise RuntimeError(f"{path} holds no index of batch {number - 1}")
+            before, held = found
+            layers.save(apply_batch(before, batch, name), path, number, held)
+        at = f"{path}/measures/{number}"
+        if measure is not None and not exists(spark, f"{at}/_SUCCESS"):
+            measured(now[0] if now else version(spark, path, number, index.config), batch, number, measure).coalesce(1).write.mode("overwrite").parquet(at)
 
     return ops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -117,9 +184,6 @@ def mixed_recall(vectors: DataFrame, queries: DataFrame, index: Index, rest: Dat
 
     ``queries`` (qid, vec, turn): each is asked once, in round ``turn`` mod ``rounds`` plus 1.
     """
-    from ..operators.index import search
-    from ..operators.quality import recall
-
     queries = queries.withColumn("round", F.pmod(F.col("turn").cast("long"), F.lit(rounds)) + 1)
     grown = index.changed(knn.nearest(rest.select("id", "vec"), index.centroids, index.config.metric))
     place = rest.select("id", "place")
@@ -131,4 +195,4 @@ def mixed_recall(vectors: DataFrame, queries: DataFrame, index: Index, rest: Dat
         one = search(own, replace(grown, postings=alive(grown.postings, n)), k, nprobe)
         two = knn.exact(own, alive(vectors.select("id", "vec"), n), k, index.config.metric)
         found, truth = (one, two) if found is None else (found.union(one), truth.union(two))
-    return recall(found, truth, k).join(turns, "qid").select("round", "qid", "recall")
+    return quality.recall(found, truth, k).join(turns, "qid").select("round", "qid", "recall")
