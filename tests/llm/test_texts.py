@@ -234,5 +234,28 @@ def test_hit_spans_lead_to_the_original_text(spark):
     assert [tuple(r) for r in decontaminate.contamination(docs, empty).select("n_hit", "n_items", "contaminated").collect()] == [(0, 0, False)]
 
 
+def test_a_full_block_of_benchmark(spark, none):
+    """The automaton of one block takes a bounded part of a worker's memory, and finds what is planted."""
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, rng.integers(97, 123, int(rng.integers(3, 9))))) for _ in range(40_000)]
+    items, size = [], 0
+    while size < decontaminate.BLOCK_BYTES:
+        text = " ".join(rng.choice(words, 400))
+        items.append((f"item{len(items)}", text))
+        size += len(text)
+    used = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+    before = used()
+    machine = decontaminate.automaton(tuple(items))
+    assert used() - before < 350, used() - before
+    noise = lambda n: [f"x{i}" for i in rng.integers(0, 10**6, n)]
+    own = [t.encode() for t in items[7][1].split()[100:130]]
+    text = [w.encode() for w in noise(50)] + own + [w.encode() for w in noise(9)] + own[:12]
+    hit, names = decontaminate.hits(text, machine)
+    assert np.flatnonzero(hit).tolist() == list(range(50, 80)) and names == {"item7"}
+    decontaminate.automaton.cache_clear()
+    bench = spark.createDataFrame(items[:2], "item_id string, text string")
+    assert decontaminate.contamination(none, bench).collect() == decontaminate.hit_spans(none, bench).collect() == decontaminate.clean(none, bench).collect() == []
+
+
 def test_empty_tables(none):
     assert substrings.digests(none).collect() == suffixes.digests(none).collect() == bpe.digests(none, RANKS).collect() == token_counts.token_counts(none, LIBRARY).collect() == []

@@ -1,17 +1,21 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
-Every window of 13 consecutive normalised words of a benchmark item (an item of fewer words is one window) is a pattern.
-One automaton over the patterns reads each normalised text once; a match's place gives the words it covers, and the
-words' own offsets lead back to the original text. The benchmark travels to the executors as blocks of a checked size,
-each with its automaton, PASS_BLOCKS of them at most at a time: a larger benchmark takes several passes over the texts,
-each of which writes what it found before the next one's blocks are sent.
+Every window of 13 consecutive normalised words of a benchmark item (an item of fewer words is one window) is a pattern
+over the numbers of words. One automaton over the patterns reads each normalised text once; a match's place gives the
+words it covers, and the words' own offsets lead back to the original text. A word's number is written with two symbols, so
+that no state has more than about the root of the vocabulary's size of successors. The benchmark travels to the executors
+as blocks of a checked size, each with its automaton (about 180 bytes of memory for each byte of benchmark), PASS_BLOCKS of
+them at most at a time: a larger benchmark takes several passes over the texts, each of which writes what it found before
+the next one's blocks are sent.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -24,9 +28,9 @@ from .common import id_and_text, remove_stored, stored, volume
 #: Words of a window.
 WINDOW = 13
 #: UTF-8 bytes of benchmark text in one automaton.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Blocks that are sent, and whose automata a worker keeps, at a time.
-PASS_BLOCKS = 8
+PASS_BLOCKS = 4
 #: What a pass finds: words, words hit, first and last + 1 of each run of these in turn, and items.
 MARKS = {"n_words": "long", "n_hit": "long", "runs": "array<int>", "items": "array<string>"}
 #: Characters that belong to no word become spaces; A-Z become a-z; all bytes above 127 belong to words.
@@ -37,38 +41,53 @@ def normalised(text: str | None) -> list[bytes]:
     return text.encode().translate(TO_WORDS).split() if text else []
 
 
-def windows(words: list[bytes]) -> set[bytes]:
+def windows(words: list[bytes]) -> set[tuple[bytes, ...]]:
     n = min(WINDOW, len(words))
-    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+
+
+class Machine(NamedTuple):
+    """Numbers of words from 1, the base of their two symbols, the automaton, and the (words of a window, items) that its values point to."""
+
+    numbers: dict[bytes, int]
+    base: int
+    automaton: ahocorasick.Automaton
+    found: list[tuple[int, tuple[str, ...]]]
+
+    def symbols(self, words: Sequence[bytes]) -> tuple[int, ...]:
+        """Two for each word; those of words that no item has occur in no pattern."""
+        n = np.fromiter((self.numbers.get(w, 0) for w in words), np.int64, len(words))
+        return tuple(np.stack([n // self.base, self.base + n % self.base], 1).ravel().tolist())
 
 
 @lru_cache(PASS_BLOCKS)
-def automaton(items: tuple[tuple[str, str], ...]) -> ahocorasick.Automaton | None:
-    """From a window, with a space on either side, to its number of words and the items that hold it."""
-    held: dict[bytes, set[str]] = {}
+def automaton(items: tuple[tuple[str, str], ...]) -> Machine | None:
+    """From a window to its number of words and the items that hold it."""
+    held: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items:
         for w in windows(normalised(text)):
             held.setdefault(w, set()).add(item)
     if not held:
         return None
-    out = ahocorasick.Automaton()
-    for w, names in held.items():
-        out.add_word(f" {w.decode()} ", (w.count(b" ") + 1, tuple(names)))
-    out.make_automaton()
-    return out
-
-
-def hits(words: list[bytes], machine: ahocorasick.Automaton | None) -> tuple[np.ndarray, set[str]]:
+    numbers = {w: i for i, w in enumerate(sorted({w for window in held for w in window}), 1)}
+    made = Machine(numbers, math.isqrt(len(numbers)) + 1, ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), [])
+    place: dict[tuple[int, tuple[str, ...]], int] = {}
+    for window, names in held.items():
+        key = (len(window), tuple(names))
+        made.automaton.add_word(made.symbols(window), place.setdefault(key, len(place)))
+    made.found.extend(place)
+    made.automaton.make_automaton()
+    return made
+
+
+def hits(words: list[bytes], machine: Machine | None) -> tuple[np.ndarray, set[str]]:
     """Which words lie inside an occurrence of a window, and the items whose windows occur."""
     items: set[str] = set()
     edge = np.zeros(len(words) + 1, np.int64)
     if words and machine is not None:
-        text = f" {b' '.join(words).decode()} "
-        last = None
-        for end, (n, names) in machine.iter(text):
-            if last is None:
-                last = np.cumsum([len(w.decode()) + 1 for w in words])  # where the space after each word stands
-            w = int(np.searchsorted(last, end))
+        for end, value in machine.automaton.iter(machine.symbols(words)):
+            n, names = machine.found[value]
+            w = end // 2
             edge[w + 1 - n] += 1
             edge[w + 1] -= 1
             items.update(names)
