@@ -261,3 +261,30 @@ def test_rounds_lower_the_error_and_codes_decode(spark):
 
 def test_codes_against_sql(spark):
     against_sql(spark, "op13_vector_codes")
+
+
+# ---------------------------------------------------------------- very long texts
+def test_texts_of_over_a_million_characters(spark):
+    """One text of 1.3 million characters beside short ones, through the operators that read a text as a whole."""
+    import public_tokenizers
+    import tiktoken  # noqa: F401  (the library whose ids are matched elsewhere)
+
+    from vecmill.llm import bpe, langid, token_counts
+
+    base = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id")
+    some = [r["text"] for r in base.where("text rlike '[a-z]{4}'").limit(60).collect()]
+    piece = " ".join(some) + " MIT License $ é\n"
+    long = piece * (1_300_000 // len(piece) + 1)
+    rows = [(1, long, "en"), (2, "short", "en"), (3, long, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    same(filters.audit(docs, labels).collect(), plain_audit(rows, {1: (True, False)}))
+    found = licenses.scanned(docs)
+    same(found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect(), [(i, *plain_places(t)) for i, t, _ in rows])
+    counts = {r["doc_id"]: r for r in token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert counts[1]["n_tokens"] == counts[3]["n_tokens"] > 200_000 and counts[1]["n_bytes"] == len(long.encode())
+    ids = {r["doc_id"]: r for r in bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()}
+    assert bytes(ids[1]["decoded"]).decode() == long and ids[1]["n_tokens"] == counts[1]["n_tokens"]
+    model = langid.train_on(base)
+    told = {r["doc_id"]: r["lang_pred"] for r in langid.languages(docs, model).collect()}
+    assert told[1] == told[3] in model.languages

@@ -209,7 +209,7 @@ def encoded(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, n_tokens, ids (decimal ids joined by a space) and decoded (binary) of every whole text.
 
     A null or empty text has no tokens, empty ids and empty bytes. Rows are independent: repeated rows and repeated or
-    null doc_ids give a row each. An empty table gives no rows.
+    null doc_ids give a row each. An empty table gives no rows; other columns don't matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

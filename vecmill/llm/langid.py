@@ -57,7 +57,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(labelled: DataFrame) -> Model:
     """From the rows (text, lang) with both given: up to about SAMPLE documents of each language, chosen by a hash of the text.
 
-    Every label is learned; the table takes PLACES floats for each.
+    Every label is learned; the table takes PLACES floats for each. Rows of the same text are chosen together; without rows
+    the model knows no language; other columns don't matter.
     """
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     found = rows.groupBy("lang").count().collect()

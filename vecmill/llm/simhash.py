@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     A null, empty or blank text has fingerprint zero, which links like any other. Repeated rows and texts share their
     fingerprint and so their component. A null doc_id gets a row and its component the smallest of the others (null
-    where there are none). An empty table gives no rows.
+    where there are none). An empty table gives no rows; other columns don't matter.
     """
     own = stored(fingerprints(docs))
     fps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("low")))

@@ -104,7 +104,7 @@ def removals(docs: DataFrame) -> DataFrame:
 
     A word goes where a window of 13 words over it also starts in a document with a smaller doc_id. A null or blank text
     has no words; texts under 13 words keep all. Rows with one doc_id aren't smaller than each other. A row without
-    doc_id keeps all words and takes none. An empty table gives no rows.
+    doc_id keeps all words and takes none. An empty table gives no rows; other columns, whatever their names, don't matter.
     """
     return _run(docs, with_text=True)
 

@@ -276,7 +276,7 @@ def removals(docs: DataFrame) -> DataFrame:
 
     A byte goes where a string of 200 bytes over it also starts anywhere else in the table, the same document included;
     every occurrence goes. A null text is empty; texts under 200 bytes stay whole. Repeated rows are repeats of each
-    other, whatever their doc_ids, which may be null. An empty table gives no rows.
+    other, whatever their doc_ids, which may be null. An empty table gives no rows; other columns don't matter.
     """
     return _run(docs, with_text=True)
 
