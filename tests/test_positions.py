@@ -86,3 +86,13 @@ def test_a_stream_is_observed(spark, tmp_path):
     table = heard.table(spark).orderBy("batch").collect()
     assert len(table) >= 3 and all(t["per_second"] > 0 for t in table)
     assert [(t["inserts"], t["deletes"], t["queries"]) for t in table[:1]] and sum(t["deletes"] or 0 for t in table) >= 12
+
+
+def test_halves_of_ids_with_gaps(spark):
+    v = catalogue.vectors(spark, SMALL).where("id < 60")
+    apart = v.withColumn("id", F.col("id") * 7 + 3)
+    first, rest, n = workload.offsets(v)
+    one, two, m = workload.offsets(apart)
+    assert n == m == 30 and [r["id"] * 7 + 3 for r in first.orderBy("id").collect()] == [r["id"] for r in one.orderBy("id").collect()]
+    assert [(r["id"] * 7 + 3, r["place"]) for r in rest.orderBy("id").collect()] == [(r["id"], r["place"]) for r in two.orderBy("id").collect()]
+    assert workload.offsets(v.where("id < 0"))[2] == 0

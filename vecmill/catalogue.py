@@ -764,20 +764,22 @@ def last_result_wins(spark, sf_dir):
 
 
 def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of a sample of each partition in two random halves, after so many passes: a task holds one, of the mean size of partitions or 256 members."""
     import pyarrow as pa
 
     from .functions.arrow import matrix
 
-    steps = [0, 1, 2, 3, 5]
+    steps = [0, 1, 2, 3, 5, 8, 10, 15, 20]
 
     def run(rows):
-        rows = rows.sort_by("pos")
+        rows = rows.sort_by("id")
         both = kernels.curves(matrix(rows["vec"]), rows["side"].to_numpy().astype(int), steps)
         flat = [(rows["cluster"][0].as_py(), m, t, x) for m, xs in both.items() for t, x in zip(steps, xs, strict=True)]
         return pa.table([pa.array(c) for c in zip(*flat, strict=True)], ["cluster", "method", "t", "sse"])
 
-    halved = maintenance.halves(indexed(spark, sf_dir).postings)
-    return halved.groupBy("cluster").applyInArrow(run, "cluster long, method string, t long, sse double")
+    index = indexed(spark, sf_dir)
+    sizes = index.members().values()
+    return kmeans.local_samples(index.postings, min(256, max(16, sum(sizes) // len(sizes)))).groupBy("cluster").applyInArrow(run, "cluster long, method string, t long, sse double")
 
 
 @query()

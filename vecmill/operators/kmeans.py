@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from ..functions.arrow import matrix, paired
+from ..functions.ranks import numbered
 from ..sources.scratch import stored
 from .knn import nearest
 
@@ -163,10 +164,9 @@ def mllib(vectors: DataFrame, k: int, rounds: int = 25, seed: int = 42, cosine:
 def local_samples(postings: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """cluster, id, vec, side: up to ``size`` members, in order of a hash, of each partition of max(8, size // 2) or more, in two random halves."""
     key = lambda salt: F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(salt), F.lit(seed).cast("string")))
-    own = Window.partitionBy("cluster")
-    eligible = postings.withColumn("n", F.count(F.lit(1)).over(own)).where(F.col("n") >= max(8, size // 2))
-    kept = eligible.withColumn("r", F.row_number().over(own.orderBy(key("member"), "id"))).where(F.col("r") <= size)
-    half = F.row_number().over(own.orderBy(key("side"), "id")) > F.floor(F.least("n", F.lit(size)) / 2)
+    of = numbered(postings.select("id", "cluster", "vec").withColumn("_key", key("member")), ["cluster"], ["_key", "id"], "_r", "n")
+    kept = of.where((F.col("n") >= max(8, size // 2)) & (F.col("_r") < size))
+    half = F.row_number().over(Window.partitionBy("cluster").orderBy(key("side"), "id")) > F.floor(F.least("n", F.lit(size)) / 2)
     return kept.select("cluster", "id", "vec", half.cast("int").alias("side"))
 
 

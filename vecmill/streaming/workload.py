@@ -10,6 +10,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.window import Window
 
+from ..functions.ranks import numbered
 from ..operators import knn, layers, quality
 from ..operators.index import Index, IndexConfig, search
 from ..operators.maintenance import policy
@@ -19,10 +20,18 @@ OPS = "seq long, batch int, op string, id long, vec array<double>"
 
 
 def offsets(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """The first half by id; the rest with ``place`` (from 0 in order of id); the number of the rest. Ids must be dense from 0."""
-    n = vectors.count()
-    first = vectors.where(F.col("id") < n // 2)
-    rest = vectors.where(F.col("id") >= n // 2).withColumn("place", F.col("id") - n // 2)
+    """The first half in order of id; the rest with ``place`` (from 0); the number of the rest.
+
+    Ids are unique. Where they run from 0 without gaps they are places themselves, else they are numbered.
+    """
+    r = vectors.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    n = r["n"]
+    if not n or (r["low"], r["high"]) == (0, n - 1):
+        rows, at = vectors, F.col("id")
+    else:
+        rows, at = numbered(vectors, [], ["id"], "_place").drop("total"), F.col("_place")
+    first = rows.where(at < n // 2).select(*vectors.columns)
+    rest = rows.where(at >= n // 2).select(*vectors.columns, (at - n // 2).alias("place"))
     return first, rest, n - n // 2
 
 
