@@ -227,11 +227,11 @@ def plain_codes(rows, n_parts=8, entries=16, rounds=6):
 VECTORS = "vec_id long, embedding array<float>, label int, part string, code string"
 
 
-@pytest.mark.parametrize(("n", "dim", "few"), [(120, 16, 50_000), (60, 8, 2), (5, 24, 50_000)])
+@pytest.mark.parametrize(("n", "dim", "few"), [(120, 16, 50_000), (60, 8, 2), (5, 4096, 50_000)])
 def test_codes_of_odd_rows(spark, n, dim, few, monkeypatch):
     monkeypatch.setattr(codes, "FEW_LABELS", few)
     rng = np.random.default_rng(n)
-    rows = [(int(i), [float(np.float32(v)) for v in rng.normal(size=dim) * rng.choice([0.01, 1, 30])], None if i % 7 == 0 else int(i % 3)) for i in rng.permutation(n)]
+    rows = [(int(i), [float(np.float32(v)) for v in rng.normal(size=dim) * rng.choice([0.01, 1, 30, 800])], None if i % 7 == 0 else int(i % 3)) for i in rng.permutation(n)]
     rows += [rows[0], rows[1], (rows[2][0], rows[3][1], 5), (None, rows[4][1], None), (n + 1, [0.0] * dim, 1), (n + 2, None, 1), (n + 3, [None] + [1.0] * (dim - 1), 1), (n + 4, [float("nan")] * dim, 2), (n + 5, [float("inf")] * dim, None), (n + 6, [-0.0001] * dim, 4)]
     table = spark.createDataFrame([(*r, "clash", "clash") for r in rows], VECTORS).repartition(5)
     same(codes.compressed(table).collect(), plain_codes(rows))
@@ -240,7 +240,7 @@ def test_codes_of_odd_rows(spark, n, dim, few, monkeypatch):
 def test_codes_of_nothing_and_of_refused_vectors(spark):
     table = spark.createDataFrame([(1, None, 1, "", ""), (2, [None], 1, "", "")], VECTORS)
     assert codes.compressed(table).collect() == [] and codes.compressed(table.limit(0)).collect() == []
-    for wrong in ([1.0] * 7, [20_000.0] * 8):
+    for wrong in ([1.0] * 7, [100_000.0] * 8, []):
         with pytest.raises(Exception, match="multiple of 8"):
             codes.compressed(spark.createDataFrame([(1, wrong, 1, "", "")], VECTORS)).collect()
     with pytest.raises(Exception, match="unlike lengths"):

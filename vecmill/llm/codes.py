@@ -19,8 +19,8 @@ from .common import stored
 
 #: Parts of a vector, entries of a codebook, rounds, and the units of a component's 1.
 PARTS, ENTRIES, ROUNDS, UNIT = 8, 16, 6, 4096
-#: Components below this many units, in parts of at most 2**8, keep every distance and product inside 62 bits.
-LARGEST, WIDEST = 2**26, 2**8
+#: Components below this many units, over the root of their number, keep a vector's products and errors inside 62 bits.
+LARGEST = 2.0**30
 #: Labels whose sums are sent to all tasks; more are joined.
 FEW_LABELS = 50_000
 
@@ -33,9 +33,9 @@ def kept(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = e.isNotNull() & ~F.coalesce(bad, F.lit(True))
-    large = F.exists(e, lambda x: F.abs(x) * UNIT >= LARGEST)
+    large = F.exists(e, lambda x: F.abs(x) * UNIT >= LARGEST / F.sqrt(F.size(e)))
     unlike = (F.size(e) == 0) | (F.size(e) % PARTS != 0)
-    told = F.raise_error(F.lit(f"a vector's length is no multiple of {PARTS}, or a component is {LARGEST // UNIT} or more"))
+    told = F.raise_error(F.lit(f"a vector's length is no multiple of {PARTS}, or a component is too large for 64 bits"))
     x = F.when(unlike | large, told.cast("array<long>")).otherwise(F.transform(e, lambda v: F.floor(v * UNIT)))
     return vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), x.alias("x"))
 
@@ -70,8 +70,6 @@ def first_books(vectors: DataFrame) -> Books:
     if len({len(r["x"]) for r in rows}) > 1:
         raise ValueError("vectors of unlike lengths")
     x = np.array([r["x"] for r in rows], np.int64)
-    if x.size and x.shape[1] > PARTS * WIDEST:
-        raise ValueError(f"parts of over {WIDEST} components")
     return np.split(x, PARTS, axis=1) if x.size else []
 
 
@@ -142,8 +140,8 @@ def compressed(vectors: DataFrame) -> DataFrame:
 
     Vectors that are null, or hold null or non-finite components, are left out; an empty table gives no rows. Repeated rows
     and vec_ids give a row each. Ties go to the lower entry; fewer vectors than entries make smaller codebooks. Lengths
-    that differ or aren't a multiple of 8, and components of 16,384 or more, which would leave 64 bits, are refused with an
-    error. Other columns don't matter.
+    that differ or aren't a multiple of 8, and components that would leave 64 bits (32,768 or more in 64 dimensions, 4,096 or
+    more in 4,096), are refused with an error. Other columns don't matter.
     """
     x = kept(vectors)
     books = learned(x)
