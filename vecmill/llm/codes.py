@@ -33,10 +33,10 @@ def kept(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = e.isNotNull() & ~F.coalesce(bad, F.lit(True))
-    large = F.exists(e, lambda x: F.abs(x) * UNIT >= LARGEST / F.sqrt(F.size(e)))
+    large = F.array_max(F.transform(e, F.abs)) * UNIT >= LARGEST / F.sqrt(F.size(e))
     unlike = (F.size(e) == 0) | (F.size(e) % PARTS != 0)
     told = F.raise_error(F.lit(f"a vector's length is no multiple of {PARTS}, or a component is too large for 64 bits"))
-    x = F.when(unlike | large, told.cast("array<long>")).otherwise(F.transform(e, lambda v: F.floor(v * UNIT)))
+    x = F.when(unlike | large, told.cast("array<int>")).otherwise(F.transform(e, lambda v: F.floor(v * UNIT).cast("int")))
     return vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), x.alias("x"))
 
 
@@ -44,7 +44,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     """Rows x components; rows of unlike lengths are refused."""
     if not len(column):
         return np.zeros((0, 0), np.int64)
-    flat = column.flatten().to_numpy()
+    flat = column.flatten().to_numpy().astype(np.int64)
     sizes = np.diff(column.offsets.to_numpy())
     if len(flat) and (sizes != sizes[0]).any():
         raise ValueError("vectors of unlike lengths")
@@ -143,7 +143,7 @@ def compressed(vectors: DataFrame) -> DataFrame:
     that differ or aren't a multiple of 8, and components that would leave 64 bits (32,768 or more in 64 dimensions, 4,096 or
     more in 4,096), are refused with an error. Other columns don't matter.
     """
-    x = kept(vectors)
+    x = stored(kept(vectors))  # whole numbers, read in every round
     books = learned(x)
     if not books:
         return x.select("vec_id", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"), F.lit(0).cast("long").alias("label_error"), F.lit("").alias("codebooks_sha256")).where("false")
