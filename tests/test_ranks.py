@@ -107,9 +107,9 @@ def test_probed_search_of_a_hot_partition(spark, few, monkeypatch):
 def test_few_queries_leave_the_members_where_they_are(spark):
     index = ivf.build(catalogue.vectors(spark, SMALL), ivf.IndexConfig())
     asked = spark.createDataFrame([(0, 3, 0), (50, 5, 0)], "qid long, cluster long, level long")
-    found = probing.among(asked, catalogue.asked(spark, SMALL), index.postings, {}, 4, "l2")
+    found = probing.among(asked, catalogue.asked(spark, SMALL), index.postings, dict, 4, "l2")
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
-    assert probing.among(asked.limit(0), catalogue.asked(spark, SMALL), index.postings, {}, 4, "l2").count() == 0
+    assert probing.among(asked.limit(0), catalogue.asked(spark, SMALL), index.postings, dict, 4, "l2").count() == 0
 
 
 @pytest.mark.parametrize("metric", ["l2", "ip"])

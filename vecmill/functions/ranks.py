@@ -14,14 +14,15 @@ from ..sources.scratch import stored
 SLICE_ROWS = 200_000
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str], place: str = "place", total: str = "total", weight: Column | None = None) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[str], place: str = "place", total: str = "total", weight: Column | None = None, most: int | None = None) -> DataFrame:
     """df with each row's place (from 0) in its group, nulls first, and the group's number of rows; a row may stand for ``weight`` of them.
 
     A table of several slices is cut into ranges of (group, order), written once; a slice's rows are numbered by themselves and
     begin where the group's slices before it end. Rows equal in ``order`` go by a hash of all columns, rows equal in all
-    take any place. Null values of ``by`` are a group.
+    take any place. Null values of ``by`` are a group. ``most``: a number that
+    the rows of df don't exceed, where one is known.
     """
-    n = max(1, math.ceil(df.count() / SLICE_ROWS))
+    n = max(1, math.ceil((df.count() if most is None else most) / SLICE_ROWS))
     each = F.lit(1) if weight is None else weight
     before = lambda w: F.sum(each).over(w.rowsBetween(Window.unboundedPreceding, 0)) - each
     if n == 1:
@@ -47,14 +48,14 @@ def part_of(place: Column, total: Column, n: int) -> Column:
     return F.when(place < wide, F.floor(place / (size + 1))).otherwise(more + F.floor((place - wide) / F.greatest(size, F.lit(1)))).cast("long") + 1
 
 
-def percentiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+def percentiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], most: int | None = None) -> DataFrame:
     """by and the exact, interpolated percentiles of each group's values that aren't null; a group without any has no row.
 
     Equal values are counted first; a group's different values are numbered in slices, and a task sends on what stands beside
-    its percentiles.
+    its percentiles. ``most`` is as in ``numbered``.
     """
     values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_rows"))
-    places = numbered(values, by, [value], weight=F.col("_rows"))
+    places = numbered(values, by, [value], weight=F.col("_rows"), most=df.count() if most is None else most)
     found = []
     for name, q in at.items():
         exact = q * (F.col("total") - 1)

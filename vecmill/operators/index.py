@@ -149,7 +149,7 @@ def _found(queries: DataFrame, index: Index, k: int, nprobes: list[int]) -> Data
     """qid, level, id, distance: k candidates a query of the partitions that come to the probes of each level, from the one before it on."""
     probed = knn.probes(queries, index.centroids, max(nprobes), index.config.metric)
     level = F.size(F.filter(F.array(*map(F.lit, sorted(nprobes))), lambda n: n < F.col("rank"))).cast("long")
-    return probing.among(probed.select("qid", "cluster", level.alias("level")), queries, index.postings, index.members(), k, index.config.metric)
+    return probing.among(probed.select("qid", "cluster", level.alias("level")), queries, index.postings, index.members, k, index.config.metric)
 
 
 def search(queries: DataFrame, index: Index, k: int = 100, nprobe: int = 8) -> DataFrame:
@@ -180,7 +180,7 @@ def bounded(queries: DataFrame, index: Index, k: int, nprobe: int = 1) -> tuple[
     centroid's product plus the query's length times the radius). Level 0 asks the nprobe nearest partitions; level 1 those
     whose bound doesn't exclude a neighbour better than the k-th found there, and all where fewer than k were found.
     """
-    metric, reach, held = index.config.metric, radii(index), index.members()
+    metric, reach, held = index.config.metric, radii(index), index.members
     names = np.array(sorted(reach), np.int64)
     table = np.array([index.centroids[c] for c in names.tolist()], np.float64)
     radius = np.array([reach[c] for c in names.tolist()])

@@ -7,7 +7,7 @@ read. More queries meet slices of partitions in blocks. Either way a task return
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +42,14 @@ class Best:
         return [pa.array(np.repeat(qids, self.k)[some.ravel()]), pa.array(np.repeat(levels, self.k)[some.ravel()]), pa.array(self.ids[some]), pa.array(self.d[some])]
 
 
-def among(asked: DataFrame, queries: DataFrame, postings: DataFrame, sizes: dict[int, int], k: int, metric: str) -> DataFrame:
+def among(asked: DataFrame, queries: DataFrame, postings: DataFrame, sizes: Callable[[], dict[int, int]], k: int, metric: str) -> DataFrame:
     """CANDIDATES: of each query (qid, vec) and level the k nearest of the members (id, cluster, vec) of the partitions asked (qid, cluster, level).
 
-    ``sizes``: members of each partition. A partition is asked once by a query, at one level.
+    ``sizes`` gives the members of each partition, where there are many queries. A partition is asked once by a query, at one level.
     """
     queries = queries.where("vec is not null").select("qid", "vec")
     few = queries.limit(FEW + 1).collect()
-    return _few(few, asked, postings, k, metric) if len(few) <= FEW else _many(asked, queries, postings, sizes, k, metric)
+    return _few(few, asked, postings, k, metric) if len(few) <= FEW else _many(asked, queries, postings, sizes(), k, metric)
 
 
 def _few(few: list, asked: DataFrame, postings: DataFrame, k: int, metric: str) -> DataFrame:

@@ -18,7 +18,7 @@ def latency_summary(results: DataFrame, by: list[str], value: str = "value") ->
     """n, mean, std (population) and exact percentiles of each group; values that aren't finite are left out."""
     finite = results.where(V.is_finite(F.col(value)))
     sums = finite.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    return _beside(sums, percentiles(finite, by, value, LATENCIES), by)
+    return _beside(sums, percentiles(finite, by, value, LATENCIES, results.count()), by)
 
 
 def _beside(groups: DataFrame, more: DataFrame, by: list[str]) -> DataFrame:
@@ -41,9 +41,10 @@ def stream_summary(batches: DataFrame, by: list[str], warmup: int) -> DataFrame:
 
 def windows(results: DataFrame, by: list[str], order: str, value: str = "value", n: int = 12) -> DataFrame:
     """part (1 to n), mean and p99 of near-equal consecutive parts of each group's trace."""
-    parts = numbered(results.select(*by, order, value), by, [order]).withColumn("part", part_of(F.col("place"), F.col("total"), n))
+    most = results.count()
+    parts = numbered(results.select(*by, order, value), by, [order], most=most).withColumn("part", part_of(F.col("place"), F.col("total"), n))
     means = parts.groupBy(*by, "part").agg(F.avg(value).alias("mean"))
-    return _beside(means, percentiles(parts, [*by, "part"], value, {"p99": 0.99}), [*by, "part"])
+    return _beside(means, percentiles(parts, [*by, "part"], value, {"p99": 0.99}, most), [*by, "part"])
 
 
 def trace_envelope(traces: DataFrame, key: str = "method", over: str = "dataset", value: str = "mean") -> DataFrame:
