@@ -108,6 +108,38 @@ def test_a_frequent_passage_is_sorted_too(spark, monkeypatch):
     assert len(np.unique(b.verified_names(np.arange(len(b.begin))))) == len(np.unique(b.names(np.arange(len(b.begin)))))
 
 
+def test_single_strings_meet_in_runs_of_batches(spark, monkeypatch):
+    """A passage in every batch, cut down to single strings, with a copy that only one far batch holds and one that two hold."""
+    monkeypatch.setattr(suffixes, "n_batches", lambda *_: 12)
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    rng = np.random.default_rng(21)
+    letters = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    passage, rare = letters(430), letters(260)
+    rows = [(i, letters(int(rng.integers(0, 90))) + passage[int(rng.integers(0, 150)) : int(rng.integers(300, 430))] + letters(70)) for i in range(150)]
+    rows += [(200 + i, letters(40) + rare[i * 20 :] + letters(30)) for i in range(4)] + [(300, rare[:150] + letters(80) + passage[:250])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for run in (1, 2, 5, 4096):
+        monkeypatch.setattr(suffixes, "RUN", run)
+        same(suffixes.digests(table).collect(), plain_bytes(rows))
+
+
+def test_an_anchor_in_50_000_different_stretches(spark):
+    """A phrase that anchors every text, between letters of their own: cut into longer names, none of which is frequent."""
+    rng = np.random.default_rng(22)
+    letters = lambda n: bytes(rng.integers(97, 123, n, np.uint8))
+    many = letters(2_000_000)
+    at = int(suffixes._rolling(np.frombuffer(many, np.uint8)[: 1 << 20])[0].argmin())
+    phrase = many[at : at + suffixes.GRAM]
+    texts = [letters(150) + phrase + letters(150) for _ in range(50_000)]
+    b = suffixes.Batch(pa.table({"text": [t.decode() for t in texts[:1000]]}))
+    assert np.unique(b.anchor, return_counts=True)[1].max() > 950
+    for k in range(0, 400, 2):
+        texts[-k - 1] = letters(89) + b"-" + texts[k][90:]  # a byte that the other text never has there
+    found = suffixes.digests(spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()
+    copied = {*range(0, 400, 2), *(len(texts) - k - 1 for k in range(0, 400, 2))}
+    same(found, [(i, 332, 242 if i in copied else 0, int(i in copied)) for i in range(len(texts))])
+
+
 def test_names_that_collide_are_told_apart(monkeypatch):
     texts = ["a" * 150 + "b" * 150, "a" * 150 + "c" * 150] * 2
     b = suffixes.Batch(pa.table({"text": texts}))
@@ -119,6 +151,19 @@ def test_names_that_collide_are_told_apart(monkeypatch):
     assert len(set(zero)) == 1 and len(set(name[name > 0])) == (name > 0).sum()
 
 
+def test_cells_hold_each_start_once_under_the_name_of_its_string():
+    rng = np.random.default_rng(23)
+    copy = bytes(rng.integers(97, 100, 500, np.uint8)).decode()
+    b = suffixes.Batch(pa.table({"text": [copy, "x" * 60 + copy[100:450], copy[:330] + "yz" * 90]}))
+    every = np.sort(b.starts(np.arange(len(b.begin))))
+    left = b
+    for width in suffixes.WIDTHS[1:]:
+        left = left.cut(width)
+        assert (left.end - left.begin).max() <= width and (np.sort(left.starts(np.arange(len(left.begin)))) == every).all()
+    string = [bytes(b.data[x : x + suffixes.LENGTH]) for x in left.begin]
+    assert len(set(zip(string, left.anchor.tolist(), strict=True))) == len(set(string)) == len(set(left.anchor.tolist()))
+
+
 def test_suffix_order_is_the_sorted_order():
     rng = np.random.default_rng(3)
     text = rng.integers(97, 99, 900).astype(np.uint8)

@@ -58,7 +58,7 @@ def table(rows: list[tuple], names: list[str], schema: str) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-#: (keys in order, the place of each in the order of batches, marks, first entry of each key) -> a byte for each entry
+#: (keys in order, the batch of each, rising within a key, marks, first entry of each key) -> a byte for each entry
 Reply = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -74,7 +74,7 @@ def answered(asked: DataFrame, replies: dict[int, tuple[bool, Reply]]) -> DataFr
         packed = rows["marks"].to_pylist()
         long = len(packed[0]) == 8 * sizes[0]
         marks = np.concatenate([_numbers(m) for m in packed]) if long else np.frombuffer(b"".join(packed), np.uint8)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+        owner = np.repeat(rows["batch"].to_numpy(), sizes)
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))

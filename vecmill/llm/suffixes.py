@@ -10,19 +10,24 @@ over prefix polynomial hashes. Neighbours' extensions are verified byte by byte.
 distance t before the anchor if their order-neighbours share at least LENGTH - t bytes after it and t bytes before it.
 
 Equal stretches of a batch are one, once their bytes agree, so a frequent passage is one stretch from each batch. An anchor
-that stands in over HOT different stretches would still fill one task: its strings are asked for one by one instead (their
-hashes, each once from a batch of documents, spread over all tasks), so that nothing is dropped or capped.
+that stands in over HOT different stretches would still fill one task. Such an anchor gets longer: its starts are cut into
+cells of WIDTHS[1] places, and the bytes that all strings of a cell share (LENGTH less the cell's width, plus one) name the
+piece; pieces of a name that is still too frequent are cut again, down to single strings, whose name is all their bytes.
+Equal strings stay in equal pieces, and pieces are sorted and verified just as stretches are. Of a single string there is
+one piece from each batch, however frequent it is; RUN batches meet in one group, and the first holder of each run in another.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import hash_batches, id_and_text, n_batches, strings, volume
+from .common import hash_batches, id_and_text, n_batches, stored, strings, volume
 from .exchange import ASK, ASK_NAMES, answered, ask, collect_answers, range_bits, spread, table
 from .words import byte_values, mix, powers
 
@@ -30,13 +35,20 @@ LENGTH = 200
 GRAM = 32
 #: Starts that can share one anchor occurrence.
 SPAN = LENGTH - GRAM + 1
-#: Stretches of an anchor, all batches together, beyond which its strings are asked for singly (about 0.5 kB each in one task).
+#: Pieces of a name, all batches together, beyond which they are cut (about 0.5 kB each in one task).
 HOT = 16_384
+#: Places in a cell, level by level: whole stretches first, single strings last.
+WIDTHS = (SPAN, 43, 11, 1)
+#: Batches whose copies of a single string meet in one group.
+RUN = 4096
 #: Steps of a byte's logarithmic count of stretches in an eighth of a doubling; the top bit says that the anchor occurs twice.
 _STEPS, _TWICE = 8, 128
 #: Bytes whose anchors are found at a time; places inside a piece take PLACE bits.
 PIECE, PLACE = 1 << 19, 20
-_ANCHOR, _STRING = 1, 3
+#: Kind of the questions of level 0; further levels count on.
+_ANCHOR = 1
+#: Answers: a name without a second occurrence; pieces that meet; to be cut; strings that meet in their run, or there and with the first of other runs.
+_ALONE, _MEET, _CUT, _IN_RUN, _FIRST = range(5)
 STRETCH = "part long, batch long, anchors binary, names binary, many binary, before binary, sizes binary, texts binary"
 BITS = (SPAN + 7) // 8
 
@@ -69,34 +81,14 @@ def _least(key: np.ndarray) -> np.ndarray:
     return np.minimum(low[: len(key) - SPAN + 1], low[SPAN - size :])
 
 
-class Batch:
-    """The texts of a batch, one after the other, and their stretches."""
+class Pieces:
+    """Runs of starts that share an anchor occurrence: stretches, or cells of them."""
 
-    def __init__(self, rows: pa.Table):
-        self.rows = rows
-        self.data, self.offsets = strings(rows["text"])
-        anchors, begins, ends, places, self.strings = [], [], [], [], []
-        limit = np.repeat(self.offsets[1:], np.diff(self.offsets))  # where each byte's document ends
-        for p in range(0, max(0, len(self.data) - LENGTH + 1), PIECE):
-            piece = self.data[p : p + PIECE + LENGTH - 1]
-            gram, whole = _rolling(piece)
-            key = (gram & ~np.uint64((1 << PLACE) - 1)) | np.arange(len(gram), dtype=np.uint64)
-            least = _least(key)
-            fits = np.arange(p, p + len(least)) + LENGTH <= limit[p : p + len(least)]
-            change = np.append(True, (least[1:] != least[:-1]) | ~fits[:-1])
-            begin = np.flatnonzero(fits & change)
-            stop = np.flatnonzero(fits & np.append(change[1:] | ~fits[1:], True))
-            anchors.append(least[begin] >> np.uint64(PLACE))
-            places.append((least[begin] & np.uint64((1 << PLACE) - 1)).astype(np.int64) + p)
-            begins.append(begin + p)
-            ends.append(stop + p + 1)
-            self.strings.append(whole)
-        join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-        self.anchor, self.place = mix(join(anchors, np.uint64)), join(places, np.int64)
-        self.begin, self.end = join(begins, np.int64), join(ends, np.int64)
+    def __init__(self, data: np.ndarray, strings: list[np.ndarray], anchor: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        self.data, self.strings, self.anchor, self.place, self.begin, self.end = data, strings, anchor, place, begin, end
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors, a mark of each (its different stretches, and whether it occurs twice), and the number of each stretch's anchor."""
+        """Distinct anchors, a mark of each (its different pieces, and whether it occurs twice), and the number of each piece's anchor."""
         keys, number, times = np.unique(self.anchor, return_inverse=True, return_counts=True)
         several = np.flatnonzero((times > 1)[number])
         different = np.ones(len(keys), np.int64)
@@ -107,8 +99,26 @@ class Batch:
         marks = np.minimum(np.ceil(_STEPS * np.log2(different)), _TWICE - 1) + _TWICE * (times > 1)
         return keys, marks.astype(np.uint8), number
 
+    def take(self, which: np.ndarray) -> Pieces:
+        return Pieces(self.data, self.strings, self.anchor[which], self.place[which], self.begin[which], self.end[which])
+
+    def cut(self, width: int) -> Pieces:
+        """The pieces inside cells of ``width`` distances before the anchor, named by what all strings of a cell share."""
+        low, high = self.place - self.end + 1, self.place - self.begin
+        cells = high // width - low // width + 1
+        of = np.repeat(np.arange(len(cells)), cells)
+        cell = (low // width)[of] + np.arange(len(of)) - np.repeat(np.cumsum(cells) - cells, cells)
+        place = self.place[of]
+        size = LENGTH - width + 1
+        name = np.zeros(len(of), np.uint64)
+        for i in range(0, len(of), 4096):
+            at = (place - cell * width)[i : i + 4096, None] + np.arange(size)
+            name[i : i + 4096] = (byte_values()[self.data[at]] * powers(size)).sum(1, dtype=np.uint64)
+        anchor = mix(name ^ mix(self.anchor[of] + cell.astype(np.uint64) + np.uint64(1)))
+        return Pieces(self.data, self.strings, anchor, place, place - np.minimum(high[of], cell * width + width - 1), place - np.maximum(low[of], cell * width) + 1)
+
     def starts(self, which: np.ndarray) -> np.ndarray:
-        """All starts of some stretches."""
+        """All starts of some pieces."""
         size = (self.end - self.begin)[which]
         return np.repeat(self.begin[which], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
@@ -121,7 +131,7 @@ class Batch:
         return out
 
     def names(self, which: np.ndarray) -> np.ndarray:
-        """A hash of each stretch's text, anchor place and extent."""
+        """A hash of each piece's text, anchor place and extent."""
         first, last = self.begin[which], self.end[which] - 1
         shape = ((self.place[which] - first) * 1024 + (last - first)).astype(np.uint64)
         # strings that overlap from end to end fix the text between; one in SPAN starts is enough
@@ -129,7 +139,7 @@ class Batch:
         return mix(out ^ mix(shape))
 
     def verified_names(self, which: np.ndarray) -> np.ndarray:
-        """``names``, but different where the bytes are: each stretch is compared with the first one of its name."""
+        """``names``, but different where the bytes are: each piece is compared with the first one of its name."""
         name = self.names(which)
         _, where, number = np.unique(name, return_index=True, return_inverse=True)
         again = np.flatnonzero(where[number] != np.arange(len(name)))
@@ -146,18 +156,47 @@ class Batch:
         return name
 
 
-def _anchor_counts(keys: np.ndarray, owner: np.ndarray, marks: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """0: one occurrence in all; 1: several; 2: in over HOT stretches."""
+class Batch(Pieces):
+    """The texts of a batch, one after the other, and their stretches."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+        self.data, self.offsets = strings(rows["text"])
+        anchors, begins, ends, places, self.strings = [], [], [], [], []
+        limit = np.repeat(self.offsets[1:], np.diff(self.offsets))  # where each byte's document ends
+        for p in range(0, max(0, len(self.data) - LENGTH + 1), PIECE):
+            piece = self.data[p : p + PIECE + LENGTH - 1]
+            gram, whole = _rolling(piece)
+            key = (gram & ~np.uint64((1 << PLACE) - 1)) | np.arange(len(gram), dtype=np.uint64)
+            least = _least(key)
+            fits = np.arange(p, p + len(least)) + LENGTH <= limit[p : p + len(least)]
+            change = np.append(True, (least[1:] != least[:-1]) | ~fits[:-1])
+            begin = np.flatnonzero(fits & change)
+            stop = np.flatnonzero(fits & np.append(change[1:] | ~fits[1:], True))
+            anchors.append(least[begin] >> np.uint64(PLACE))
+            places.append((least[begin] & np.uint64((1 << PLACE) - 1)).astype(np.int64) + p)
+            begins.append(begin + p)
+            ends.append(stop + p + 1)
+            self.strings.append(whole)
+        join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
+        self.anchor, self.place = mix(join(anchors, np.uint64)), join(places, np.int64)
+        self.begin, self.end = join(begins, np.int64), join(ends, np.int64)
+
+
+def _anchor_counts(keys: np.ndarray, owner: np.ndarray, marks: np.ndarray, first: np.ndarray, most: int = HOT) -> np.ndarray:
+    """_ALONE: one occurrence in all; _MEET: several; _CUT: in over ``most`` pieces."""
     batches = np.diff(np.append(first, len(keys)))
     repeated = (batches > 1) | (np.maximum.reduceat(marks, first) >= _TWICE)
-    stretches = np.add.reduceat(2.0 ** ((marks % _TWICE) / _STEPS), first)
-    return spread(repeated.astype(np.uint8) * (1 + (stretches > HOT)), first, len(keys)).astype(np.uint8)
+    pieces = np.add.reduceat(2.0 ** ((marks % _TWICE) / _STEPS), first)
+    return spread(repeated * np.where(pieces > most, _CUT, _MEET), first, len(keys)).astype(np.uint8)
 
 
-def _repeated(keys: np.ndarray, owner: np.ndarray, marks: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """1 where two batches hold the key, or one holds it twice."""
-    times = np.add.reduceat(marks.astype(np.int64), first)
-    return spread(times > 1, first, len(keys)).astype(np.uint8)
+def _string_counts(keys: np.ndarray, owner: np.ndarray, marks: np.ndarray, first: np.ndarray, run: int = RUN) -> np.ndarray:
+    """_ALONE: one occurrence in all; else _FIRST for the first batch of each run, _IN_RUN for others (a key's batches come in order)."""
+    repeated = (np.diff(np.append(first, len(keys))) > 1) | (np.maximum.reduceat(marks, first) >= _TWICE)
+    leads = np.append(True, owner[1:] // run != owner[:-1] // run)
+    leads[first] = True
+    return np.where(spread(repeated, first, len(keys)), np.where(leads, _FIRST, _IN_RUN), _ALONE).astype(np.uint8)
 
 
 class Suffixes:
@@ -230,9 +269,9 @@ class Suffixes:
 
 
 def _compare(anchor: np.ndarray, many: np.ndarray, before: np.ndarray, starts: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each stretch a row of SPAN marks: whether the string that starts t bytes before the anchor occurs twice.
+    """For each piece a row of SPAN marks: whether the string that starts t bytes before the anchor occurs twice.
 
-    many: whether the stretch stands for several of its batch; before: bytes before the anchor; starts: number of starts.
+    many: whether the piece stands for several of its batch; before: bytes before the anchor; starts: number of starts.
     """
     n = len(anchor)
     begin = np.cumsum(sizes) - sizes
@@ -271,6 +310,15 @@ def _compare(anchor: np.ndarray, many: np.ndarray, before: np.ndarray, starts: n
     return result
 
 
+def _at(asking, level: int):
+    """``asking`` at one level, with the two parameters that a cogrouped function has."""
+
+    def ask_again(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        return asking(level, rows, answers)
+
+    return ask_again
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary: what remains may split characters) of every whole text.
 
@@ -294,35 +342,60 @@ def _run(docs: DataFrame, with_text: bool) -> DataFrame:
     stretch_bits = min(28, (size // 4_000_000).bit_length())
     docs = hash_batches(docs, n_batches(rows, size))
 
-    def ask_anchors(rows: pa.Table) -> pa.Table:
-        keys, times, _ = Batch(rows).anchors()
-        return table(ask(rows["batch"][0].as_py(), _ANCHOR, keys, times, bits, wide=False), ASK_NAMES, ASK)
+    run, most = RUN, HOT  # as they are in the driver
+
+    def walk(b: Batch, answers: pa.Table | None, level: int) -> tuple[list[Pieces], list[np.ndarray], Pieces]:
+        """Pieces of the levels before ``level`` that are to be compared, the answer of each, and the pieces left for ``level``."""
+        left, done, codes = b, [], []
+        for i in range(level):
+            _, _, number = left.anchors()
+            code = collect_answers(answers, _ANCHOR + i)[number]
+            fit = np.flatnonzero((code != _ALONE) & (code != _CUT))
+            done.append(left.take(fit))
+            codes.append(code[fit])
+            left = left.take(np.flatnonzero(code == _CUT))
+            if not len(left.begin):
+                break
+            left = left.cut(WIDTHS[i + 1])
+        return done, codes, left
+
+    def ask_level(level: int, rows: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+        if not len(rows):
+            return table([], ASK_NAMES, ASK)
+        _, _, left = walk(Batch(rows), answers, level)
+        if not len(left.begin):
+            return table([], ASK_NAMES, ASK)
+        keys, marks, _ = left.anchors()
+        return table(ask(rows["batch"][0].as_py(), _ANCHOR + level, keys, marks, string_bits if level else bits, wide=level > 0), ASK_NAMES, ASK)
 
-    def shared(b: Batch, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Stretches to compare, one of each name, with its name; stretches of hot anchors."""
-        _, _, number = b.anchors()
-        code = collect_answers(answers, _ANCHOR)[number]
-        which = np.flatnonzero(code == 1)
-        return which, b.verified_names(which), np.flatnonzero(code == 2)
+    def shared(b: Batch, answers: pa.Table) -> tuple[Pieces, np.ndarray, np.ndarray]:
+        """Pieces to compare, the answer and the name of each."""
+        done, codes, _ = walk(b, answers, len(WIDTHS))
+        join = lambda f: np.concatenate([getattr(p, f) for p in done])
+        p = Pieces(b.data, b.strings, *map(join, ("anchor", "place", "begin", "end")))
+        return p, np.concatenate(codes), p.verified_names(np.arange(len(p.begin)))
 
     def stretches(rows: pa.Table, answers: pa.Table) -> pa.Table:
         names = STRETCH.replace(",", "").split()[::2]
         if not len(rows):
             return table([], names, STRETCH)
         b, batch = Batch(rows), rows["batch"][0].as_py()
-        which, name, _ = shared(b, answers)
+        p, code, name = shared(b, answers)
         key, where, times = np.unique(name, return_index=True, return_counts=True)
-        which = which[where]
-        part = (b.anchor[which] >> np.uint64(64 - stretch_bits)).astype(np.int64) if stretch_bits else np.zeros(len(which), np.int64)
+        p, code = p.take(where), code[where]
+        far, near = np.flatnonzero((code == _MEET) | (code == _FIRST)), np.flatnonzero((code == _IN_RUN) | (code == _FIRST))
+        group = np.concatenate([p.anchor[far], mix(p.anchor[near] + np.uint64(batch // run + 1))])
+        which = np.concatenate([far, near])
+        part = (group >> np.uint64(64 - stretch_bits)).astype(np.int64) if stretch_bits else np.zeros(len(which), np.int64)
         order = np.argsort(part, kind="stable")  # by part, then by name
-        which, part, key, times = which[order], part[order], key[order], times[order]
+        which, part, group = which[order], part[order], group[order]
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
         out, raw = [], b.data.tobytes()
         for i, j in zip(edges, edges[1:], strict=False):
             w = which[i:j]
-            before, size = b.place[w] - b.begin[w], b.end[w] - b.begin[w] + LENGTH - 1
-            texts = b"".join([raw[x : x + n] for x, n in zip(b.begin[w].tolist(), size.tolist(), strict=True)])
-            out.append((int(part[i]), batch, b.anchor[w].tobytes(), key[i:j].tobytes(), (times[i:j] > 1).astype(np.uint8).tobytes(), before.astype(np.uint8).tobytes(), size.astype(np.uint16).tobytes(), texts))
+            before, size = p.place[w] - p.begin[w], p.end[w] - p.begin[w] + LENGTH - 1
+            texts = b"".join([raw[x : x + n] for x, n in zip(p.begin[w].tolist(), size.tolist(), strict=True)])
+            out.append((int(part[i]), batch, group[i:j].tobytes(), key[w].tobytes(), (times[w] > 1).astype(np.uint8).tobytes(), before.astype(np.uint8).tobytes(), size.astype(np.uint16).tobytes(), texts))
         return table(out, names, STRETCH)
 
     def compared(rows: pa.Table) -> pa.Table:
@@ -334,31 +407,24 @@ def _run(docs: DataFrame, with_text: bool) -> DataFrame:
         ends = np.cumsum(counts).tolist()
         return pa.table([rows["batch"], rows["names"], pa.array([packed[a:z].tobytes() for a, z in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], ["batch", "names", "marks"])
 
-    def ask_strings(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(rows):
-            return table([], ASK_NAMES, ASK)
-        b = Batch(rows)
-        keys, times = np.unique(b.string_hashes(b.starts(shared(b, answers)[2])), return_counts=True)
-        return table(ask(rows["batch"][0].as_py(), _STRING, keys, np.minimum(times, 2), string_bits, wide=True), ASK_NAMES, ASK)
-
     def remove(rows: pa.Table, answers: pa.Table) -> pa.Table:
         b = Batch(rows)
-        which, name, hot = shared(b, answers)
+        p, _, name = shared(b, answers)
         known = answers.filter(pa.compute.is_valid(answers["marks"]))
         names = np.frombuffer(b"".join(known["names"].to_pylist()), np.uint64)
         marks = np.frombuffer(b"".join(known["marks"].to_pylist()), np.uint8).reshape(-1, BITS)
-        order = np.argsort(names)
-        marks = np.unpackbits(marks[order][np.searchsorted(names[order], name)], axis=1)[:, :SPAN] if len(name) else np.zeros((0, SPAN), np.uint8)
-        at = b.starts(which)
-        row = np.repeat(np.arange(len(which)), (b.end - b.begin)[which])
-        go = [at[marks[row, b.place[which][row] - at] > 0]]
-        at = b.starts(hot)
-        keys, number = np.unique(b.string_hashes(at), return_inverse=True)
-        go.append(at[collect_answers(answers, _STRING)[number] > 0] if len(at) else at)
+        go = np.zeros(0, np.int64)
+        if len(name):
+            order = np.argsort(names)
+            first = np.flatnonzero(np.append(True, np.diff(names[order]) != 0))
+            marks = np.bitwise_or.reduceat(marks[order], first, axis=0)  # a string that met others in two groups
+            marks = np.unpackbits(marks[np.searchsorted(names[order][first], name)], axis=1)[:, :SPAN]
+            at = p.starts(np.arange(len(name)))
+            row = np.repeat(np.arange(len(name)), p.end - p.begin)
+            go = at[marks[row, p.place[row] - at] > 0]
         edge = np.zeros(len(b.data) + 1, np.int32)
-        for s in go:
-            np.add.at(edge, s, 1)
-            np.add.at(edge, s + LENGTH, -1)
+        np.add.at(edge, go, 1)
+        np.add.at(edge, go + LENGTH, -1)
         gone = np.cumsum(edge[:-1]) > 0
         out, raw = [], b.data.tobytes()
         for a, z in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist(), strict=True):
@@ -372,9 +438,15 @@ def _run(docs: DataFrame, with_text: bool) -> DataFrame:
         return pa.table(columns | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
 
     texts = lambda: docs.groupBy("batch")
-    anchors = answered(texts().applyInArrow(ask_anchors, ASK), {_ANCHOR: (False, _anchor_counts)})
+    anchors = stored(answered(texts().applyInArrow(lambda rows: ask_level(0, rows), ASK), {_ANCHOR: (False, partial(_anchor_counts, most=most))}))
+    for level in range(1, len(WIDTHS)):
+        again = (F.col("kind") == _ANCHOR + level - 1) & (F.instr(F.col("answers").cast("string"), chr(_CUT)) > 0)
+        if anchors.where(again).isEmpty():
+            break
+        reply = partial(_anchor_counts, most=most) if WIDTHS[level] > 1 else partial(_string_counts, run=run)
+        asked = texts().cogroup(anchors.groupBy("batch")).applyInArrow(_at(ask_level, level), ASK)
+        anchors = anchors.unionByName(stored(answered(asked, {_ANCHOR + level: (True, reply)})))
     marks = texts().cogroup(anchors.groupBy("batch")).applyInArrow(stretches, STRETCH).groupBy("part").applyInArrow(compared, "batch long, names binary, marks binary")
-    strings_ = answered(texts().cogroup(anchors.groupBy("batch")).applyInArrow(ask_strings, ASK), {_STRING: (True, _repeated)})
-    answers = anchors.unionByName(strings_).unionByName(marks, allowMissingColumns=True)
+    answers = anchors.unionByName(marks, allowMissingColumns=True)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return texts().cogroup(answers.groupBy("batch")).applyInArrow(remove, out)
