@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, by alternating large and small stars, and one row of each."""
 
 from __future__ import annotations
 
@@ -30,3 +30,21 @@ def components(edges: DataFrame) -> DataFrame:
         last, now = now, stored(small)
         remove_stored(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``, all columns: the one with the smallest doc_id.
+
+    ``found`` has doc_id (long), raw (xxhash64 of the text as it is) and component of every row. A row is told by both, as a
+    doc_id may stand at texts of several components. Among a component's texts of that doc_id the one of the least hash
+    stays, and where it has no doc_id but null, one null row. Rows that repeat a doc_id and its text count once.
+    """
+    found = stored(found)
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("row")
+    stay = found.groupBy("component").agg(row).select(F.col("row.doc_id").alias("id"), F.col("row.raw").alias("raw"))
+    is_in = lambda rows: docs["doc_id"].cast("long").eqNullSafe(rows["id"]) & (F.xxhash64(docs["text"].cast("string")) == rows["raw"])
+    kept = docs.join(stay, is_in(stay), "left_semi")
+    repeated = found.groupBy(F.col("doc_id").alias("id"), "raw").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, is_in(repeated), "left_anti").union(kept.join(repeated, is_in(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))

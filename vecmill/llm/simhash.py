@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
 from .common import id_and_text, skew_join, stored
 from .graph import components
 
@@ -50,15 +51,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, raw: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint's 64 bits as a signed long); if asked for, also raw (hash of the text as it is)."""
+    more = ["raw"] if raw else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["doc_id", *more]), pa.array(fps.view(np.int64))], ["doc_id", *more, "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    own = id_and_text(docs)
+    return (own.withColumn("raw", F.xxhash64("text")) if raw else own).mapInArrow(run, "doc_id long, raw long, fp long" if raw else "doc_id long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -210,6 +213,13 @@ def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return fps.mapInArrow(dealt, "leaf long, hb long, qb long, fp long, lives boolean").groupBy("leaf", "hb", "qb").applyInArrow(compared, "a long, b long")
 
 
+def _classes(own: DataFrame, radius: int) -> DataFrame:
+    """fp, low (its smallest doc_id) and component (its smallest fingerprint) of each fingerprint of ``own``."""
+    fps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    root = components(linked(fps.select("fp"), radius)).select(F.col("node").alias("fp"), "component")
+    return fps.join(root, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id of the component) of every whole text.
 
@@ -218,27 +228,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     where there are none). An empty table gives no rows; other columns don't matter.
     """
     own = stored(fingerprints(docs))
-    fps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    root = components(linked(fps.select("fp"), radius)).select(F.col("node").alias("fp"), "component")
-    known = fps.join(root, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    known = _classes(own, radius)
     lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
     # most components are one fingerprint: only the linked ones are joined again
     classes = known.join(lowest, "component").select("fp", "component_id")
     return skew_join(own, classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """One row of each component of ``docs``, all columns: the one with the smallest doc_id.
-
-    ``found`` has doc_id and component_id of every row, if not those of ``near_duplicates``.
-
-    Rows that repeat a doc_id and its text count once. Where a component has no doc_id but null, a null row stays for
-    each different text.
-    """
-    stay = (near_duplicates(docs) if found is None else found).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_stays"))
-    if repeated.isEmpty():
-        return kept
-    again = F.col("doc_id").eqNullSafe(F.col("_stays"))
-    return kept.join(repeated, again, "left_anti").union(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``near_duplicates``, all columns (``graph.one_of_each``)."""
+    own = stored(fingerprints(docs, raw=True))
+    return graph.one_of_each(docs, skew_join(own, _classes(own, RADIUS).select("fp", "component"), "fp").select("doc_id", "raw", "component"))
