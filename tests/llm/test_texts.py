@@ -123,6 +123,23 @@ def test_single_strings_meet_in_runs_of_batches(spark, monkeypatch):
         same(suffixes.digests(table).collect(), plain_bytes(rows))
 
 
+def test_texts_are_dealt_out_once(docs, monkeypatch):
+    """However often anchors are cut, no scan but the first shuffles texts."""
+    monkeypatch.setattr(suffixes, "n_batches", lambda *_: 5)
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    plans, keep = [], suffixes.answered
+    monkeypatch.setattr(suffixes, "answered", lambda asked, replies: plans.append(asked) or keep(asked, replies))
+    plans.append(suffixes.digests(docs))
+    assert len(plans) > 3
+    for plan in plans:
+        lines = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+        scans = [i for i, x in enumerate(lines) if "FileScan" in x and "text#" in x]
+        assert scans
+        for i in scans:  # the first that isn't a row-wise step, going up from a scan of texts, is what takes them
+            above = next(x for x in reversed(lines[:i]) if not any(k in x for k in ("Project", "Sort", "ColumnarToRow", "Filter")))
+            assert "InArrow" in above and "Bucketed: true" in lines[i]
+
+
 def test_an_anchor_in_50_000_different_stretches(spark):
     """A phrase that anchors every text, between letters of their own: cut into longer names, none of which is frequent."""
     rng = np.random.default_rng(22)

@@ -15,6 +15,9 @@ cells of WIDTHS[1] places, and the bytes that all strings of a cell share (LENGT
 piece; pieces of a name that is still too frequent are cut again, down to single strings, whose name is all their bytes.
 Equal strings stay in equal pieces, and pieces are sorted and verified just as stretches are. Of a single string there is
 one piece from each batch, however frequent it is; RUN batches meet in one group, and the first holder of each run in another.
+
+The texts are dealt out to their batches once and stored so; each scan reads them there, and only questions, answers and
+pieces are shuffled, however many times frequent anchors are cut.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_batches, id_and_text, n_batches, stored, strings, volume
+from .common import hash_batches, id_and_text, n_batches, stored, stored_by, strings, volume
 from .exchange import ASK, ASK_NAMES, answered, ask, collect_answers, range_bits, spread, table
 from .words import byte_values, mix, powers
 
@@ -340,7 +343,8 @@ def _run(docs: DataFrame, with_text: bool) -> DataFrame:
     bits = range_bits(size // 40)
     string_bits = range_bits(size // 4)
     stretch_bits = min(28, (size // 4_000_000).bit_length())
-    docs = hash_batches(docs, n_batches(rows, size))
+    n = n_batches(rows, size)
+    docs = stored_by(hash_batches(docs, n), "batch", n)
 
     run, most = RUN, HOT  # as they are in the driver
 

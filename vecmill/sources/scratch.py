@@ -9,6 +9,10 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Files of one bucketed table; Spark takes 100,000 buckets at most.
+MOST_BUCKETS = 50_000
+
+
 @cache
 def _own() -> str:
     return "file://" + tempfile.mkdtemp(prefix="vecmill-")
@@ -72,6 +76,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` dealt out by ``key`` once and written in buckets to the shared scratch folder: grouping by ``key`` needs no further shuffle."""
+    spark = df.sparkSession
+    name = f"vecmill_{uuid.uuid4().hex}"
+    buckets = min(buckets, MOST_BUCKETS)
+    write = df.repartition(buckets, key).write.format("parquet").option("compression", "zstd").bucketBy(buckets, key)
+    write.option("path", f"{scratch_path(spark)}/table").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalogue's entry; the files have a path of their own and stay
+    return out
+
+
 def remove_stored(df: DataFrame) -> None:
     """Delete the files behind a ``stored`` table that no later plan reads."""
     for f in df.inputFiles()[:1]:
