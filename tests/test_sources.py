@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vecmill import catalogue
 from vecmill.functions import ranks
+from vecmill.functions import vectors as V
 from vecmill.sources import npy
 from vecmill.sources import vectors as sources
 
@@ -95,3 +96,14 @@ def test_profiles_and_shards(spark, tmp_path):
     with pytest.raises(ValueError, match="fewer than"):
         sources.sharded(spark, paths, 16)
     assert sources.sharded(spark, paths, 16, allow_less=True).count() == 15
+
+
+def test_generated_vectors_are_made_once(spark):
+    """The plan names each drawn vector once, not again in its norm; zero vectors stay, null ones are null."""
+    for made in (sources.boundary_mixtures(spark, {0: [1.0, 0.0], 1: [0.0, 1.0]}, 5), sources.around_centroids(spark, {0: [1.0, 0.0]}, 5), sources.generated(spark, 5, 4)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.upper().count("COS(") == (3 if "cluster" in made.columns else 1)  # three draws for a generated coordinate
+    rows = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None), (3, [1e-3, -1e3, 7.0])], "id long, vec array<double>")
+    got = {r["id"]: r["vec"] for r in rows.select("id", V.unit(F.col("vec")).alias("vec")).collect()}
+    assert got[0] == [3.0 * (1 / 5.0), 4.0 * (1 / 5.0)] and got[1] == [0.0, 0.0] and got[2] is None
+    assert got[3] == pytest.approx(np.array([1e-3, -1e3, 7.0]) / np.linalg.norm([1e-3, -1e3, 7.0]))

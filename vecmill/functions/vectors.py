@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,10 +52,15 @@ def midpoint(x: Column, y: Column) -> Column:
     return F.zip_with(x, y, lambda a, b: (a + b) * 0.5)
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is evaluated once however often f names it: inside a lambda Spark shares no expression, and takes it anew for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def unit(x: Column) -> Column:
     """x over its norm; a zero vector stays."""
-    norm = F.sqrt(squared_norm(x))
-    return scale(x, 1.0 / F.when(norm == 0, 1.0).otherwise(norm))
+    over = lambda v, norm: _once(1.0 / F.when(norm == 0, 1.0).otherwise(norm), lambda by: scale(v, by))
+    return _once(x, lambda v: _once(F.sqrt(squared_norm(v)), lambda norm: over(v, norm)))
 
 
 def angle(similarity: Column) -> Column:

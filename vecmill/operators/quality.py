@@ -44,7 +44,7 @@ def boundary_scores(queries: DataFrame, centroids: dict[int, list[float]]) -> Da
 def boundary_queries(scores: DataFrame, least: float, n: int) -> DataFrame:
     """Queries scoring at least ``least``; where these are fewer than n, the n highest scores (ties to the smaller qid)."""
     enough = scores.where(F.col("score") >= least)
-    return enough if enough.count() >= n else scores.orderBy(F.desc("score"), "qid").limit(n)
+    return enough if enough.limit(n).count() >= n else scores.orderBy(F.desc("score"), "qid").limit(n)
 
 
 def boundary_split(results: DataFrame, share: float = 0.25) -> DataFrame:
