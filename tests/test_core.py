@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vecmill import catalogue
 from vecmill.functions import arrow
-from vecmill.operators import kmeans, knn, quality
+from vecmill.operators import kmeans, knn, probing, quality
 from vecmill.operators.index import IndexConfig, build, read, search, write
 from vecmill.plans import reports
 from vecmill.sources import vectors as sources
@@ -136,3 +136,32 @@ def test_an_index_read_back_answers_alike(spark, tmp_path):
     again = read(spark, str(tmp_path / "index"))
     assert again.counters == {"splits": 2} and again.split_above == index.split_above
     assert search(q, again, 5, 4).exceptAll(search(q, index, 5, 4)).isEmpty()
+
+
+def test_known_neighbours_bound_the_next(monkeypatch):
+    """Blocks that come after others look only for what is nearer, ties and copies included; chunks of any size give the same."""
+    rng = np.random.default_rng(1)
+    for n, nq, k, metric, chunk in ((900, 60, 10, "l2", 100), (900, 250, 7, "ip", 64), (30, 5, 40, "ip", 8), (400, 20, 1, "l2", 1000)):
+        monkeypatch.setattr(knn, "CHUNK", chunk)
+        monkeypatch.setattr(probing, "CHUNK", chunk)
+        base, q = rng.normal(size=(n, 3)).round(1), rng.normal(size=(nq, 3)).round(1)
+        base[rng.integers(0, n, n // 3)] = base[0]
+        ids, rows = rng.permutation(n) * 3, np.arange(nq)
+        exact, probed = knn._Best(q, k, metric), probing.Best(nq, k)
+        for own in np.split(np.arange(n), [n // 3]):
+            exact.add(ids[own], base[own])
+            probed.add(rows, q, ids[own], base[own], metric)
+        for i in range(nq):
+            d = arrow.paired(np.broadcast_to(q[i], base.shape), base, metric)
+            near = np.lexsort((ids, d))[:k]
+            m = len(near)
+            for best in (exact, probed):
+                assert (best.ids[i, :m] == ids[near]).all() and (best.d[i, :m] == d[near]).all()
+
+
+def test_blocks_of_queries_grow_with_the_slices(spark):
+    """Every slice is sent to each block of queries: 31 blocks of 2,000 queries are too many where 31 slices make meetings enough."""
+    assert arrow.blocks(61_500, 31, 2_000, 20_000, 96) == 4 and arrow.blocks(5_128, 3, 2_000, 20_000, 96) == 3
+    assert arrow.blocks(10**6, 1000, 2_000, 20_000, 96) == 50 and arrow.blocks(0, 0, 2_000, 20_000, 96) == 1
+    plan = catalogue.queries()["boundary_vs_random"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" not in plan  # the neighbours are searched once, not again for each use

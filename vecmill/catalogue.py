@@ -565,7 +565,9 @@ def boundary_vs_random(spark, sf_dir):
     index, v = indexed(spark, sf_dir, "ip"), vectors(spark, sf_dir)
     n, out = max(1, v.count() // 10), None
     for kind, made in (("boundary", boundary_mixtures(spark, index.centroids, n)), ("random", around_centroids(spark, index.centroids, n))):
-        found = quality.recall(sweep(made, index, 10, [1, 2, 4, 8, 16]), knn.exact(made, v, 10, "ip"), 10, by=["nprobe"])
+        made = stored(made)
+        swept = stored(sweep(made, index, 10, [1, 2, 4, 8, 16]).select("nprobe", "qid", "rank", "id"))  # each is read twice
+        found = quality.recall(swept, stored(knn.exact(made, v, 10, "ip").select("qid", "rank", "id")), 10, by=["nprobe"])
         one = found.groupBy(F.lit(kind).alias("kind"), F.col("nprobe").cast("long").alias("nprobe")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("recall")).alias("recall"))
         out = one if out is None else out.union(one)
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -58,24 +60,32 @@ def _first_copies(y: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order[place < k])
 
 
-def nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+def nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, metric: str, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distance and id of the k nearest rows of y (all, if fewer) to each row of x, best first; ties go to the smaller id.
 
     A matrix product leaves the rows that its rounding can't tell from the k-th; their distances are ``paired``, so that the
-    result doesn't depend on what else is in x and y. Of equal rows of y only the first k in order of id take part.
+    result doesn't depend on what else is in x and y. Of equal rows of y only the first k in order of id take part. Where
+    ``limit`` gives a row of x the distance of the k-th that is known already, what is farther may be left out; places without
+    a row of y come last, with the largest id and a distance that isn't a number.
     """
     m = min(k, len(y))
     if not m or not len(x):
         return np.zeros((len(x), m)), np.zeros((len(x), m), np.int64)
 
     def near() -> tuple[np.ndarray, np.ndarray]:
-        if m == len(y):
+        if m == len(y) and limit is None:
             return np.divmod(np.arange(len(x) * m), m)
         d = distances(x, y, metric)
-        last = np.partition(d, m - 1, axis=1)[:, m - 1]
         reach = np.sqrt((x * x).sum(1)) + np.sqrt((y * y).sum(1).max())
         rounding = (4 * x.shape[1] + 32) * np.finfo(float).eps * reach**2
-        return np.nonzero(~(d > (last + rounding)[:, None]))
+        if limit is not None and not np.isnan(limit).any():
+            rows, at = np.divmod(np.flatnonzero(~(d > (limit + rounding)[:, None])), len(y))
+            if len(rows) <= 4 * m * len(x) + 1000:
+                return rows, at
+        last = np.partition(d, m - 1, axis=1)[:, m - 1]
+        if limit is not None:
+            last = np.fmin(last, limit)
+        return np.divmod(np.flatnonzero(~(d > (last + rounding)[:, None])), len(y))
 
     rows, at = near()
     if len(rows) > 4 * m * len(x) + 1000 and m < len(y) and x.shape[1]:
@@ -88,5 +98,16 @@ def nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, metric: str)
         d[a : a + PAIRS] = paired(x[rows[a : a + PAIRS]], y[at[a : a + PAIRS]], metric)
     order = np.lexsort((ids[at], d, rows))
     first = np.searchsorted(rows[order], np.arange(len(x)))
-    pick = order[first[:, None] + np.arange(m)]
-    return d[pick], ids[at[pick]]
+    if limit is None:
+        pick = order[first[:, None] + np.arange(m)]
+        return d[pick], ids[at[pick]]
+    place = np.arange(len(order)) - first[rows[order]]
+    order, place = order[place < m], place[place < m]
+    best, near_ids = np.full((len(x), m), np.nan), np.full((len(x), m), np.iinfo(np.int64).max)
+    best[rows[order], place], near_ids[rows[order], place] = d[order], ids[at[order]]
+    return best, near_ids
+
+
+def blocks(queries: int, slices: int, least: int, most: int, tasks: int) -> int:
+    """Blocks of ``least`` to ``most`` queries: each takes every slice's rows once more, so no more than that and ``tasks`` for all slices ask for."""
+    return max(1, math.ceil(queries / most), min(math.ceil(queries / least), math.ceil(tasks / max(1, slices))))

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.arrow import matrix
+from ..functions.arrow import blocks, matrix
 from ..functions.arrow import nearest as nearest_rows
 
-#: Queries and vectors that meet in one task; a query set of one block is sent to every task of the base.
+#: Queries and vectors that meet in one task; a query set of one block is sent to every task of the base. A base block is sent to
+#: each block of queries: these are larger, MOST at most, where there are more than TASKS meetings.
 QUERY_BLOCK, BASE_BLOCK = 2_000, 20_000
-#: Vectors of a matrix product, which bounds the matrix of distances.
-CHUNK = 2_000
+MOST, TASKS = 20_000, 96
+#: Queries and vectors of a matrix product, which bounds the matrix of distances.
+CHUNK = 1_000
 NEIGHBOURS = "qid long, id long, distance double"
 
 
@@ -30,7 +32,15 @@ class _Best:
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         for a in range(0, len(ids), CHUNK):
-            d, near = nearest_rows(self.q, x[a : a + CHUNK], ids[a : a + CHUNK], self.k, self.metric)
+            full = self.d.shape[1] == self.k
+            found = [nearest_rows(self.q[b : b + CHUNK], x[a : a + CHUNK], ids[a : a + CHUNK], self.k, self.metric, self.d[b : b + CHUNK, -1] if full else None) for b in range(0, len(self.q), CHUNK)]
+            d, near = (np.vstack(c) for c in zip(*found, strict=True))
+            if full:
+                rows = np.flatnonzero(near[:, 0] < np.iinfo(np.int64).max)
+                d, near = np.hstack([self.d[rows], d[rows]]), np.hstack([self.ids[rows], near[rows]])
+                order = np.lexsort((near, d))[:, : self.k]
+                self.d[rows], self.ids[rows] = np.take_along_axis(d, order, 1), np.take_along_axis(near, order, 1)
+                continue
             d, near = np.hstack([self.d, d]), np.hstack([self.ids, near])
             order = np.lexsort((near, d))[:, : self.k]
             self.d, self.ids = np.take_along_axis(d, order, 1), np.take_along_axis(near, order, 1)
@@ -50,7 +60,8 @@ def exact(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", exclu
     few = queries.select("qid", "vec").limit(QUERY_BLOCK + 1).collect()
     if len(few) <= QUERY_BLOCK:
         return ranked(_scanned(few, base, k + exclude_self, metric, exclude_self), k)
-    nq, nb = max(1, math.ceil(queries.count() / QUERY_BLOCK)), max(1, math.ceil(base.count() / BASE_BLOCK))
+    nb = max(1, math.ceil(base.count() / BASE_BLOCK))
+    nq = blocks(queries.count(), nb, QUERY_BLOCK, MOST, TASKS)
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("qid", F.col("vec").alias("qvec"), part("qid", nq).alias("qb"), every(nb).alias("bb"))

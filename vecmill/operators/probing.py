@@ -14,13 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import blocks as blocks_of
 from ..functions.arrow import matrix
 from ..functions.arrow import nearest as nearest_rows
 
-#: Queries that are sent to all tasks, or that a task holds; members of a slice.
+#: Queries that are sent to all tasks, or that a task holds; members of a slice. A slice is sent to each block of the queries that
+#: ask for its partition: these are larger, MOST at most, where there are more than TASKS meetings.
 FEW, SLICE = 2_000, 20_000
-#: Members of a matrix product.
-CHUNK = 2_000
+MOST, TASKS = 20_000, 96
+#: Queries and members of a matrix product.
+CHUNK = 1_000
 CANDIDATES = "qid long, level long, id long, distance double"
 
 
@@ -32,10 +35,14 @@ class Best:
 
     def add(self, rows: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, metric: str) -> None:
         for a in range(0, len(ids), CHUNK):
-            d, near = nearest_rows(q, x[a : a + CHUNK], ids[a : a + CHUNK], self.k, metric)
-            d, near = np.hstack([self.d[rows], d]), np.hstack([self.ids[rows], near])
-            order = np.lexsort((near, d))[:, : self.k]  # places without a member come last: not a number, largest id
-            self.d[rows], self.ids[rows] = np.take_along_axis(d, order, 1), np.take_along_axis(near, order, 1)
+            for b in range(0, len(rows), CHUNK):
+                own = rows[b : b + CHUNK]
+                d, near = nearest_rows(q[b : b + CHUNK], x[a : a + CHUNK], ids[a : a + CHUNK], self.k, metric, self.d[own, -1])
+                some = near[:, 0] < np.iinfo(np.int64).max
+                own = own[some]
+                d, near = np.hstack([self.d[own], d[some]]), np.hstack([self.ids[own], near[some]])
+                order = np.lexsort((near, d))[:, : self.k]  # places without a member come last: not a number, largest id
+                self.d[own], self.ids[own] = np.take_along_axis(d, order, 1), np.take_along_axis(near, order, 1)
 
     def rows(self, qids: np.ndarray, levels: np.ndarray) -> list[pa.Array]:
         some = self.ids < np.iinfo(np.int64).max
@@ -87,8 +94,10 @@ def _many(asked: DataFrame, queries: DataFrame, postings: DataFrame, sizes: dict
     asking = {r["cluster"]: r["n"] for r in asked.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
     if not asking:
         return postings.sparkSession.createDataFrame([], CANDIDATES)
-    count = lambda of, each: F.create_map(*[F.lit(v).cast("long") for c in asking for v in (c, max(1, math.ceil(of.get(c, 0) / each)))])[F.col("cluster")]
-    slices, blocks = count(sizes, SLICE), count(asking, FEW)
+    parts = {c: max(1, math.ceil(sizes.get(c, 0) / SLICE)) for c in asking}
+    total = sum(parts.values())
+    count = lambda of: F.create_map(*[F.lit(v).cast("long") for c in asking for v in (c, of[c])])[F.col("cluster")]
+    slices, blocks = count(parts), count({c: blocks_of(n, total, FEW, MOST, TASKS) for c, n in asking.items()})
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     part = lambda key, n: F.pmod(F.xxhash64(key), n)
     left = asked.join(queries, "qid").withColumn("block", part("qid", blocks)).select("qid", "level", F.col("vec").alias("qvec"), "cluster", "block", every(slices).alias("slice"))
